@@ -50,9 +50,12 @@ TYPES = {
 
 
 def compare(spark, con, fn, sql, sf_dir):
+    start = time.time()
     df = fn(spark, sf_dir)
     names = sorted(df.columns)
     got = [tuple(_plain(r[c]) for c in names) for r in df.collect()]
+    global spark_seconds
+    spark_seconds = time.time() - start
     rel = con.sql(sql)
     types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     if sorted(rel.columns) != names:
@@ -81,12 +84,13 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     import __spark_entry__ as entry
 
+    global spark_seconds
     con = connect(sf_dir)
     checks, bad = entry.oracle_sql(), []
     for name, fn in entry.queries().items():
         if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
             continue
-        start = time.time()
+        start, spark_seconds = time.time(), None
         try:
             if name in checks:
                 problem, n = compare(spark, con, fn, checks[name], sf_dir)
@@ -95,7 +99,7 @@ def main():
         except Exception as e:  # noqa: BLE001
             problem, n = f"{type(e).__name__}: {str(e)[:900]}", -1
         kind = "sql " if name in checks else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:28s} rows={n:<7d} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:28s} rows={n:<7d} {spark_seconds or time.time() - start:6.2f}s {problem or ''}", flush=True)
         if problem:
             bad.append(name)
     print("failed:", bad)

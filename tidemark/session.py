@@ -64,12 +64,21 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and continue from the copy.
+    """Write the rows to the shared folder and continue from the written table.
 
-    Reliable checkpoints survive the loss of executors, and values computed from
-    partition numbers or sampling stay fixed from here on.
+    The table outlives the loss of executors, later steps read only the columns they
+    need, and Spark knows its true size when it picks join strategies.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.
+
+    Input in fewer splits than the cluster has cores is redistributed; anything
+    larger passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
