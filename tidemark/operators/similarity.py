@@ -159,10 +159,11 @@ def gestalt_lists(records: DataFrame, rule: GestaltRule) -> DataFrame:
     for q in rule.grams:
         lower = safe_length(q, rule.threshold)
         family = base.filter((F.col("size") >= lower) & (F.col("size") <= F.lit(float(upper))))
-        starts = F.sequence(F.lit(0), F.col("size") - q)
-        grams = F.transform(starts, lambda i, q=q: F.concat_ws("", F.slice("chars", i + 1, q)))
+        starts = F.sequence(F.lit(1), F.col("size") - q + 1)
+        grams = F.concat_ws("", F.slice("chars", F.col("start"), F.lit(q)))
         counted = (
-            family.select("rid", "day", "size", F.explode(grams).alias("gram"))
+            family.select("rid", "day", "size", "chars", F.explode(starts).alias("start"))
+            .select("rid", "day", "size", grams.alias("gram"))
             .groupBy("rid", "day", "size", "gram")
             .agg(F.count(F.lit(1)).cast("int").alias("n"))
         )
