@@ -42,15 +42,26 @@ class Bounds:
     need: Callable[[Column, Column], Column]
 
 
-def rare_first_lists(items: DataFrame, prefix: Column, rule: str, grams: int = 0) -> DataFrame:
+def item_order(items: DataFrame) -> DataFrame:
+    """How often each item occurs: (item code, freq)."""
+    return items.select(F.xxhash64("item").alias("item")).groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+
+
+def rare_first_lists(
+    items: DataFrame, prefix: Column, rule: str, grams: int = 0, order: DataFrame | None = None
+) -> DataFrame:
     """Lists from ``items`` (rid, size, item; items distinct per rid).
 
     Frequent items occur in a large share of all records, so the frequency lookup is
     salted by record.  Items of one record are bounded by its text.
+
+    Any order is lossless as long as all records use the same one, so ``order`` may be
+    a saved frequency table, with items it does not know first.  Lists made with it
+    stay valid when further records arrive.
     """
     coded = items.withColumn("item", F.xxhash64("item"))
-    freq = coded.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("freq"))
-    weighted = salted_join(coded, freq, ["item"], "rid")
+    freq = item_order(items) if order is None else order
+    weighted = salted_join(coded, freq, ["item"], "rid", "left").na.fill(0, ["freq"])
     ordered = weighted.groupBy("rid").agg(
         F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("ordered")
     )
@@ -60,8 +71,10 @@ def rare_first_lists(items: DataFrame, prefix: Column, rule: str, grams: int = 0
         F.size("ordered").alias("n"),
         F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "e"),
     )
-    # An item nobody else has opens no list.
-    return firsts.filter(F.col("e.freq") > 1).select(
+    if order is None:
+        # An item nobody else has opens no list.
+        firsts = firsts.filter(F.col("e.freq") > 1)
+    return firsts.select(
         F.xxhash64(F.lit(rule), F.lit(grams), F.col("e.item")).alias("list_key"),
         "rid",
         "size",
@@ -74,11 +87,15 @@ def rare_first_lists(items: DataFrame, prefix: Column, rule: str, grams: int = 0
 # --- word sets, Jaccard ---------------------------------------------------------------
 
 
-def word_lists(records: DataFrame, threshold: float, rule: str = "jaccard") -> DataFrame:
+def word_items(records: DataFrame) -> DataFrame:
     """``records`` has (rid, tokens), tokens a set."""
-    items = records.select("rid", F.size("tokens").alias("size"), F.explode("tokens").alias("item"))
+    return records.select("rid", F.size("tokens").alias("size"), F.explode("tokens").alias("item"))
+
+
+def word_lists(records: DataFrame, threshold: float, rule: str = "jaccard", order: DataFrame | None = None) -> DataFrame:
+    items = word_items(records)
     prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return rare_first_lists(items, prefix, rule)
+    return rare_first_lists(items, prefix, rule, order=order)
 
 
 def jaccard_bounds(threshold: float) -> Bounds:

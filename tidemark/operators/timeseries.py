@@ -184,20 +184,25 @@ def carry_forward(
     Inside a block of ``block_size`` order values by a window; across blocks by a
     window over one summary row per block.
     """
-    rows = df.withColumn("_block", F.floor(F.col(order) / block_size))
+    # Structs are never null themselves, so rows with a null group find their block too.
+    group_key, block = F.struct(F.lit(0).alias("g"), *group), F.floor(F.col(order) / block_size)
+    rows = df.withColumn("_group", group_key).withColumn("_block", block)
+    rows = rows.withColumn("_cell", F.struct("_group", "_block"))
     near = F.last(marker, ignorenulls=True).over(
-        W.partitionBy(*group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy("_cell").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    lasts = rows.groupBy(*group, "_block").agg(
+    lasts = rows.groupBy("_group", "_block").agg(
         F.max_by(marker, F.when(F.col(marker).isNotNull(), F.col(order))).alias("_last")
     )
-    earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    earlier = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = lasts.select(
+        F.struct("_group", "_block").alias("_cell"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+    )
     return (
         rows.withColumn("_near", near)
-        .join(carried, [*group, "_block"], "left")
+        .join(carried, "_cell", "left")
         .withColumn(out, F.coalesce("_near", "_carried"))
-        .drop("_near", "_carried", "_block")
+        .drop("_near", "_carried", "_group", "_block", "_cell")
     )
 
 
