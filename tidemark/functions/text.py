@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters a bare whitespace split treats as separators
-# (ASCII blanks and separators plus the Unicode space characters).
-WHITESPACE = (
-    "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x85\\u00a0\\u1680\\u2000-\\u200a"
-    "\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-)
+# Fixed value: the characters a bare whitespace split treats as separators (ASCII blanks
+# and separators, next line, and the Unicode space, line and paragraph separators).
+WHITESPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
 
 POSITIVE = "POSITIVE"
 NEGATIVE = "NEGATIVE"
@@ -105,11 +102,13 @@ def threshold_label(
 
 
 def lexicon_score(text: str | Column, positive: Sequence[str], negative: Sequence[str]) -> Column:
-    """Positive minus negative word occurrences in the whole text."""
-    tokens = words(F.coalesce(as_col(text), F.lit("")))
-    hits = F.size(F.filter(tokens, lambda w: w.isin(list(positive))))
-    misses = F.size(F.filter(tokens, lambda w: w.isin(list(negative))))
-    return hits - misses
+    """Positive minus negative word occurrences in the whole text, in one pass over its words."""
+    return F.aggregate(
+        words(F.coalesce(as_col(text), F.lit(""))),
+        F.lit(0),
+        lambda total, w: total
+        + F.when(w.isin(list(positive)), 1).when(w.isin(list(negative)), -1).otherwise(0),
+    )
 
 
 def lexicon_sentiment(text: str | Column, positive: Sequence[str], negative: Sequence[str]) -> Column:

@@ -12,6 +12,14 @@ def doubles(v: str | Column) -> Column:
     return as_col(v).cast("array<double>")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A plain expression used inside a lambda is evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def relu(v: Column) -> Column:
     return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
 
@@ -30,10 +38,15 @@ def vector_sum(v: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     """Shifted by the maximum, so large inputs do not overflow."""
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    total = vector_sum(powers)
-    return F.transform(powers, lambda e: e / total)
+
+    def divide(x: Column) -> Column:
+        return F.transform(x["e"], lambda e: e / x["total"])
+
+    def exponents(x: Column) -> Column:
+        return F.transform(x["v"], lambda item: F.exp(item - x["top"]))
+
+    powers = bind(F.struct(v.alias("v"), F.array_max(v).alias("top")), exponents)
+    return bind(powers, lambda e: bind(F.struct(e.alias("e"), vector_sum(e).alias("total")), divide))
 
 
 def one_hot(label: str | Column, classes: int) -> Column:
@@ -56,11 +69,13 @@ def normalise(v: Column, mean: float = 0.5, std: float = 0.5) -> Column:
 
 def nest(v: Column, rows: int, cols: int) -> Column:
     """Flat vector -> rows x cols x 1, wrapped in a batch of one."""
-    grid = F.transform(
-        F.sequence(F.lit(0), F.lit(rows - 1)),
-        lambda r: F.transform(F.slice(v, r * cols + 1, cols), lambda x: F.array(x)),
-    )
-    return F.array(grid)
+    def grid(x: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(rows - 1)),
+            lambda r: F.transform(F.slice(x, r * cols + 1, cols), lambda item: F.array(item)),
+        )
+
+    return F.array(bind(v, grid))
 
 
 def unnest(nested: Column) -> Column:
@@ -70,11 +85,14 @@ def unnest(nested: Column) -> Column:
 
 def planar_to_interleaved(v: Column, channels: int = 3) -> Column:
     """(channel, pixel) order -> (pixel, channel) order."""
-    plane = (F.size(v) / channels).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(v) - 1),
-        lambda i: F.get(v, (i % channels) * plane + F.floor(i / channels).cast("int")),
-    )
+    def move(x: Column) -> Column:
+        plane = (F.size(x) / channels).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.size(x) - 1),
+            lambda i: F.get(x, (i % channels) * plane + F.floor(i / channels).cast("int")),
+        )
+
+    return bind(v, move)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import NEGATIVE, POSITIVE, as_col
-from tidemark.functions.vectors import doubles, squared_distance
+from tidemark.functions.vectors import bind, doubles, squared_distance
 from tidemark.operators.labels import suffix_columns
 
 
@@ -116,11 +116,16 @@ def centroid_table(df: DataFrame, vector: str, label: str) -> Column:
 
 def score_nearest(df: DataFrame, table: Column, vector: str, out: str = "pred") -> DataFrame:
     """Add the label of the closest centroid, the smaller label on equal distance."""
-    v = doubles(vector)
-    ranked = F.transform(
-        F.col("_centers"), lambda c: F.struct(squared_distance(v, c["center"]).alias("d"), c["label"].alias("l"))
-    )
-    return df.withColumn("_centers", table).withColumn(out, F.array_min(ranked)["l"]).drop("_centers")
+
+    def nearest(x: Column) -> Column:
+        ranked = F.transform(
+            x["centers"],
+            lambda c: F.struct(squared_distance(x["v"], c["center"]).alias("d"), c["label"].alias("l")),
+        )
+        return F.array_min(ranked)["l"]
+
+    both = F.struct(doubles(vector).alias("v"), F.col("_centers").alias("centers"))
+    return df.withColumn("_centers", table).withColumn(out, bind(both, nearest)).drop("_centers")
 
 
 def metrics_record(per_class: DataFrame, overall: Column, label: str) -> DataFrame:

@@ -93,17 +93,23 @@ def counter_samples(
     line = W.partitionBy(*series, "_block").orderBy("_at", order)
     before = F.lag(value).over(line)
     step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    trailing = W.partitionBy(*series, "_block").orderBy("_at").rangeBetween(-reach, 0)
-    stepped = blocks.withColumn("_step", step)
-    # The first step of the range starts outside of it.
-    entering = F.coalesce(F.min_by("_step", F.struct("_at", order)).over(trailing), F.lit(0.0))
+    # Running totals make the trailing sums a difference of two rows, so the only thing
+    # looked up per range is its first sample.
+    rows = blocks.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_n", F.row_number().over(line))
+    rows = rows.withColumn("_grown", F.sum("_step").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    by_time = W.partitionBy(*series, "_block").orderBy("_at")
+    first = F.min(F.struct("_n", "_grown", "_at", F.col(value).alias("v"))).over(by_time.rangeBetween(-reach, 0))
+    # Samples with the same time belong to each other's ranges.
+    last = F.max(F.struct("_n", "_grown")).over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow))
     out = (
-        stepped.withColumn("increase", F.coalesce(F.sum("_step").over(trailing), F.lit(0.0)) - entering)
-        .withColumn("samples", F.count(value).over(trailing))
-        .withColumn("first_at", F.min("_at").over(trailing))
-        .withColumn("first_value", F.min_by(value, F.struct("_at", order)).over(trailing))
+        rows.withColumn("_first", first)
+        .withColumn("_last", last)
+        .withColumn("increase", F.col("_last._grown") - F.col("_first._grown"))
+        .withColumn("samples", (F.col("_last._n") - F.col("_first._n") + 1).cast("bigint"))
+        .withColumn("first_at", F.col("_first._at"))
+        .withColumn("first_value", F.col("_first.v"))
     )
-    return out.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_step")
+    return out.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_step", "_n", "_grown", "_first", "_last")
 
 
 def counter_rate(

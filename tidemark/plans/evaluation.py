@@ -244,8 +244,12 @@ def cross_entropy(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings")
     centers = ev.centroid_table(vectors, "embedding", "label")
-    scores = F.transform("_centers", lambda c: -10.0 * vx.squared_distance(vx.doubles("embedding"), c["center"]))
-    with_scores = vectors.withColumn("_centers", centers).select("label", scores.alias("s"))
+
+    def scores(x):
+        return F.transform(x["centers"], lambda c: -10.0 * vx.squared_distance(x["v"], c["center"]))
+
+    both = F.struct(vx.doubles("embedding").alias("v"), F.col("_centers").alias("centers"))
+    with_scores = vectors.withColumn("_centers", centers).select("label", vx.bind(both, scores).alias("s"))
     probabilities = with_scores.select("label", vx.softmax(F.col("s")).alias("p"))
     return probabilities.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(vx.cross_entropy(F.col("p"), "label")), 5).alias("loss")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import apply_runtime_settings
+from tidemark.session import apply_runtime_settings, spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for CPU-heavy per-row work."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(_queries)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import labels as lb
 from tidemark.operators import scoring as sc
-from tidemark.plans.registry import register, table
+from tidemark.plans.registry import register, table, texts
 from tidemark.sources import pages as pg
 
 SQL_LINKS = """
@@ -75,11 +75,12 @@ SQL_WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w
   {SQL_WORDS}[1] AS first_word FROM documents""",
 )
 def word_sets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    split = texts(spark, sf_dir, "doc_id", "text").select("doc_id", tx.words("text").alias("w"))
+    return split.select(
         "doc_id",
-        F.size(tx.words("text")).alias("n_words"),
-        F.size(tx.word_set("text")).alias("n_distinct"),
-        F.get(tx.words("text"), 0).alias("first_word"),
+        F.size("w").alias("n_words"),
+        F.size(F.array_distinct("w")).alias("n_distinct"),
+        F.get("w", 0).alias("first_word"),
     )
 
 
@@ -258,7 +259,7 @@ def _sql_sentiment():
 @register("sentiment_scores", _sql_sentiment())
 def sentiment_scores(spark, sf_dir):
     """Lexicon scoring as column expressions."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "doc_id", "text").select(
         "doc_id", tx.lexicon_sentiment("text", DEMO_POSITIVE, DEMO_NEGATIVE).alias("predicted_sentiment")
     )
 
@@ -266,7 +267,7 @@ def sentiment_scores(spark, sf_dir):
 @register("sentiment_scores_batched", _sql_sentiment())
 def sentiment_scores_batched(spark, sf_dir):
     """The same scores through the pluggable batch scorer."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     scored = sc.score_texts(docs, "text", sc.lexicon_scorer(DEMO_POSITIVE, DEMO_NEGATIVE))
     return scored.select("doc_id", "predicted_sentiment")
 
@@ -284,7 +285,7 @@ def sentiment_evaluation(spark, sf_dir):
     """Label, score, count and rate in one plan, nothing collected in between."""
     from tidemark.operators import evaluation as ev
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = docs.join(marks, "doc_id").select(
         tx.threshold_label("quality", 1).alias("truth"),
