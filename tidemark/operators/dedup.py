@@ -136,6 +136,7 @@ def gestalt_duplicates(
     flag = [F.col(stored).alias("stored")] if stored else []
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = spread(df).select(F.col(id_col).alias("id"), body.alias("body"), F.col(day).alias("day"), *flag)
+    rows = sm.with_pieces(rows)
     return NearDuplicates(
         rows,
         F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("day").cast("string"), F.lit("")), "body"), 256),
@@ -150,8 +151,8 @@ def gestalt_any_match(df: DataFrame, id_col: str, text: str, threshold: float =
     """Rows with an earlier row whose text has a ratio above the threshold (case-sensitive, strict)."""
     rule = sm.GestaltRule("any", threshold, "any", strict=True)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = sm.with_pieces(rows.withColumn("day", F.lit(None).cast("string")))
     copies, records = _collapse(rows, F.sha2(F.col("body"), 256))
-    records = records.withColumn("day", F.lit(None).cast("string"))
     lists = sm.gestalt_lists(records, rule)
     verify = sm.gestalt_verifier(records, [rule])
     hits = greedy.any_earlier_match(lists, verify, sm.gestalt_bounds([rule]), depth)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard
 from tidemark.operators.skew import salted_join
+from tidemark.session import cut_lineage
 
 Verifier = Callable[[DataFrame], DataFrame]
 
@@ -52,16 +53,12 @@ def rare_first_lists(
 ) -> DataFrame:
     """Lists from ``items`` (rid, size, item; items distinct per rid).
 
-    Frequent items occur in a large share of all records, so the frequency lookup is
-    salted by record.  Items of one record are bounded by its text.
-
     Any order is lossless as long as all records use the same one, so ``order`` may be
     a saved frequency table, with items it does not know first.  Lists made with it
-    stay valid when further records arrive.
+    stay valid when further records arrive.  Items of one record are bounded by its text.
     """
     coded = items.withColumn("item", F.xxhash64("item"))
-    freq = item_order(items) if order is None else order
-    weighted = salted_join(coded, freq, ["item"], "rid", "left").na.fill(0, ["freq"])
+    weighted = _with_frequency(coded, cut_lineage(item_order(items)) if order is None else order)
     ordered = weighted.groupBy("rid").agg(
         F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("ordered")
     )
@@ -84,6 +81,29 @@ def rare_first_lists(
     )
 
 
+# Items that make up at least one in this many of all items are looked up by broadcast;
+# by that definition there cannot be more of them than this.
+_HOT_SHARE = 100_000
+
+
+def _with_frequency(items: DataFrame, order: DataFrame) -> DataFrame:
+    """Add ``freq`` to items, 0 where the order does not know them.
+
+    A frequent item occurs in a large part of all records.  Those items are answered
+    by a broadcast of bounded size, and their rows go through the join with the other
+    frequencies under keys of their own, which match nothing and spread evenly.
+    """
+    total = order.agg(F.sum("freq")).scalar()
+    hot = order.withColumn("_total", total).filter(F.col("freq") * F.lit(_HOT_SHARE) >= F.col("_total"))
+    hot = hot.select("item", F.col("freq").alias("_hot"))
+    known = items.join(F.broadcast(hot), "item", "left")
+    key = F.when(F.col("_hot").isNull(), F.col("item")).otherwise(F.xxhash64("rid", "item", F.lit("hot")))
+    rest = order.select(F.col("item").alias("_key"), F.col("freq").alias("_freq"))
+    joined = known.withColumn("_key", key).join(rest, "_key", "left")
+    freq = F.coalesce("_hot", "_freq", F.lit(0)).alias("freq")
+    return joined.select("rid", "size", "item", freq)
+
+
 # --- word sets, Jaccard ---------------------------------------------------------------
 
 
@@ -160,6 +180,20 @@ def safe_length(q: int, threshold: float) -> int:
     return n
 
 
+def code_points(text: str) -> Column:
+    """Characters of a text, so that lengths agree with the verifier's."""
+    return F.regexp_extract_all(F.col(text), F.lit("(?s)(.)"), 1)
+
+
+def with_pieces(records: DataFrame) -> DataFrame:
+    """Add what the verifier's quick test needs: length, distinct 2-grams, and repeats among them."""
+    chars = records.withColumn("_c", code_points("body")).withColumn("length", F.size("_c"))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("length") - 1, F.lit(1)))
+    pairs = F.transform(starts, lambda i: F.xxhash64(F.get("_c", i - 1), F.get("_c", i)))
+    distinct = chars.withColumn("pieces", F.when(F.col("length") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<bigint>")))
+    return distinct.withColumn("spare", F.greatest(F.col("length") - 1, F.lit(0)) - F.size("pieces")).drop("_c")
+
+
 def gestalt_lists(records: DataFrame, rule: GestaltRule) -> DataFrame:
     """``records`` has (rid, body, day).
 
@@ -169,9 +203,8 @@ def gestalt_lists(records: DataFrame, rule: GestaltRule) -> DataFrame:
     """
     reach = 1 / _shortest_partner(rule.threshold)
     day = F.coalesce(F.col("day").cast("string"), F.lit("")) if rule.scope == "same" else F.lit("")
-    # Code points, so lengths agree with the verifier's.
-    chars = F.regexp_extract_all(F.col("body"), F.lit("(?s)(.)"), 1)
-    base = records.select("rid", day.alias("day"), chars.alias("chars")).withColumn("size", F.size("chars"))
+    base = records.select("rid", day.alias("day"), code_points("body").alias("chars"))
+    base = base.withColumn("size", F.size("chars"))
     parts, upper = [], math.inf
     for q in rule.grams:
         lower = safe_length(q, rule.threshold)
@@ -238,22 +271,37 @@ def _ratios(late: pd.Series, early: pd.Series, floor: pd.Series) -> pd.Series:
 
 
 def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifier:
-    """Pairs -> edges that satisfy their rule; the later text is the matcher's first argument."""
-    ratio = F.pandas_udf(_ratios, "double")
+    """Pairs -> edges that satisfy their rule; the later text is the matcher's first argument.
+
+    ``records`` has the columns of :func:`with_pieces`.
+    """
+    # Declared non-deterministic only to keep Spark from evaluating it once more per use.
+    ratio = F.pandas_udf(_ratios, "double").asNondeterministic()
+    columns = {"body": "text", "day": "day", "length": "n", "pieces": "pieces", "spare": "spare"}
+
+    def side(name: str, mark: str) -> DataFrame:
+        return records.select(F.col("rid").alias(name), *[F.col(c).alias(f"_{mark}_{to}") for c, to in columns.items()])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        early = records.select(F.col("rid").alias("early"), F.col("body").alias("_a"), F.col("day").alias("_da"))
-        late = records.select(F.col("rid").alias("late"), F.col("body").alias("_b"), F.col("day").alias("_db"))
-        joined = pairs.join(early, "early").join(late, "late")
-        same = F.col("_da").eqNullSafe(F.col("_db"))
+        # Pairs are narrow, but each may cost a full match in Python.
+        pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+        joined = pairs.join(side("early", "a"), "early").join(side("late", "b"), "late")
+        same = F.col("_a_day").eqNullSafe(F.col("_b_day"))
+        # Shared 2-grams, counting those that repeat within a text as shared.
+        shared = F.size(F.array_intersect("_a_pieces", "_b_pieces")) + F.least("_a_spare", "_b_spare")
         least, allowed, met = F.lit(2.0), F.lit(False), F.lit(False)
         for rule in rules:
             mine = F.col("rule") == rule.name
             least = F.when(mine, F.lit(float(rule.threshold))).otherwise(least)
             in_scope = {"same": same, "other": ~same, "any": F.lit(True)}[rule.scope]
             reached = F.col("similarity") > rule.threshold if rule.strict else F.col("similarity") >= rule.threshold
-            allowed, met = allowed | (mine & in_scope), met | (mine & reached)
-        scored = joined.filter(allowed).withColumn("similarity", ratio("_b", "_a", least))
+            lengths = F.col("_a_n"), F.col("_b_n")
+            either = F.greatest(
+                shared_grams_bound(*lengths, 2, rule.threshold), shared_grams_bound(*lengths[::-1], 2, rule.threshold)
+            )
+            allowed = allowed | (mine & in_scope & (shared >= either - 1e-9))
+            met = met | (mine & reached)
+        scored = joined.filter(allowed).withColumn("similarity", ratio("_b_text", "_a_text", least))
         return scored.filter(met).select("early", "late", "rule", "similarity")
 
     return verify
