@@ -71,6 +71,11 @@ def test_union_versions_repeats_mentions(spark):
     assert sorted((r["id"], r["part"]) for r in got) == [(1, 0), (1, 2), (2, 1)]
 
 
+def test_partition_counts(spark):
+    got = lb.partition_counts(spark.range(0, 100, 1, 4)).collect()
+    assert sorted((r["partition"], r["n"]) for r in got) == [(i, 25) for i in range(4)]
+
+
 def test_column_and_row_guards(spark):
     with pytest.raises(ValueError, match="Text"):
         lb.require_columns(spark.range(1), ["Text"])

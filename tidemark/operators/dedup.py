@@ -122,7 +122,7 @@ def jaccard_duplicates(df: DataFrame, id_col: str, text: str, threshold: float =
     return NearDuplicates(
         rows,
         key,
-        lambda records: sm.word_lists(records, threshold),
+        lambda records: sm.rare_first_lists(sm.word_items(records, threshold)),
         lambda records: sm.jaccard_verifier(records, threshold),
         sm.jaccard_bounds(threshold),
         "jaccard",
@@ -140,7 +140,7 @@ def gestalt_duplicates(
     return NearDuplicates(
         rows,
         F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("day").cast("string"), F.lit("")), "body"), 256),
-        lambda records: sm.gestalt_lists(records, same).unionByName(sm.gestalt_lists(records, other)),
+        lambda records: sm.gestalt_lists(records, [same, other]),
         lambda records: sm.gestalt_verifier(records, [same, other]),
         sm.gestalt_bounds([same, other]),
         same.name,
@@ -153,7 +153,7 @@ def gestalt_any_match(df: DataFrame, id_col: str, text: str, threshold: float =
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = sm.with_pieces(rows.withColumn("day", F.lit(None).cast("string")))
     copies, records = _collapse(rows, F.sha2(F.col("body"), 256))
-    lists = sm.gestalt_lists(records, rule)
+    lists = sm.gestalt_lists(records, [rule])
     verify = sm.gestalt_verifier(records, [rule])
     hits = greedy.any_earlier_match(lists, verify, sm.gestalt_bounds([rule]), depth)
     repeated = copies.filter(F.col("id") != F.col("rid")).select("id")

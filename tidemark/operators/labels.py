@@ -35,6 +35,11 @@ def null_profile(df: DataFrame, names: Iterable[str]) -> DataFrame:
     )
 
 
+def partition_counts(df: DataFrame) -> DataFrame:
+    """Rows per partition of the plan as it is executed."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def hash_sample(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFrame:
     """Keep each row with probability ``fraction``; the same rows on any partitioning."""
     draw = F.conv(F.substring(seeded_key(seed, *key), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))

@@ -43,41 +43,49 @@ class Bounds:
     need: Callable[[Column, Column], Column]
 
 
+def coded(items: DataFrame) -> DataFrame:
+    """Items as 64-bit codes, distinct between rules and gram lengths.
+
+    Two items that happen to share a code share a list, which costs a comparison and
+    loses nothing.
+    """
+    return items.withColumn("item", F.xxhash64("rule", "grams", "item"))
+
+
 def item_order(items: DataFrame) -> DataFrame:
-    """How often each item occurs: (item code, freq)."""
-    return items.select(F.xxhash64("item").alias("item")).groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    """How often each coded item occurs: (item, freq)."""
+    return items.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("freq"))
 
 
-def rare_first_lists(
-    items: DataFrame, prefix: Column, rule: str, grams: int = 0, order: DataFrame | None = None
-) -> DataFrame:
-    """Lists from ``items`` (rid, size, item; items distinct per rid).
+def rare_first_lists(items: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Lists from coded items ``rid, size, rule, grams, prefix, item``.
+
+    Items are distinct per record, rule and gram length; ``prefix`` says how many of
+    them, rare ones first, open a list.
 
     Any order is lossless as long as all records use the same one, so ``order`` may be
     a saved frequency table, with items it does not know first.  Lists made with it
     stay valid when further records arrive.  Items of one record are bounded by its text.
     """
-    coded = items.withColumn("item", F.xxhash64("item"))
-    weighted = _with_frequency(coded, cut_lineage(item_order(items)) if order is None else order)
-    ordered = weighted.groupBy("rid").agg(
-        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("ordered")
+    weighted = _with_frequency(items, cut_lineage(item_order(items)) if order is None else order)
+    ordered = weighted.groupBy("rid", "rule", "grams").agg(
+        F.first("size").alias("size"),
+        F.first("prefix").alias("prefix"),
+        F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("ordered"),
     )
     firsts = ordered.select(
         "rid",
         "size",
+        "rule",
+        "grams",
         F.size("ordered").alias("n"),
-        F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "e"),
+        F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix"))).alias("pos", "e"),
     )
     if order is None:
         # An item nobody else has opens no list.
         firsts = firsts.filter(F.col("e.freq") > 1)
     return firsts.select(
-        F.xxhash64(F.lit(rule), F.lit(grams), F.col("e.item")).alias("list_key"),
-        "rid",
-        "size",
-        F.lit(rule).alias("rule"),
-        F.lit(grams).alias("grams"),
-        (F.col("n") - 1 - F.col("pos")).alias("rest"),
+        F.col("e.item").alias("list_key"), "rid", "size", "rule", "grams", (F.col("n") - 1 - F.col("pos")).alias("rest")
     )
 
 
@@ -101,21 +109,25 @@ def _with_frequency(items: DataFrame, order: DataFrame) -> DataFrame:
     rest = order.select(F.col("item").alias("_key"), F.col("freq").alias("_freq"))
     joined = known.withColumn("_key", key).join(rest, "_key", "left")
     freq = F.coalesce("_hot", "_freq", F.lit(0)).alias("freq")
-    return joined.select("rid", "size", "item", freq)
+    return joined.select(*items.columns, freq)
 
 
 # --- word sets, Jaccard ---------------------------------------------------------------
 
 
-def word_items(records: DataFrame) -> DataFrame:
+def word_items(records: DataFrame, threshold: float, rule: str = "jaccard") -> DataFrame:
     """``records`` has (rid, tokens), tokens a set."""
-    return records.select("rid", F.size("tokens").alias("size"), F.explode("tokens").alias("item"))
-
-
-def word_lists(records: DataFrame, threshold: float, rule: str = "jaccard", order: DataFrame | None = None) -> DataFrame:
-    items = word_items(records)
-    prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return rare_first_lists(items, prefix, rule, order=order)
+    size = F.size("tokens")
+    return coded(
+        records.select(
+            "rid",
+            size.alias("size"),
+            F.lit(rule).alias("rule"),
+            F.lit(0).alias("grams"),
+            (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int").alias("prefix"),
+            F.explode("tokens").alias("item"),
+        )
+    )
 
 
 def jaccard_bounds(threshold: float) -> Bounds:
@@ -194,54 +206,54 @@ def with_pieces(records: DataFrame) -> DataFrame:
     return distinct.withColumn("spare", F.greatest(F.col("length") - 1, F.lit(0)) - F.size("pieces")).drop("_c")
 
 
-def gestalt_lists(records: DataFrame, rule: GestaltRule) -> DataFrame:
+def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame:
     """``records`` has (rid, body, day).
 
     Long texts are listed by long grams, which are selective; short ones by shorter
     grams, with an overlap wide enough that two partners always share a family;
     the tiniest texts share one list per scope.
     """
-    reach = 1 / _shortest_partner(rule.threshold)
-    day = F.coalesce(F.col("day").cast("string"), F.lit("")) if rule.scope == "same" else F.lit("")
-    base = records.select("rid", day.alias("day"), code_points("body").alias("chars"))
+    base = records.select("rid", F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"), code_points("body").alias("chars"))
     base = base.withColumn("size", F.size("chars"))
-    parts, upper = [], math.inf
-    for q in rule.grams:
-        lower = safe_length(q, rule.threshold)
-        family = base.filter((F.col("size") >= lower) & (F.col("size") <= F.lit(float(upper))))
-        starts = F.sequence(F.lit(1), F.col("size") - q + 1)
-        grams = F.concat_ws("", F.slice("chars", F.col("start"), F.lit(q)))
-        counted = (
-            family.select("rid", "day", "size", "chars", F.explode(starts).alias("start"))
-            .select("rid", "day", "size", grams.alias("gram"))
-            .groupBy("rid", "day", "size", "gram")
-            .agg(F.count(F.lit(1)).cast("int").alias("n"))
-        )
-        numbered = counted.select(
-            "rid", "size", "day", "gram", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")
-        )
-        items = numbered.select("rid", "size", F.concat_ws("\u0001", "day", "gram", F.col("k").cast("string")).alias("item"))
-        n = F.col("size").cast("double")
-        shared = shared_grams_bound(n, n * _shortest_partner(rule.threshold), q, rule.threshold)
-        prefix = (F.col("size") - q + 1 - F.ceil(shared - 1e-9) + 1).cast("int")
-        parts.append(rare_first_lists(items, prefix, rule.name, q))
-        # A partner of a text too short for this family is at most this long.
-        upper = math.ceil(lower * reach)
-    tiny = base.filter(F.col("size") <= F.lit(float(upper)))
-    parts.append(
-        tiny.select(
-            F.xxhash64(F.lit(rule.name), F.lit("tiny"), "day").alias("list_key"),
-            "rid",
-            "size",
-            F.lit(rule.name).alias("rule"),
-            F.lit(0).alias("grams"),
-            F.col("size").alias("rest"),
-        )
+    families, tiny = [], []
+    for rule in rules:
+        share, upper = _shortest_partner(rule.threshold), math.inf
+        scope = F.col("day") if rule.scope == "same" else F.lit("")
+        for q in rule.grams:
+            lower, n = safe_length(q, rule.threshold), F.col("size").cast("double")
+            shared = shared_grams_bound(n, n * share, q, rule.threshold)
+            fits = (F.col("size") >= lower) & (F.col("size") <= F.lit(float(upper)))
+            family = F.struct(
+                F.lit(rule.name).alias("rule"),
+                F.lit(q).alias("grams"),
+                (F.col("size") - q + 1 - F.ceil(shared - 1e-9) + 1).cast("int").alias("prefix"),
+                scope.alias("scope"),
+            )
+            families.append(F.when(fits, family))
+            # A partner of a text too short for this family is at most this long.
+            upper = math.ceil(lower / share)
+        tiny.append(F.when(F.col("size") <= upper, F.struct(F.lit(rule.name).alias("rule"), scope.alias("scope"))))
+    placed = base.withColumn("_f", F.explode(F.array_compact(F.array(*families)))).select("rid", "size", "chars", "_f.*")
+    counted = (
+        placed.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("grams") + 1)))
+        .withColumn("gram", F.concat_ws("", F.slice("chars", F.col("start"), F.col("grams"))))
+        .groupBy("rid", "size", "rule", "grams", "prefix", "scope", "gram")
+        .agg(F.count(F.lit(1)).cast("int").alias("n"))
+    )
+    # The k-th occurrence of a gram is an item of its own.
+    numbered = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    item = F.concat_ws("\u0001", "scope", "gram", F.col("k").cast("string"))
+    items = coded(numbered.select("rid", "size", "rule", "grams", "prefix", item.alias("item")))
+    short = base.withColumn("_t", F.explode(F.array_compact(F.array(*tiny)))).select("rid", "size", "_t.*")
+    shared_list = short.select(
+        F.xxhash64("rule", F.lit("tiny"), "scope").alias("list_key"),
+        "rid",
+        "size",
+        "rule",
+        F.lit(0).alias("grams"),
+        F.col("size").alias("rest"),
     )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return rare_first_lists(items).unionByName(shared_list)
 
 
 def gestalt_bounds(rules: Sequence[GestaltRule]) -> Bounds:

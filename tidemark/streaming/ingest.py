@@ -131,11 +131,12 @@ class NearDuplicateIngest:
         firsts = dd.first_per_key(fresh.withColumn("mark", mark), ["mark"], "key").drop("mark")
         firsts = cut_lineage(firsts)
         records = firsts.select(F.col("key").alias("rid"), "tokens")
+        items = sm.word_items(records, self.threshold)
         if batch_id == 0:
             # A rerun of batch 0 rewrites the same order before anything uses it.
-            sm.item_order(sm.word_items(records)).write.mode("overwrite").parquet(self.tables["order"])
+            sm.item_order(items).write.mode("overwrite").parquet(self.tables["order"])
         order = self.spark.read.schema("item bigint, freq int").parquet(self.tables["order"])
-        lists = cut_lineage(sm.word_lists(records, self.threshold, order=order))
+        lists = cut_lineage(sm.rare_first_lists(items, order))
         known = read_batches(self.spark, self.tables["lists"], self.LISTS, before=batch_id)
         words = read_batches(self.spark, self.tables["words"], self.WORDS, before=batch_id)
         verify = sm.jaccard_verifier(words.select("rid", "tokens").unionByName(records), self.threshold)
