@@ -21,13 +21,17 @@ JACCARD_THRESHOLD = 0.75
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of every key by ``order``; combined map-side, so hot keys are cheap."""
     rest = [c for c in df.columns if c not in keys]
+    if rest == [order]:
+        return df.groupBy(*keys).agg(F.min(order).alias(order))
     first = F.min(F.struct(order, *[c for c in rest if c != order])).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
 def insert_ignore(new: DataFrame, stored: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """New rows whose key is not stored yet, one per key."""
-    return first_per_key(new, keys, order).join(stored.select(*keys), list(keys), "left_anti")
+    # Distinct first: it needs the partitioning of the join anyway and evens out repeated keys.
+    known = stored.select(*keys).distinct()
+    return first_per_key(new, keys, order).join(known, list(keys), "left_anti")
 
 
 def _collapse(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from tidemark.session import cut_lineage
 
 
 def _without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    return df.join(ids.select(F.col("rid").alias(column)), column, "left_anti")
+    return df.join(ids.select(F.col("rid").alias(column)).distinct(), column, "left_anti")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -79,7 +79,7 @@ def greedy_drops(
     if stored is not None:
         held = lists.join(stored, "rid", "left_semi")
         lists = _without(lists, "rid", stored)
-        hits = verify(sm.pairs_between(held, lists, bounds))
+        hits = verify(sm.pairs_between(held, lists, bounds, repeat="late"))
         losers = cut_lineage(hits.select(F.col("late").alias("rid")).distinct())
         dropped.append(losers)
         lists = cut_lineage(_without(lists, "rid", losers))
@@ -96,8 +96,9 @@ def kept_matches(
     ``reach`` (rid, last) lets a dropped record stand for later copies of itself: kept
     records before ``last`` count too, not only those before the record.
     """
-    kept = _without(lists, "rid", dropped)
-    lost = lists.join(dropped, "rid", "left_semi")
+    lost = cut_lineage(lists.join(dropped, "rid", "left_semi"))
+    # Only lists with a dropped member matter.
+    kept = _without(lists, "rid", dropped).join(lost.select("list_key").distinct(), "list_key", "left_semi")
     if reach is None:
         return verify(sm.pairs_between(kept, lost, bounds))
     order = F.col("early") < F.col("last")

@@ -336,16 +336,21 @@ def pairs_within(lists: DataFrame, bounds: Bounds, whole: bool = True) -> DataFr
 
 
 def pairs_between(
-    early: DataFrame, late: DataFrame, bounds: Bounds, order: Column | None = None, whole: bool = True
+    early: DataFrame,
+    late: DataFrame,
+    bounds: Bounds,
+    order: Column | None = None,
+    whole: bool = True,
+    repeat: str = "early",
 ) -> DataFrame:
     """Distinct pairs of an early and a late record that meet in a list.
 
-    The members of a long list spread over several tasks; the (few) early records
-    are repeated for each.  ``order`` replaces the condition early < late and may use
-    further columns of ``late``.
+    The members of a long list spread over several tasks on one side; the other side,
+    named by ``repeat`` and meant to be the smaller one, is repeated for each.
+    ``order`` replaces the condition early < late and may use further columns of ``late``.
     """
     a, b = _sides(early, late)
-    met = salted_join(b, a, _MEETING, "late")
+    met = salted_join(b, a, _MEETING, "late") if repeat == "early" else salted_join(a, b, _MEETING, "early")
     return _promising(met, bounds, F.col("early") < F.col("late") if order is None else order, whole)
 
 

@@ -68,7 +68,7 @@ def insert_linked(
 
 def children_of(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent survived."""
-    return children.join(parents.select(key), key, "left_semi")
+    return children.join(parents.select(key).distinct(), key, "left_semi")
 
 
 def since(df: DataFrame, id_col: str, last_id: int | Column) -> DataFrame:

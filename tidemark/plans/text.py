@@ -42,9 +42,7 @@ def first_last_link(spark, sf_dir):
 )
 def page_articles(spark, sf_dir):
     """Heading of every article block, next to its page's url."""
-    pages = table(spark, sf_dir, "pages")
-    blocks = pg.article_blocks(pages).select("page_id", "heading")
-    return blocks.join(pages.select("page_id", "url"), "page_id")
+    return pg.article_blocks(table(spark, sf_dir, "pages"), keep=["url"]).select("page_id", "url", "heading")
 
 
 @register(

@@ -6,7 +6,7 @@ HTML needs a real parser, so both scans are one ``mapInPandas`` pass over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -123,27 +123,33 @@ def first_and_last_link(links: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def article_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Raw article blocks: position, links, image source, time text, heading."""
-    kind = pages.schema[key].dataType.simpleString()
+def article_blocks(
+    pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Raw article blocks: position, links, image source, time text, heading.
+
+    Columns named in ``keep`` are carried along from the page.
+    """
+    carried = [key, *keep]
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in carried)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, source in zip(batch[key], batch[html]):
+            for *page, source in zip(*[batch[c] for c in carried], batch[html]):
                 parser = _Articles()
                 parser.feed(source or "")
                 parser.close()
                 for i, block in enumerate(parser.found, 1):
                     links = [{"href": href, "text": _joined(text)} for href, text in block["links"]]
-                    rows.append((page, i, links, block["image"], _joined(block["time"]), _joined(block["heading"])))
-            yield pd.DataFrame(rows, columns=[key, "pos", "links", "image", "time_text", "heading"])
+                    rows.append((*page, i, links, block["image"], _joined(block["time"]), _joined(block["heading"])))
+            yield pd.DataFrame(rows, columns=[*carried, "pos", "links", "image", "time_text", "heading"])
 
     schema = (
-        f"{key} {kind}, pos int, links array<struct<href:string,text:string>>, "
+        f"{kinds}, pos int, links array<struct<href:string,text:string>>, "
         "image string, time_text string, heading string"
     )
-    return spread(pages.select(key, html)).mapInPandas(extract, schema)
+    return spread(pages.select(*carried, html)).mapInPandas(extract, schema)
 
 
 def articles(

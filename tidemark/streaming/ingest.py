@@ -140,7 +140,9 @@ class NearDuplicateIngest:
         known = read_batches(self.spark, self.tables["lists"], self.LISTS, before=batch_id)
         words = read_batches(self.spark, self.tables["words"], self.WORDS, before=batch_id)
         verify = sm.jaccard_verifier(words.select("rid", "tokens").unionByName(records), self.threshold)
-        repeats = verify(sm.pairs_between(known.drop("batch_id"), lists, bounds)).select(F.col("late").alias("rid"))
+        # The stored side only grows; it is spread and the batch repeated.
+        met = sm.pairs_between(known.drop("batch_id"), lists, bounds, repeat="late")
+        repeats = verify(met).select(F.col("late").alias("rid"))
         repeats = cut_lineage(repeats.distinct())
         left = lists.join(repeats, "rid", "left_anti")
         dropped = greedy.greedy_drops(cut_lineage(left), verify, bounds)
