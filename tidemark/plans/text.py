@@ -37,8 +37,10 @@ def first_last_link(spark, sf_dir):
 
 @register(
     "page_articles",
-    """SELECT page_id, url, replace(replace(replace(replace(trim(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading FROM pages WHERE contains(html, '<article>')""",
+    # HTML reads these references without their semicolon too (some headings are cut inside one).
+    """SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  trim(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)),
+  '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS heading FROM pages WHERE contains(html, '<article>')""",
 )
 def page_articles(spark, sf_dir):
     """Heading of every article block, next to its page's url."""
