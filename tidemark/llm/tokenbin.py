@@ -54,9 +54,14 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins white-space separated words.
 
     Words are tokenized by the library and kept; a text that lower-casing or splitting
-    ahead of the library could change is tokenized as a whole.
+    ahead of the library could change is tokenized as a whole.  Latin words, with full
+    stops or commas behind them or none, go straight to the library's model, if that gives
+    the whole library's ids for all of ``PROBES``.
     """
 
+    #: Words of every form that goes to the model, and of some that it must not change.
+    PROBES = ("word", "o", "été", "straße", "ñandú.", "end.", "list,", "dots...", "both.,", "über,", "w.,.,", "čaj")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -65,6 +70,17 @@ class WordTokenizer:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
         self.kept: dict[str, bytes] = {}
+        self.byte_names = _byte_names()
+        self.direct = all(self._direct(w) == self.pack(self.library.encode(w, add_special_tokens=False).ids) for w in self.PROBES)
+
+    def _direct(self, word: str) -> bytes | None:
+        stem = word.rstrip(".,")
+        if not stem.isalpha() or max(stem) > "\u024f":
+            return None
+        rest, model = word[len(stem) :], self.library.model
+        raw = stem if stem.isascii() else "".join(map(self.byte_names.__getitem__, stem.encode()))
+        ids = [t.id for t in model.tokenize(raw)]
+        return self.pack(ids + [t.id for t in model.tokenize(rest)] if rest else ids)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -77,8 +93,10 @@ class WordTokenizer:
         new = list({w for words in split if words for w in words}.difference(self.kept))
         known = self.kept
         if new:
-            ids = self.library.encode_batch_fast(new, add_special_tokens=False)
-            found = {word: self.pack(e.ids) for word, e in zip(new, ids)}
+            found = {word: self._direct(word) if self.direct else None for word in new}
+            other = [word for word, packed in found.items() if packed is None]
+            ids = self.library.encode_batch_fast(other, add_special_tokens=False)
+            found.update((word, self.pack(e.ids)) for word, e in zip(other, ids))
             room = KEPT_WORDS - len(known)
             if len(found) <= room:
                 known.update(found)
@@ -89,6 +107,14 @@ class WordTokenizer:
         return [self.whole(text) if words is None else b"".join(map(ids_of, words)) for text, words in zip(texts, split)]
 
 
+def _byte_names() -> list[str]:
+    """The character by which byte-level models name each byte: printable bytes themselves,
+    the others counted from U+0100 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
 def plain(text: str) -> bool:
     """True if words may be lower-cased and split ahead of the tokenizer."""
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or "<|" in text:
