@@ -236,11 +236,12 @@ def _slots(spark, plan: Plan, shard_slots: int, seed: int) -> DataFrame:
 
 def taken_words(mixed: Mix) -> DataFrame:
     """(key, source, source_no, size, taken): the words of each document that the mix takes, repeats counted."""
-    times = mixed.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # Slots come from a small table and grow with the corpus; Spark would take them for small.
+    times = mixed.slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = (
         mixed.pieces.join(times, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
-    return mixed.sized.join(taken, "row", "left").select(
+    return mixed.sized.join(taken.hint("merge"), "row", "left").select(
         "key", "source", "source_no", "size", F.coalesce("taken", F.lit(0)).alias("taken")
     )
 
@@ -250,7 +251,7 @@ def _taken_pieces(mixed: Mix) -> DataFrame:
 
     A document has at most as many pieces as words, so its list is bounded.
     """
-    met = mixed.pieces.join(mixed.slots.select("source_no", "block", "turn"), ["source_no", "block"])
+    met = mixed.pieces.join(mixed.slots.select("source_no", "block", "turn").hint("merge"), ["source_no", "block"])
     return met.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("pieces"))
 
 
@@ -264,7 +265,7 @@ def mixed_documents(mixed: Mix, docs: DataFrame, row: str, text: str, n_chars: s
     rest = [c for c in docs.columns if c not in (row, text, n_chars)]
     names = [c for c in docs.columns if c != row]
     known = docs.select(F.col(row).alias("row"), F.col(text).alias("text"), F.struct(*rest).alias("rest"))
-    joined = known.join(_taken_pieces(mixed), "row").select("rest", "text", "pieces")
+    joined = known.join(_taken_pieces(mixed).hint("merge"), "row").select("rest", "text", "pieces")
     schema = StructType(
         [StructField("rest", joined.schema["rest"].dataType), StructField("text", StringType()), StructField("n_chars", LongType())]
     )
