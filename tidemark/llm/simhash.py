@@ -197,7 +197,7 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
     padded = np.zeros(words * 64, np.uint64)
     padded[: len(prints)] = prints
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within_radius(planes: np.ndarray, queries: np.ndarray, radius: int, n: int) -> np.ndarray:
