@@ -12,12 +12,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices_of, text_buffers
+from tidemark.llm.common import hash_filter, passing, slices_of, text_buffers
 from tidemark.session import cut_lineage
 
 #: A cut is the largest hash among this many positions on either side: chunks are longer than it.
@@ -189,9 +190,22 @@ def remove_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, keep_te
     of the bytes, which need not be valid UTF-8, or null without ``keep_text``.  A null
     text is empty.
     """
+    kind = "array<bigint>"
+    sources = F.col("sources") if "sources" in spans.columns else F.lit(None).cast(kind)
+    spans = cut_lineage(spans.select("key", "spans", sources.alias("sources")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    sources = F.col("sources") if "sources" in spans.columns else F.lit(None).cast("array<bigint>")
-    joined = rows.join(spans.select("key", "spans", sources.alias("sources")), "key", "left")
+    # Texts that surely have no spans are not shuffled.
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(spans.select(F.xxhash64("key").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may_have(h: pd.Series) -> pd.Series:
+        out = np.zeros(len(h), bool)
+        out[passing(bits.value, h.to_numpy(np.int64).view(np.uint64))] = True
+        return pd.Series(out)
+
+    flagged = rows.withColumn("may", may_have(F.xxhash64("key")))
+    lone = flagged.where(~F.col("may")).select("key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(None).cast(kind).alias("sources"))
+    joined = flagged.where("may").drop("may").join(spans, "key", "left").unionByName(lone)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of whole texts that one Arrow batch may hold.
 TEXT_BATCH_ROWS = 1000
@@ -82,3 +83,40 @@ def run_bounds(sorted_values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n]))
+
+
+#: log2 of a filter's bits: 8 MB, whatever is put in.
+FILTER_BITS = 26
+
+
+def filter_places(h: np.ndarray) -> list[np.ndarray]:
+    """Three bits of a filter for each 64-bit hash."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return [h & mask, (h >> np.uint64(19)) & mask, (h >> np.uint64(38)) & mask]
+
+
+def hash_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes: tasks set bits, Spark merges the words they set.
+
+    Its size is fixed; the more hashes, the more others pass.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(filter_places(batch.column(0).to_numpy().view(np.uint64))).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
+
+    words = hashes.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "word bigint, bit bigint")
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that the filter may hold."""
+    at = np.arange(len(h))
+    for place in filter_places(h):
+        p = place[at].astype(np.int64)
+        at = at[(bits[p >> 6] >> (p & 63)) & 1 == 1]
+    return at

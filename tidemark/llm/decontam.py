@@ -20,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices_of, text_buffers
+from tidemark.llm.common import hash_filter, passing, slices_of, text_buffers
 from tidemark.session import cut_lineage
 
 #: 1 marks a position that counts.  Every mask spans fewer words than the shortest overlap.
 MASKS = ("110101011", "1110010101", "11001011001", "101100100111")
-#: log2 of the filter's bits.
-FILTER_BITS = 26
 #: Added to mismatches along a diagonal, so that a stretch with a gain has over 0.8 equal words.
 MISMATCH = -4
 
@@ -102,27 +100,6 @@ def test_index(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, D
     return found, items, short, longest
 
 
-def probes(h: np.ndarray) -> list[np.ndarray]:
-    """Three places of the filter for each hash."""
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return [h & mask, (h >> np.uint64(19)) & mask, (h >> np.uint64(38)) & mask]
-
-
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """The Bloom filter, 2 ** FILTER_BITS bits: tasks set bits, Spark merges the words they set."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(probes(batch.column(0).to_numpy().view(np.uint64))).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
-
-    words = hashes.select("h").mapInArrow(run, "word bigint, bit bigint")
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out
-
-
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -143,19 +120,12 @@ def overlaps(
     """
     spark = docs.sparkSession
     tests, items, short, longest = test_index(benchmark, item, item_text)
-    bits = spark.sparkContext.broadcast(hash_filter(tests))
+    bits = spark.sparkContext.broadcast(hash_filter(tests, "h"))
     offsets, spans = mask_offsets(short), SPANS + short
     reach = longest + max(SPANS)
     chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
     kind, item_kind = chosen.schema["key"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
 
-    def passing(h: np.ndarray) -> np.ndarray:
-        at = np.arange(len(h))
-        for place in probes(h):
-            p = place[at].astype(np.int64)
-            at = at[(bits.value[p >> 6] >> (p & 63)) & 1 == 1]
-        return at
-
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows for each stretch of a text around windows that passed: its words and their hashes."""
         for batch in batches:
@@ -169,7 +139,7 @@ def overlaps(
                 found = []
                 for k, (o, span) in enumerate(zip(offsets, spans)):
                     h = window_hashes(flat, o, span, k)
-                    at = passing(h)
+                    at = passing(bits.value, h)
                     doc = np.searchsorted(start, at, side="right") - 1
                     inside = at + span <= start[doc] + sizes[doc]
                     found.append((doc[inside], at[inside] - start[doc[inside]], np.full(int(inside.sum()), k), h[at[inside]]))

@@ -148,11 +148,11 @@ def packed(held: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[fresh])) + 1, [len(fresh)])) if len(fresh) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = fresh[a:b]
-        body = b"".join((key[own].tobytes(), start[own].tobytes(), count[own].tobytes(), *(pieces[i] for i in own.tolist())))
+        body = b"".join((places(key[own], start[own], count[own]), *(pieces[i] for i in own.tolist())))
         rows.append((int(bucket[own[0]]), int(key[own].min()), int(count[own].sum()), False, len(own), zip_(body)))
     if known.any():
         own = np.flatnonzero(known)
-        body = b"".join((key[own].tobytes(), start[own].tobytes(), count[own].tobytes()))
+        body = places(key[own], start[own], count[own])
         rows.append((int(bucket[own[0]]), int(key[own].min()), 0, True, len(own), zip_(body)))
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     columns = list(zip(*rows)) if rows else [()] * 6
@@ -264,10 +264,17 @@ def windows_of(raw: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.nd
     return order, h, key[n], start[n] + (at - begin[n])
 
 
+def places(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """The three columns byte plane by byte plane, keys by their differences: planes of zeros pack to nothing."""
+    columns = (np.diff(key, prepend=0), start, count)
+    return b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
 def unpacked(blob: bytes, size: int, zip_) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     body = zip_(blob)
-    key, start, count = (np.frombuffer(body, "<i8", size, 8 * size * i) for i in range(3))
-    return key, start, count, np.frombuffer(body, np.uint8, offset=24 * size)
+    planes = np.frombuffer(body, np.uint8, 24 * size).reshape(3, 8, size)
+    key, start, count = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes)
+    return np.cumsum(key), start, count, np.frombuffer(body, np.uint8, offset=24 * size)
 
 
 def bucket_repeats(blobs: list[tuple[bytes, int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
