@@ -30,11 +30,11 @@ from tidemark.llm.common import key_runs, text_buffers
 #: Bytes of the minimizer.
 GRAM = 12
 #: Text that a task cuts into stretches at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Windows of a batch before it gets its array.
-BATCH_WINDOWS = 1 << 20
+BATCH_WINDOWS = 1 << 19
 #: Windows of a bucket that a task indexes at once; a larger bucket takes several passes, each over a part of the hashes.
-PASS_WINDOWS = 6 << 20
+PASS_WINDOWS = 3 << 20
 #: Buckets for each shuffle partition.
 BUCKETS = 8
 
