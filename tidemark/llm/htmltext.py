@@ -161,9 +161,11 @@ def main_blocks(lines: list[Line], surge: int = 80) -> list[str]:
 
     If the page marks its article, only lines of it count.  Else links do not count, and a
     window surges when its sum reaches ``surge`` characters, or half of the largest sum on
-    pages with less; the text around it is kept up to the windows that sum to nothing.
+    pages with less; the text around it is kept up to the windows that sum to nothing, but
+    for lines of links alone, which are menus.
     """
-    if any(x.main and x.text for x in lines):
+    marked = any(x.main and x.text for x in lines)
+    if marked:
         weight = np.array([len(x.text) if x.main else 0 for x in lines], np.int64)
         least = 1
     else:
@@ -180,7 +182,7 @@ def main_blocks(lines: list[Line], surge: int = 80) -> list[str]:
     out: list[str] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
         if total[a:b].max() >= least:
-            out += [x.text for x, w in zip(lines[a : b + WINDOW - 1], weight[a : b + WINDOW - 1].tolist()) if x.text and (w or least > 1)]
+            out += [x.text for x, w in zip(lines[a : b + WINDOW - 1], weight[a : b + WINDOW - 1].tolist()) if x.text and (w or not marked and x.links < len(x.text.replace(" ", "")))]
     return out
 
 
