@@ -205,10 +205,9 @@ def stretch(context: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, in
     equal = context[a + shift : b + shift] == words[a:b]
     gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, MISMATCH))))
     least = np.minimum.accumulate(gain)
-    end = int((gain - least).argmax())
-    start = int(gain[: end + 1][::-1].argmin())
-    start = end - start
-    # A stretch begins and ends with equal words.
+    # The longest of the stretches with the largest gain; it begins and ends with equal words.
+    end = len(gain) - 1 - int((gain - least)[::-1].argmax())
+    start = int(gain[: end + 1].argmin())
     return end - start, int(equal[start:end].sum()), a + start + shift
 
 

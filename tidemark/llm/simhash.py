@@ -86,14 +86,15 @@ def fingerprint_groups(prints: DataFrame, radius: int = 3, blocks: int = 5, long
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("key").alias("rep")).where("rep IS NOT NULL"))
     lists = distinct.select("fingerprint", "rep", F.explode(F.array(*_block_keys(blocks, radius))).alias("at"))
     lists = lists.select("fingerprint", "rep", F.col("at.bits").alias("open"), F.col("at.list").alias("list"))
-    while True:
-        counts = lists.groupBy("list", "open").count().where(F.col("count") > longest)
-        # With as few open bits as the radius has parts, a list holds few distinct fingerprints anyhow.
-        hot = cut_lineage(counts.where(F.bit_count("open") > 16).select("list", "open"))
+    level = 0
+    while (radius + 1) ** level < 64:
+        counts = lists.groupBy("list", "open").count()
+        hot = cut_lineage(counts.where(F.col("count") > longest).select("list", "open"))
         if hot.isEmpty():
             break
         split = lists.join(hot, ["list", "open"])
-        lists = cut_lineage(lists.join(hot, ["list", "open"], "left_anti").unionByName(_relist(split, radius)))
+        lists = cut_lineage(lists.join(hot, ["list", "open"], "left_anti").unionByName(_relist(split, radius, level)))
+        level += 1
     ordered = lists.select("list", "fingerprint", "rep").repartition("list").sortWithinPartitions("list", "rep")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +139,15 @@ def _block_keys(blocks: int, radius: int) -> list[Column]:
     return out
 
 
-def _relist(rows: DataFrame, radius: int) -> DataFrame:
-    """The rows under each of radius + 1 parts of their open bits: one part is equal in every pair."""
+def _relist(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """The rows under each of radius + 1 parts of their open bits: one part is equal in every pair.
+
+    Each level divides the bits across the parts of the level before.
+    """
     parts = radius + 1
     options = []
     for i in range(parts):
-        pattern = _signed(sum(1 << j for j in range(64) if j % parts == i))
+        pattern = _signed(sum(1 << j for j in range(64) if j // parts**level % parts == i))
         part = F.col("open").bitwiseAND(F.lit(pattern))
         options.append(
             F.struct(
