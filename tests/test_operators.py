@@ -358,3 +358,38 @@ def test_run_metrics(spark, tmp_path):
     assert sorted(r["step"] for r in kept.collect()) == [0, 10, 20]
     combos = spark.range(1).select(F.inline(rn.options(rate=[0.1, 0.2], width=[1, 2, 3]))).collect()
     assert len(combos) == 6 and tuple(combos[1]) == (0.1, 2)
+
+
+def test_best_run_of_text_ids_takes_the_smallest(spark):
+    from tidemark.operators import runs
+
+    rows = [("a", "r2", 0.5), ("a", "r10", 0.5), ("a", "r1", 0.1), (None, "x", 0.2), ("b", "y", 0.0)]
+    df = spark.createDataFrame(rows, "g string, run_id string, acc double")
+    got = {(r["g"], r["run_id"], r["acc"]) for r in runs.best_run(df, ["g"], "run_id", "acc").collect()}
+    assert got == {("a", "r10", 0.5), (None, "x", 0.2)}
+
+
+def test_links_with_schemes_and_hosts_stay(spark):
+    from tidemark.functions import text
+
+    links = ["//cdn.x/y.png", "mailto:a@b", "http://h/z", "/a/b", "./c", "d"]
+    df = spark.createDataFrame([(x,) for x in links], "href string")
+    got = {r[0]: r[1] for r in df.select("href", text.resolve_url("https://n.com", "href")).collect()}
+    assert got == {
+        "//cdn.x/y.png": "https://cdn.x/y.png",
+        "mailto:a@b": "mailto:a@b",
+        "http://h/z": "http://h/z",
+        "/a/b": "https://n.com/a/b",
+        "./c": "https://n.com/c",
+        "d": "https://n.com/d",
+    }
+
+
+def test_blank_texts_are_neutral_in_both_scorers(spark):
+    from tidemark.functions import text
+    from tidemark.operators import scoring
+
+    rows = [("\t\n",), ("",), (" ",), (None,), ("good \t day",)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = df.select("t", text.lexicon_sentiment("t", scoring.DEFAULT_POSITIVE, scoring.DEFAULT_NEGATIVE).alias("s"))
+    assert {r["t"]: r["s"] for r in plain.collect()} == {"\t\n": "NEUTRAL", "": "NEUTRAL", " ": "NEUTRAL", None: "NEUTRAL", "good \t day": "POSITIVE"}

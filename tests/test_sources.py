@@ -50,9 +50,9 @@ def test_records_survive_split_borders(spark, tmp_path, newline):
 def test_csv_with_quoted_newline_and_quotes(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     path.write_text('Id,Score,Text\n1,5,"two\nlines"\n2,,"said ""hi"""\n3,1,\n', encoding="utf-8")
-    got = records.read_csv(spark, str(path), records.REVIEW_CSV).orderBy("Id").collect()
+    got = records.read_csv(spark, str(path), records.REVIEW_CSV, multi_line=True).orderBy("Id").collect()
     assert [tuple(r) for r in got] == [(1, 5, "two\nlines"), (2, None, 'said "hi"'), (3, 1, None)]
-    labelled = records.read_csv(spark, str(path), records.REVIEW_CSV).select(
+    labelled = records.read_csv(spark, str(path), records.REVIEW_CSV, multi_line=True).select(
         "Id", tx.threshold_label("Score").alias("s")
     )
     assert [r["s"] for r in labelled.orderBy("Id").collect()] == ["POSITIVE", "NEGATIVE", "NEGATIVE"]
@@ -186,9 +186,9 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "train", "ä\n\"x\""), (2, "val", None)], "id long, split string, text string")
     sinks.write_report_csv(df, str(tmp_path / "one"))
     assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
-    back = records.read_csv(spark, str(tmp_path / "one"), "id long, split string, text string")
+    back = records.read_csv(spark, str(tmp_path / "one"), "id long, split string, text string", multi_line=True)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
-    sinks.write_report_csv(df.repartition(2), str(tmp_path / "many"), max_rows=1)
+    sinks.write_report_csv(df.repartition(2), str(tmp_path / "many"), one_file=False)
     assert len(list((tmp_path / "many").glob("part-*.csv"))) == 2
     sinks.write_splits_csv(df, str(tmp_path / "splits"))
     assert {p.name for p in (tmp_path / "splits").iterdir() if p.is_dir()} == {"split=train", "split=val"}

@@ -47,7 +47,8 @@ def head(text: str | Column, size: int = 512) -> Column:
 
 
 def resolve_url(base: str, href: str | Column, cut_ends: bool = False) -> Column:
-    """Absolute links stay; relative ones are appended to ``base``.
+    """Links with a scheme stay, those that begin with two slashes take the scheme of
+    ``base``, and relative ones are appended to ``base``.
 
     ``cut_ends`` drops the first and last character of a relative link, which undoes
     links that begin with a dot and end in a stray character.
@@ -58,7 +59,12 @@ def resolve_url(base: str, href: str | Column, cut_ends: bool = False) -> Column
         joined = F.concat(F.lit(base), tail)
     else:
         joined = F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(link, F.lit("/.")))
-    return F.when(link.startswith("http"), link).otherwise(joined)
+    scheme = base.split(":", 1)[0]
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.lit(scheme + ":"), link))
+        .otherwise(joined)
+    )
 
 
 def base64_text(data: str | Column) -> Column:
@@ -113,7 +119,7 @@ def lexicon_score(text: str | Column, positive: Sequence[str], negative: Sequenc
 
 def lexicon_sentiment(text: str | Column, positive: Sequence[str], negative: Sequence[str]) -> Column:
     """NEUTRAL for text without words, else POSITIVE when the score is not below zero."""
-    blank = F.trim(F.coalesce(as_col(text), F.lit(""))) == ""
+    blank = F.size(words(F.coalesce(as_col(text), F.lit("")))) == 0
     return F.when(blank, NEUTRAL).when(lexicon_score(text, positive, negative) >= 0, POSITIVE).otherwise(NEGATIVE)
 
 

@@ -31,9 +31,11 @@ def best_run(df: DataFrame, group: Sequence[str], run: str, score: str) -> DataF
     Groups whose scores are all 0 have no best run.
     """
     rated = df.filter(F.col(score) > 0)
-    return rated.groupBy(*group).agg(
-        F.max_by(run, F.struct(F.col(score), -F.col(run))).alias(run), F.max(score).alias(score)
-    )
+    top = rated.groupBy(*[F.col(g).alias(f"_top_{g}") for g in group]).agg(F.max(score).alias("_top"))
+    # Groups by a null key meet themselves again.
+    same = [F.col(g).eqNullSafe(F.col(f"_top_{g}")) for g in group] + [F.col(score) == F.col("_top")]
+    tied = rated.join(top, same).select(*group, run, score)
+    return tied.groupBy(*group).agg(F.min(run).alias(run), F.max(score).alias(score))
 
 
 def options(**values: Sequence) -> Column:

@@ -94,22 +94,30 @@ def counter_samples(
     before = F.lag(value).over(line)
     step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     # Running totals make the trailing sums a difference of two rows, so the only thing
-    # looked up per range is its first sample.
+    # looked up per range is its first sample.  Each sample sends a probe to the start of
+    # its range; running backwards in time, the last sample before a probe is the first one
+    # of the range.  Every window here keeps one row of state, so time grows in proportion.
     rows = blocks.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_n", F.row_number().over(line))
     rows = rows.withColumn("_grown", F.sum("_step").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)))
     by_time = W.partitionBy(*series, "_block").orderBy("_at")
-    first = F.min(F.struct("_n", "_grown", "_at", F.col(value).alias("v"))).over(by_time.rangeBetween(-reach, 0))
     # Samples with the same time belong to each other's ranges.
     last = F.max(F.struct("_n", "_grown")).over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow))
+    probe = lambda at, is_probe: F.struct(at.alias("t"), F.lit(is_probe).alias("probe"))
+    marks = F.explode(F.array(probe(F.col("_at"), 0), probe(F.col("_at") - reach, 1)))
+    back = W.partitionBy(*series, "_block").orderBy(F.col("_mark.t").desc(), "_mark.probe", F.col("_n").desc())
+    sample = F.when(F.col("_mark.probe") == 0, F.struct("_n", "_grown", "_at", F.col(value).alias("v")))
+    first = F.last(sample, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = (
-        rows.withColumn("_first", first)
-        .withColumn("_last", last)
+        rows.withColumn("_last", last)
+        .withColumn("_mark", marks)
+        .withColumn("_first", first)
+        .filter("_mark.probe = 1")
         .withColumn("increase", F.col("_last._grown") - F.col("_first._grown"))
         .withColumn("samples", (F.col("_last._n") - F.col("_first._n") + 1).cast("bigint"))
         .withColumn("first_at", F.col("_first._at"))
         .withColumn("first_value", F.col("_first.v"))
     )
-    return out.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_step", "_n", "_grown", "_first", "_last")
+    return out.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_step", "_n", "_grown", "_first", "_last", "_mark")
 
 
 def counter_rate(

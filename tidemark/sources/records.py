@@ -76,12 +76,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(read_blocks(spark, path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; quoted newlines and doubled quotes are part of the value."""
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; doubled quotes are part of the value.
+
+    With ``multi_line`` quoted newlines are too; such files cannot be split among tasks.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )

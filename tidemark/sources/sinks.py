@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Above this many rows a single output file would make one task the bottleneck.
-ONE_FILE_ROWS = 1_000_000
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_report_csv(df: DataFrame, path: str, max_rows: int = ONE_FILE_ROWS) -> None:
-    """A small result as one CSV file with a header; a large one as many files."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_report_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A report as CSV with a header: one file, or, for results that one task can't write, one per partition."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_splits_csv(df: DataFrame, path: str, split: str = "split") -> None:
