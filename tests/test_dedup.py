@@ -182,3 +182,15 @@ def test_insert_ignore_keeps_first_of_new_keys(spark):
     stored = spark.createDataFrame([("b",)], "key string")
     got = dd.insert_ignore(new, stored, ["key"], "id").collect()
     assert [(r["id"], r["key"], r["v"]) for r in got] == [(1, "a", "y")]
+
+
+def test_short_texts_follow_the_sequential_rule(spark):
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("abcd") for _ in range(draw.randint(0, 8))), draw.choice([None, "x", "y"])) for i in range(400)]
+    kept = []
+    for i, text, day in rows:
+        if not any(SequenceMatcher(None, text, t).ratio() >= (0.85 if day == d else 0.95) for _, t, d in kept):
+            kept.append((i, text, day))
+    df = spark.createDataFrame(rows, "id long, text string, day string")
+    got = sorted(r["id"] for r in dd.gestalt_duplicates(df, "id", "text", "day").kept(depth=20).collect())
+    assert got == [i for i, _, _ in kept]

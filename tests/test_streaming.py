@@ -2,6 +2,7 @@ import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import training as tr
@@ -77,6 +78,28 @@ def test_unchanged_feed_is_skipped(spark, tmp_path):
     assert {r["batch_id"]: r["count"] for r in got} == {0: 2, 2: 2}
 
 
+def test_captures_of_one_batch_are_told_apart(spark, tmp_path):
+    handle = ing.changed_feeds(str(tmp_path / "state"), str(tmp_path / "out"), "feed", "pos", ["title"], capture="taken")
+    schema = "feed string, taken int, pos int, title string"
+    # Feed f: as it was, the same, changed, back again.  Feed g: once, with a missing title.
+    first = [("f", 1, 1, "a"), ("f", 2, 1, "a"), ("f", 3, 1, "b"), ("f", 4, 1, "a"), ("g", 1, 1, None)]
+    handle(spark.createDataFrame(first, schema), 0)
+    handle(spark.createDataFrame([("f", 5, 1, "a"), ("g", 5, 1, None), ("g", 6, 1, "x")], schema), 1)
+    got = sorted((r["batch_id"], r["feed"], r["taken"]) for r in ing.read_batches(spark, str(tmp_path / "out"), schema).collect())
+    assert got == [(0, "f", 1), (0, "f", 3), (0, "f", 4), (0, "g", 1), (1, "g", 6)]
+
+
+def test_stored_batches_are_not_replaced_under_a_new_checkpoint(spark, tmp_path):
+    table = str(tmp_path / "table")
+    handle = ing.ignore_known(table, "id bigint, url string", ["url"], "id")
+    for n in (0, 1):
+        handle(spark.createDataFrame([(n, f"u{n}")], "id bigint, url string"), n)
+    with pytest.raises(RuntimeError, match="old checkpoint"):
+        handle(spark.createDataFrame([(7, "u7")], "id bigint, url string"), 0)
+    handle(spark.createDataFrame([(1, "u1")], "id bigint, url string"), 1)
+    assert ing.read_batches(spark, table, "id bigint, url string").count() == 2
+
+
 def test_latest_gauge_stream_keeps_newest(spark, tmp_path):
     landing, out, checkpoint = (str(tmp_path / p) for p in ("landing", "out", "checkpoint"))
     schema = "name string, at bigint, value double"

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import word_set
 from tidemark.operators import greedy
 from tidemark.operators import similarity as sm
-from tidemark.operators.skew import salted_join
-from tidemark.session import cut_lineage, spread
+from tidemark.session import cut_lineage
 
 SAME_DAY = sm.GestaltRule("same day", 0.85, "same")
-OTHER_DAY = sm.GestaltRule("different day", 0.95, "other", grams=(5, 2))
+OTHER_DAY = sm.GestaltRule("different day", 0.95, "other", grams=(5, 2, 1))
 JACCARD_THRESHOLD = 0.75
 
 
@@ -38,11 +37,12 @@ def _collapse(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """(id -> representative rid with the last copy's id, distinct records).
 
     Records equal under ``key`` share every match, so only the first one of each
-    crowd enters the similarity join.
+    crowd enters the similarity join.  The join of a very common record is left to the
+    skew join of adaptive execution, which splits the side of the copies only.
     """
     keyed = cut_lineage(df.select("id", key.alias("_key")))
     reps = keyed.groupBy("_key").agg(F.min("id").alias("rid"), F.max("id").alias("last"))
-    copies = salted_join(keyed, reps, ["_key"], "id").select("id", "rid", "last")
+    copies = keyed.join(reps, "_key").select("id", "rid", "last")
     records = df.withColumnRenamed("id", "rid").join(reps.select("rid", "last"), "rid")
     return copies, cut_lineage(records)
 
@@ -54,6 +54,8 @@ class NearDuplicates:
     """
 
     def __init__(self, rows: DataFrame, key: Column, make_lists, make_verifier, bounds: sm.Bounds, copy_rule: str):
+        # Parsing and tokenizing happen once; everything below reads the written rows.
+        rows = cut_lineage(rows)
         self.copies, self.records = _collapse(rows, key)
         self.lists = cut_lineage(make_lists(self.records))
         self.verify = make_verifier(self.records)
@@ -80,9 +82,7 @@ class NearDuplicates:
     def _all_matches(self, dropped: DataFrame) -> DataFrame:
         reach = self.records.select("rid", "last")
         edges = greedy.kept_matches(self.lists, dropped, self.verify, self.bounds, reach)
-        near = salted_join(self.copies, edges.withColumnRenamed("late", "rid"), ["rid"], "id").filter(
-            F.col("early") < F.col("id")
-        )
+        near = self.copies.join(edges.withColumnRenamed("late", "rid"), "rid").filter(F.col("early") < F.col("id"))
         # Copies of a kept row match that row exactly; they may match other kept rows as well,
         # but none that comes before it.
         again = self.copies.filter(F.col("id") != F.col("rid")).join(dropped, "rid", "left_anti")
@@ -118,7 +118,7 @@ class NearDuplicates:
 def jaccard_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = JACCARD_THRESHOLD, stored: str | None = None) -> NearDuplicates:
     """Near duplicates by Jaccard similarity of lower-cased word sets."""
     flag = [F.col(stored).alias("stored")] if stored else []
-    rows = spread(df).select(F.col(id_col).alias("id"), F.sort_array(word_set(text)).alias("tokens"), *flag)
+    rows = df.select(F.col(id_col).alias("id"), F.sort_array(word_set(text)).alias("tokens"), *flag)
     # Texts without words are unlike everything, each other included.
     key = F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", "\u0001"), 256)).otherwise(
         F.concat(F.lit("id:"), F.col("id").cast("string"))
@@ -139,7 +139,7 @@ def gestalt_duplicates(
     """Near duplicates by gestalt ratio of lower-cased text, looser within a day than across days."""
     flag = [F.col(stored).alias("stored")] if stored else []
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rows = spread(df).select(F.col(id_col).alias("id"), body.alias("body"), F.col(day).alias("day"), *flag)
+    rows = df.select(F.col(id_col).alias("id"), body.alias("body"), F.col(day).alias("day"), *flag)
     rows = sm.with_pieces(rows)
     return NearDuplicates(
         rows,
@@ -155,7 +155,7 @@ def gestalt_any_match(df: DataFrame, id_col: str, text: str, threshold: float =
     """Rows with an earlier row whose text has a ratio above the threshold (case-sensitive, strict)."""
     rule = sm.GestaltRule("any", threshold, "any", strict=True)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = sm.with_pieces(rows.withColumn("day", F.lit(None).cast("string")))
+    rows = cut_lineage(sm.with_pieces(rows.withColumn("day", F.lit(None).cast("string"))))
     copies, records = _collapse(rows, F.sha2(F.col("body"), 256))
     lists = sm.gestalt_lists(records, [rule])
     verify = sm.gestalt_verifier(records, [rule])

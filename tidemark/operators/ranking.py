@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def seeded_key(seed: int | str | Column, *cols: str | Column) -> Column:
     """Uniform, repeatable sort key: md5 over ``seed:col:col``."""
@@ -28,10 +30,25 @@ def hash_bucket(key: Column, hex_digits: int = 4) -> Column:
 
 
 def id_bucket(key: Column, width: int = 1_000_000) -> Column:
-    """Blocks of a unique integer key: in key order, at most ``width`` rows each."""
+    """Blocks of a unique integer key: in key order, at most ``width`` rows each.
+
+    For dense keys, where it needs no pass over the data; ids with wide gaps would make as
+    many blocks as rows.  :func:`with_range_bucket` serves any key.
+    """
     return (key - F.pmod(key, F.lit(width))).cast("long")
 
 
+def with_range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "_range") -> DataFrame:
+    """Add order-preserving buckets of about equal size for a unique key of any type.
+
+    Spark's range partitioning takes the bounds from a sample of the keys.  The dealt rows
+    are written, since another run might sample other bounds.  ``buckets`` is
+    ``spark.sql.shuffle.partitions`` unless given.
+    """
+    dealt = df.repartitionByRange(*([buckets] if buckets else []), *order)
+    return cut_lineage(dealt.withColumn(out, F.spark_partition_id()))
+
+
 def rows_before(df: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
     """Per (group, bucket): its row count and the rows of the group in earlier buckets.
 

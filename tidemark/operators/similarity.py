@@ -135,15 +135,16 @@ def jaccard_bounds(threshold: float) -> Bounds:
     return Bounds(threshold, lambda a, b: (a + b) * F.lit(share) - F.lit(1e-9))
 
 
-def jaccard_verifier(records: DataFrame, threshold: float) -> Verifier:
-    """Pairs -> edges with Jaccard >= threshold.
+def jaccard_verifier(records: DataFrame, threshold: float, earlier: DataFrame | None = None) -> Verifier:
+    """Pairs -> edges with Jaccard >= threshold; early records come from ``earlier`` if given.
 
     A record with very many partners makes a hot join key here; the skew join of
     adaptive execution splits it, the record itself being a single row.
     """
 
     def verify(pairs: DataFrame) -> DataFrame:
-        early = records.select(F.col("rid").alias("early"), F.col("tokens").alias("_a"))
+        source = records if earlier is None else earlier
+        early = source.select(F.col("rid").alias("early"), F.col("tokens").alias("_a"))
         late = records.select(F.col("rid").alias("late"), F.col("tokens").alias("_b"))
         scored = pairs.join(early, "early").join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
         return scored.filter(F.col("similarity") >= threshold).select("early", "late", "rule", "similarity")
@@ -162,7 +163,7 @@ class GestaltRule:
     threshold: float
     scope: str = "any"
     strict: bool = False
-    grams: tuple[int, ...] = (3, 2)
+    grams: tuple[int, ...] = (3, 2, 1)
 
 
 def shared_grams_bound(n, partner, q: int, threshold: float):
@@ -182,10 +183,14 @@ def _shortest_partner(threshold: float) -> float:
 
 
 def safe_length(q: int, threshold: float) -> int:
-    """Smallest length from which at least one q-gram is shared with every partner."""
+    """Smallest length from which at least one q-gram is shared with every partner.
+
+    Shared grams are a whole number, so a positive bound means one.  For 1-grams that
+    holds from length 1 on.
+    """
     share = _shortest_partner(threshold)
     n = q
-    while shared_grams_bound(n, n * share, q, threshold) < 1 - 1e-9:
+    while shared_grams_bound(n, n * share, q, threshold) < 1e-6:
         n += 1
         if n > 10_000:
             raise ValueError(f"{q}-grams cannot serve threshold {threshold}")
@@ -211,11 +216,13 @@ def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame
 
     Long texts are listed by long grams, which are selective; short ones by shorter
     grams, with an overlap wide enough that two partners always share a family;
-    the tiniest texts share one list per scope.
+    the shortest by their single characters.  Empty texts, which are like each other
+    only, share one list per scope; equal texts of a day being one record, it has at most
+    one member a day.
     """
     base = records.select("rid", F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"), code_points("body").alias("chars"))
     base = base.withColumn("size", F.size("chars"))
-    families, tiny = [], []
+    families, empty = [], []
     for rule in rules:
         share, upper = _shortest_partner(rule.threshold), math.inf
         scope = F.col("day") if rule.scope == "same" else F.lit("")
@@ -232,7 +239,9 @@ def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame
             families.append(F.when(fits, family))
             # A partner of a text too short for this family is at most this long.
             upper = math.ceil(lower / share)
-        tiny.append(F.when(F.col("size") <= upper, F.struct(F.lit(rule.name).alias("rule"), scope.alias("scope"))))
+        if upper > math.ceil(1 / share):
+            raise ValueError(f"rule {rule.name} needs 1-grams for its shortest texts")
+        empty.append(F.when(F.col("size") == 0, F.struct(F.lit(rule.name).alias("rule"), scope.alias("scope"))))
     placed = base.withColumn("_f", F.explode(F.array_compact(F.array(*families)))).select("rid", "size", "chars", "_f.*")
     counted = (
         placed.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("grams") + 1)))
@@ -244,9 +253,9 @@ def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame
     numbered = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     item = F.concat_ws("\u0001", "scope", "gram", F.col("k").cast("string"))
     items = coded(numbered.select("rid", "size", "rule", "grams", "prefix", item.alias("item")))
-    short = base.withColumn("_t", F.explode(F.array_compact(F.array(*tiny)))).select("rid", "size", "_t.*")
+    short = base.withColumn("_t", F.explode(F.array_compact(F.array(*empty)))).select("rid", "size", "_t.*")
     shared_list = short.select(
-        F.xxhash64("rule", F.lit("tiny"), "scope").alias("list_key"),
+        F.xxhash64("rule", F.lit("empty"), "scope").alias("list_key"),
         "rid",
         "size",
         "rule",
@@ -295,8 +304,6 @@ def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifi
         return records.select(F.col("rid").alias(name), *[F.col(c).alias(f"_{mark}_{to}") for c, to in columns.items()])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # Pairs are narrow, but each may cost a full match in Python.
-        pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
         joined = pairs.join(side("early", "a"), "early").join(side("late", "b"), "late")
         same = F.col("_a_day").eqNullSafe(F.col("_b_day"))
         # Shared 2-grams, counting those that repeat within a text as shared.
@@ -313,7 +320,9 @@ def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifi
             )
             allowed = allowed | (mine & in_scope & (shared >= either - 1e-9))
             met = met | (mine & reached)
-        scored = joined.filter(allowed).withColumn("similarity", ratio("_b_text", "_a_text", least))
+        # What is left may cost a full match in Python each; the pairs of one text spread.
+        left = joined.filter(allowed).repartition("early", "late")
+        scored = left.withColumn("similarity", ratio("_b_text", "_a_text", least))
         return scored.filter(met).select("early", "late", "rule", "similarity")
 
     return verify

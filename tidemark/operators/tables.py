@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.text import fingerprint
 from tidemark.operators.dedup import insert_ignore
-from tidemark.operators.ranking import bucketed_rank, hash_bucket, id_bucket
+from tidemark.operators.ranking import bucketed_rank, id_bucket, with_range_bucket
 from tidemark.operators.skew import salted_join
 
 # The stored tables, with the columns that default to the load time.
@@ -43,14 +43,17 @@ def with_table_schema(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*out)
 
 
-def append_with_ids(new: DataFrame, stored: DataFrame, id_col: str, order: str) -> DataFrame:
-    """New rows with ids contiguous from the largest stored id, in ``order`` (a unique key)."""
+def append_with_ids(new: DataFrame, stored: DataFrame, id_col: str, order: str, dense: bool = False) -> DataFrame:
+    """New rows with ids contiguous from the largest stored id, in ``order`` (a unique key).
+
+    The key may be of any type that sorts.  ``dense`` says that it is an integer without
+    wide gaps, which saves a pass over the rows.
+    """
     last = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    if isinstance(new.schema[order].dataType, (T.IntegerType, T.LongType)):
+    if dense:
         ranked = bucketed_rank(new, [order], id_bucket(F.col(order)), out="_rank")
     else:
-        keyed = new.withColumn("_key", F.md5(F.col(order).cast("string")))
-        ranked = bucketed_rank(keyed, ["_key", order], hash_bucket(F.col("_key")), out="_rank").drop("_key")
+        ranked = bucketed_rank(with_range_bucket(new, [order]), [order], F.col("_range"), out="_rank").drop("_range")
     return ranked.withColumn(id_col, last + F.col("_rank")).drop("_rank")
 
 
@@ -126,9 +129,12 @@ def digest(
     last_id: int | Column = 0,
     part_size: int = 100,
     empty: bool = True,
+    dense: bool = False,
 ) -> DataFrame:
     """Digest texts of the rows past the mark, per group and in id order.
 
+    ``dense`` says that the ids are integers without wide gaps, which saves a pass.
+
     A group of any size becomes numbered parts of ``part_size`` entries, so no task
     collects more than that.  Groups without new rows get the "no new" text.
     """
@@ -138,7 +144,10 @@ def digest(
         F.format_string(DIGEST_LINK, url),
     )
     fresh = df.filter(F.col(id_col) > last_id).select(group, F.col(id_col).alias("_id"), entry.alias("_entry"))
-    ranked = bucketed_rank(fresh, ["_id"], id_bucket(F.col("_id"), 10_000), [group], "_rank")
+    if dense:
+        ranked = bucketed_rank(fresh, ["_id"], id_bucket(F.col("_id"), 10_000), [group], "_rank")
+    else:
+        ranked = bucketed_rank(with_range_bucket(fresh, ["_id"]), ["_id"], F.col("_range"), [group], "_rank").drop("_range")
     parts = (
         ranked.withColumn("part", F.floor((F.col("_rank") - 1) / part_size).cast("int"))
         .groupBy(group, "part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup as dd
-from tidemark.plans.registry import register, table
+from tidemark.plans.registry import html_pages, register, table, texts
 from tidemark.sources import pages as pg
 
 SQL_PAIRS = """
@@ -41,7 +41,7 @@ SQL_GREEDY = "RECURSIVE " + SQL_GREEDY.lstrip()
 
 
 def _documents(spark, sf_dir):
-    return dd.jaccard_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return dd.jaccard_duplicates(texts(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 @register("exact_dedup", "SELECT min(doc_id) AS doc_id, lang, source, text FROM documents GROUP BY lang, source, text")
@@ -97,7 +97,7 @@ def dedup_decisions(spark, sf_dir):
 def dedup_summary(spark, sf_dir):
     """Stored and skipped counts per source."""
     docs = table(spark, sf_dir, "documents")
-    kept = dd.jaccard_duplicates(docs, "doc_id", "text").kept().select(F.col("id").alias("doc_id"), F.lit(1).alias("k"))
+    kept = _documents(spark, sf_dir).kept().select(F.col("id").alias("doc_id"), F.lit(1).alias("k"))
     decided = docs.select("doc_id", "source").join(kept, "doc_id", "left")
     decision = F.when(F.col("k").isNull(), "skipped").otherwise("stored").alias("decision")
     return decided.groupBy("source", decision).agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +105,7 @@ def dedup_summary(spark, sf_dir):
 
 def _headlines(spark, sf_dir):
     """Page headings as headlines, published over a week."""
-    blocks = pg.article_blocks(table(spark, sf_dir, "pages"))
+    blocks = pg.article_blocks(html_pages(spark, sf_dir))
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(7)).cast("int"))
     return blocks.select("page_id", F.col("heading").alias("headline"), day.alias("day"))
 

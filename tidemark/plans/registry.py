@@ -37,8 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents for CPU-heavy per-row work."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    """Documents for CPU-heavy per-row work, dealt by id: the given file is a single split."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for parsing, dealt by id: the given file is a single split."""
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def all_queries() -> dict[str, QueryFn]:

@@ -91,6 +91,24 @@ def stream_feed_changed(spark, sf_dir):
     return ing.read_batches(spark, out, schema).filter("batch_id = 1").drop("batch_id")
 
 
+@register(
+    "stream_feed_captures",
+    """WITH s AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM conversations)
+SELECT 0 AS taken, conv_id, turn, text FROM s UNION ALL
+SELECT 2 AS taken, conv_id, turn, clean AS text FROM s WHERE conv_id IN (SELECT conv_id FROM s WHERE clean <> text)""",
+)
+def stream_feed_captures(spark, sf_dir):
+    """Three snapshots of all conversations arrive at once: the first, the same again, a cleaned one."""
+    root = work_path(spark, "captures")
+    out, schema = os.path.join(root, "out"), "taken int, conv_id bigint, turn bigint, text string"
+    entries = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    cleaned = entries.withColumn("text", F.trim(F.regexp_replace("text", "\\s+", " ")))
+    first, again, last = (df.select(F.lit(i).alias("taken"), "*") for i, df in enumerate([entries, entries, cleaned]))
+    handle = ing.changed_feeds(os.path.join(root, "state"), out, "conv_id", "turn", ["text"], capture="taken")
+    run_arrivals(spark, [first.unionByName(again).unionByName(last)], root, schema, handle)
+    return ing.read_batches(spark, out, schema).drop("batch_id")
+
+
 @register(
     "stream_dedup",
     f"""WITH {SQL_GREEDY} SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) AS id FROM decided WHERE decision = 'stored'""",

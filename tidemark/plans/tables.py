@@ -20,9 +20,34 @@ def append_with_ids(spark, sf_dir):
     """Suppliers appended to the customer table under ids that go on from its largest."""
     stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     new = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return tb.append_with_ids(new, stored, "id", "s_suppkey")
+    return tb.append_with_ids(new, stored, "id", "s_suppkey", dense=True)
 
 
+@register(
+    "append_by_text_key",
+    """WITH m AS (SELECT max(c_custkey) AS m FROM customer), s AS (SELECT md5(p_partkey::VARCHAR) AS code FROM part)
+SELECT code, m + row_number() OVER (ORDER BY code) AS id FROM s, m""",
+)
+def append_by_text_key(spark, sf_dir):
+    """Parts appended in the order of a text key."""
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    new = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string")).alias("code"))
+    return tb.append_with_ids(new, stored, "id", "code")
+
+
+@register(
+    "append_by_sparse_key",
+    """WITH m AS (SELECT max(c_custkey) AS m FROM customer),
+s AS (SELECT p_partkey * 1000000007 * (CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END) AS code FROM part)
+SELECT code, m + row_number() OVER (ORDER BY code) AS id FROM s, m""",
+)
+def append_by_sparse_key(spark, sf_dir):
+    """Parts appended in the order of 64-bit ids with wide gaps."""
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    sign = F.when(F.col("p_partkey") % 3 == 0, -1).otherwise(1)
+    new = table(spark, sf_dir, "part").select((F.col("p_partkey").cast("long") * 1000000007 * sign).alias("code"))
+    return tb.append_with_ids(new, stored, "id", "code")
+
 
 @register(
     "child_for_survivors",
@@ -132,7 +157,7 @@ def digest(spark, sf_dir):
         F.concat(F.lit("orders/"), key).alias("url"),
         at.alias("at"),
     )
-    return tb.digest(rows, "o_orderstatus", "o_orderkey", "headline", "url", "at", mark)
+    return tb.digest(rows, "o_orderstatus", "o_orderkey", "headline", "url", "at", mark, dense=True)
 
 
 @register(

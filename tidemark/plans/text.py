@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import labels as lb
 from tidemark.operators import scoring as sc
-from tidemark.plans.registry import register, table, texts
+from tidemark.plans.registry import html_pages, register, table, texts
 from tidemark.sources import pages as pg
 
 SQL_LINKS = """
@@ -19,12 +19,12 @@ links AS (SELECT page_id, unnest(hrefs) AS href, trim(unnest(texts)) AS text,
 
 @register("page_links", f"WITH {SQL_LINKS} SELECT page_id, pos, href, text FROM links")
 def page_links(spark, sf_dir):
-    return pg.page_links(table(spark, sf_dir, "pages"))
+    return pg.page_links(html_pages(spark, sf_dir))
 
 
 @register("links_by_text", f"WITH {SQL_LINKS} SELECT page_id, pos, href, text FROM links WHERE contains(lower(text), 'the')")
 def links_by_text(spark, sf_dir):
-    return pg.links_by_text(pg.page_links(table(spark, sf_dir, "pages")), "The")
+    return pg.links_by_text(pg.page_links(html_pages(spark, sf_dir)), "The")
 
 
 @register(
@@ -32,7 +32,7 @@ def links_by_text(spark, sf_dir):
     f"WITH {SQL_LINKS} SELECT page_id, arg_min(href, pos) AS first_href, arg_max(href, pos) AS last_href FROM links GROUP BY page_id",
 )
 def first_last_link(spark, sf_dir):
-    return pg.first_and_last_link(pg.page_links(table(spark, sf_dir, "pages")))
+    return pg.first_and_last_link(pg.page_links(html_pages(spark, sf_dir)))
 
 
 @register(
@@ -44,7 +44,7 @@ def first_last_link(spark, sf_dir):
 )
 def page_articles(spark, sf_dir):
     """Heading of every article block, next to its page's url."""
-    return pg.article_blocks(table(spark, sf_dir, "pages"), keep=["url"]).select("page_id", "url", "heading")
+    return pg.article_blocks(html_pages(spark, sf_dir), keep=["url"]).select("page_id", "url", "heading")
 
 
 @register(
@@ -56,7 +56,7 @@ SELECT page_id, pos, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https:/
 FROM links""",
 )
 def resolve_url(spark, sf_dir):
-    links = pg.page_links(table(spark, sf_dir, "pages"))
+    links = pg.page_links(html_pages(spark, sf_dir))
     base = "https://news.example.com"
     return links.select(
         "page_id",

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -74,11 +75,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows to tasks by a unique key, for CPU-heavy work on tables in few splits.
 
-    Input in fewer splits than the cluster has cores is redistributed; anything
-    larger passes through without a shuffle.
+    The caller decides: it costs a shuffle, which tables in many files or row groups do
+    not need.  The number of tasks follows ``spark.sql.shuffle.partitions`` and the size of
+    the rows; nothing is computed before the plan runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(F.col(key))

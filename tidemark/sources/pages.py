@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import contains_ci, relative_time, resolve_url
-from tidemark.session import spread
 
 
 class _Anchors(HTMLParser):
@@ -109,7 +108,7 @@ def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
                 rows += [(page, i, href, _joined(text)) for i, (href, text) in enumerate(parser.found, 1)]
             yield pd.DataFrame(rows, columns=[key, "pos", "href", "text"])
 
-    return spread(pages.select(key, html)).mapInPandas(extract, f"{key} {kind}, pos int, href string, text string")
+    return pages.select(key, html).mapInPandas(extract, f"{key} {kind}, pos int, href string, text string")
 
 
 def links_by_text(links: DataFrame, phrase: str, text: str = "text") -> DataFrame:
@@ -149,7 +148,7 @@ def article_blocks(
         f"{kinds}, pos int, links array<struct<href:string,text:string>>, "
         "image string, time_text string, heading string"
     )
-    return spread(pages.select(*carried, html)).mapInPandas(extract, schema)
+    return pages.select(*carried, html).mapInPandas(extract, schema)
 
 
 def articles(

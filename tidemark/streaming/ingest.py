@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -18,7 +19,7 @@ from tidemark.operators import dedup as dd
 from tidemark.operators import greedy
 from tidemark.operators import similarity as sm
 from tidemark.operators.tables import append_with_ids, table_or_empty
-from tidemark.session import apply_runtime_settings, cut_lineage, spread
+from tidemark.session import apply_runtime_settings, cut_lineage
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -59,6 +60,15 @@ def read_batches(spark: SparkSession, table: str, schema: str, before: int | Non
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
+def refuse_restart(spark: SparkSession, table: str, schema: str, batch_id: int) -> None:
+    """Stop when a later batch is stored already.
+
+    A stream under a new checkpoint counts from 0 again and would replace what it finds.
+    """
+    if not read_batches(spark, table, schema).filter(F.col("batch_id") > batch_id).isEmpty():
+        raise RuntimeError(f"{table} holds batches after {batch_id}; use its old checkpoint or another folder")
+
+
 def latest_updates(spark: SparkSession, table: str, schema: str, keys: Sequence[str]) -> DataFrame:
     """Newest row per key of a table that update-mode batches were written to."""
     rows = read_batches(spark, table, schema)
@@ -71,30 +81,41 @@ def ignore_known(table: str, schema: str, keys: Sequence[str], order: str) -> Ha
     """Insert-ignore: first row per key of the batch whose key no earlier batch stored."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_restart(batch.sparkSession, table, schema, batch_id)
         stored = read_batches(batch.sparkSession, table, schema, before=batch_id)
         write_batch(dd.insert_ignore(batch, stored, keys, order), table, batch_id)
 
     return handle
 
 
-def changed_feeds(state: str, output: str, feed: str, position: str, cols: Sequence[str]) -> Handler:
-    """Pass on the entries of feeds whose ordered entry list differs from the last one seen."""
+def changed_feeds(
+    state: str, output: str, feed: str, position: str, cols: Sequence[str], capture: str | None = None
+) -> Handler:
+    """Pass on the entries of feeds whose ordered entry list differs from the last one seen.
+
+    ``capture`` names the column that tells the captures of a feed apart and sorts them by
+    time: a batch may then hold several, each compared with the one before it, the first
+    with the last stored one.  Without it, the rows of a feed in a batch are one capture.
+    """
     schema = f"{feed} string, fingerprint string"
+    # A struct compares a missing capture time as a value and is never null itself.
+    taken = F.struct(F.col(capture) if capture else F.lit(0).alias("at"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        refuse_restart(spark, state, schema, batch_id)
         earlier = read_batches(spark, state, schema, before=batch_id)
         last = earlier.groupBy(feed).agg(F.max_by("fingerprint", "batch_id").alias("_last"))
-        prints = batch.groupBy(F.col(feed).cast("string").alias(feed)).agg(
-            fingerprint(position, *cols).alias("fingerprint")
-        )
-        prints = cut_lineage(prints)
-        fresh = prints.join(last, feed, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("_last")))
-        entries = batch.withColumn("_feed", F.col(feed).cast("string"))
-        write_batch(
-            entries.join(fresh.select(F.col(feed).alias("_feed")), "_feed", "left_semi").drop("_feed"), output, batch_id
-        )
-        write_batch(prints, state, batch_id)
+        entries = batch.withColumns({"_feed": F.col(feed).cast("string"), "_taken": taken})
+        prints = cut_lineage(entries.groupBy("_feed", "_taken").agg(fingerprint(position, *cols).alias("fingerprint")))
+        # One row per capture, not per entry.
+        before = F.lag("fingerprint").over(W.partitionBy("_feed").orderBy("_taken"))
+        seen = prints.withColumn("_before", before).join(last.withColumnRenamed(feed, "_feed"), "_feed", "left")
+        fresh = seen.filter(~F.col("fingerprint").eqNullSafe(F.coalesce("_before", "_last")))
+        passed = entries.join(fresh.select("_feed", "_taken"), ["_feed", "_taken"], "left_semi")
+        write_batch(passed.drop("_feed", "_taken"), output, batch_id)
+        newest = prints.groupBy(F.col("_feed").alias(feed)).agg(F.max_by("fingerprint", "_taken").alias("fingerprint"))
+        write_batch(newest, state, batch_id)
 
     return handle
 
@@ -121,9 +142,10 @@ class NearDuplicateIngest:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` has ``key`` (unique, in arrival order and larger than stored keys) and ``text``."""
+        refuse_restart(self.spark, self.tables["stored"], self.STORED, batch_id)
         bounds = sm.jaccard_bounds(self.threshold)
         tokens = F.sort_array(word_set("text"))
-        fresh = spread(batch.select("key", "text")).withColumn("tokens", tokens)
+        fresh = batch.select("key", "text").withColumn("tokens", tokens)
         # Equal word sets match each other exactly; only the first can be stored.
         mark = F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", "\u0001"), 256)).otherwise(
             F.concat(F.lit("id:"), F.col("key").cast("string"))
@@ -139,11 +161,13 @@ class NearDuplicateIngest:
         lists = cut_lineage(sm.rare_first_lists(items, order))
         known = read_batches(self.spark, self.tables["lists"], self.LISTS, before=batch_id)
         words = read_batches(self.spark, self.tables["words"], self.WORDS, before=batch_id)
-        verify = sm.jaccard_verifier(words.select("rid", "tokens").unionByName(records), self.threshold)
         # The stored side only grows; it is spread and the batch repeated.
-        met = sm.pairs_between(known.drop("batch_id"), lists, bounds, repeat="late")
-        repeats = verify(met).select(F.col("late").alias("rid"))
+        met = cut_lineage(sm.pairs_between(known.drop("batch_id"), lists, bounds, repeat="late"))
+        # Of the stored word sets, only those that met a new text are compared.
+        old = words.select("rid", "tokens").join(met.select(F.col("early").alias("rid")).distinct(), "rid", "left_semi")
+        repeats = sm.jaccard_verifier(records, self.threshold, earlier=old)(met).select(F.col("late").alias("rid"))
         repeats = cut_lineage(repeats.distinct())
+        verify = sm.jaccard_verifier(records, self.threshold)
         left = lists.join(repeats, "rid", "left_anti")
         dropped = greedy.greedy_drops(cut_lineage(left), verify, bounds)
         kept = firsts.join(repeats.unionByName(dropped).withColumnRenamed("rid", "key"), "key", "left_anti")
