@@ -16,6 +16,8 @@ from tidemark.session import cut_lineage
 
 #: A text is in none of the learned languages if its phrases are this short on average.
 FEWEST_PHRASE_BYTES = 2.0
+#: Words that a tokenizing worker keeps here, where earlier stages have left it less room.
+KEPT_WORDS = 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left: doc_id, start, n_tokens and ids_crc32 of each row, read from them."""
     prepare(spark)
-    files = tokenbin.write_tokens(docs, "doc_id", "text", tokenizer_path(), END_ID)
+    files = tokenbin.write_tokens(docs, "doc_id", "text", tokenizer_path(), END_ID, kept_words=KEPT_WORDS)
     return tokenbin.token_digests(spark, files).withColumnRenamed("key", "doc_id")
 
 

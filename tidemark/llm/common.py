@@ -28,11 +28,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:
-    """A value that lives as long as the Python worker process, made at its first use."""
+    """A value that the Python worker process keeps for its next tasks, made at its first use.
+
+    A worker keeps one at a time: a worker that serves several operators in turn would
+    otherwise hold the tables of all of them.
+    """
     holder = sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    if getattr(holder, "held", None) != name:
+        holder.held = holder.value = None
+        pa.default_memory_pool().release_unused()
+        holder.value = make()
+        holder.held = name
+    return holder.value
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ MAGIC = b"TDVB"
 BLOCK_VALUES = 1 << 20
 #: Blocks that a file holds, which bounds what a reading task loads.
 FILE_BLOCKS = 16
-#: Words that a worker keeps with their ids.
+#: Words that a worker keeps with their ids, unless told otherwise; they take about 200 bytes each.
 KEPT_WORDS = 500_000
 #: Bytes of text that are tokenized at once.
 WORK_BYTES = 2 << 20
@@ -62,7 +62,7 @@ class WordTokenizer:
     #: Words of every form that goes to the model, and of some that it must not change.
     PROBES = ("word", "o", "été", "straße", "ñandú.", "end.", "list,", "dots...", "both.,", "über,", "w.,.,", "čaj")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,6 +70,7 @@ class WordTokenizer:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
         self.kept: dict[str, bytes] = {}
+        self.kept_words = kept_words
         self.byte_names = _byte_names()
         self.direct = all(self._direct(w) == self.pack(self.library.encode(w, add_special_tokens=False).ids) for w in self.PROBES)
 
@@ -97,7 +98,7 @@ class WordTokenizer:
             other = [word for word, packed in found.items() if packed is None]
             ids = self.library.encode_batch_fast(other, add_special_tokens=False)
             found.update((word, self.pack(e.ids)) for word, e in zip(other, ids))
-            room = KEPT_WORDS - len(known)
+            room = self.kept_words - len(known)
             if len(found) <= room:
                 known.update(found)
             else:
@@ -131,17 +132,20 @@ class TokenFiles:
     shards: DataFrame
 
 
-def write_tokens(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str | None = None) -> TokenFiles:
+def write_tokens(
+    docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str | None = None, kept_words: int = KEPT_WORDS
+) -> TokenFiles:
     """Writes the files in ascending order of the key.
 
     ``tokenizer`` is the path of a tokenizer file that splits at white space; ``end_id``
-    closes every document; ``folder`` is new, by default one in the shared folder.  Null
-    texts are empty, null keys come first, and rows with equal keys stand next to each
-    other.  ``offset`` counts the values of all shards before.
+    closes every document; ``folder`` is new, by default one in the shared folder;
+    ``kept_words`` bounds a worker's memory of words, which changes no id.  Null texts are
+    empty, null keys come first, and rows with equal keys stand next to each other.
+    ``offset`` counts the values of all shards before.
     """
     spark = docs.sparkSession
     folder = folder or work_path(spark, "tokens")
-    tokens = cut_lineage(tokenized(docs, key, text, tokenizer, end_id))
+    tokens = cut_lineage(tokenized(docs, key, text, tokenizer, end_id, kept_words))
     counts = id_counts(tokens, tokenizer)
     shards = tokens.groupBy("shard").agg(F.sum("n").alias("values"))
     # One row per shard, so the running sum over all of them is small.
@@ -155,7 +159,7 @@ def write_tokens(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
     return TokenFiles(folder, id_of, shards)
 
 
-def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Blocks of token ids; shards are ranges of the key, each in ascending order."""
     ordered = (
         docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -164,7 +168,7 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_state(f"tokenizer_{tokenizer}", lambda: WordTokenizer(tokenizer))
+        words = worker_state(f"tokenizer_{tokenizer}_{kept_words}", lambda: WordTokenizer(tokenizer, kept_words))
         item, end = (4 if words.wide else 2), words.pack([end_id])
         shard, before = TaskContext.get().partitionId(), 0
         keys, sizes, parts, held = [], [], [], 0
