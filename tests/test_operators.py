@@ -98,6 +98,44 @@ def test_binary_confusion_golden(spark):
     assert (none["precision"], none["recall"]) == (0.0, 0.0)
 
 
+# Published counts of a ten-class run, rows are true classes.
+MATRIX = [
+    [666, 8, 79, 11, 4, 4, 15, 23, 66, 25],
+    [20, 725, 10, 9, 1, 4, 7, 2, 27, 73],
+    [54, 2, 588, 38, 48, 30, 71, 54, 18, 13],
+    [19, 3, 93, 443, 31, 81, 131, 58, 20, 23],
+    [22, 1, 137, 37, 505, 16, 83, 88, 5, 3],
+    [7, 5, 95, 162, 29, 431, 63, 92, 8, 4],
+    [3, 4, 47, 19, 16, 4, 786, 9, 3, 2],
+    [6, 3, 53, 28, 33, 19, 18, 747, 3, 7],
+    [63, 28, 23, 14, 3, 3, 16, 6, 718, 22],
+    [37, 63, 10, 9, 4, 3, 10, 22, 27, 719],
+]
+CLASS_ACCURACY = [0.7392, 0.8257, 0.6419, 0.4911, 0.5630, 0.4810, 0.8802, 0.8146, 0.8013, 0.7954]
+
+
+def _matrix_rows(spark):
+    cells = [(t, p, n) for t, row in enumerate(MATRIX) for p, n in enumerate(row)]
+    return spark.createDataFrame(cells, "truth int, pred int, n int").select("truth", "pred", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
+
+
+def test_ten_class_golden(spark):
+    df = _matrix_rows(spark)
+    cells = {(r["truth"], r["pred"]): r["n"] for r in ev.confusion_matrix(df, "truth", "pred", range(10)).collect()}
+    assert cells == {(t, p): n for t, row in enumerate(MATRIX) for p, n in enumerate(row)}
+    got = {r["truth"]: round(r["accuracy"], 4) for r in ev.class_accuracy(df, "truth", "pred", range(10)).collect()}
+    assert got == dict(enumerate(CLASS_ACCURACY))
+    assert round(df.agg(ev.accuracy("truth", "pred")).first()[0], 4) == 0.7031
+
+
+def test_hard_report_counts_the_hard_rows(spark):
+    hard = spark.createDataFrame([(0, 2), (0, 2), (2, 1)], "t int, p int")
+    got = sorted(tuple(r) for r in ev.hard_report(hard, "t", "p", range(3)).na.fill(-1).collect())
+    assert got == [("class", 0, -1, 2), ("class", 1, -1, 0), ("class", 2, -1, 1), ("pair", 0, 2, 2), ("pair", 2, 1, 1), ("total", -1, -1, 3)]
+    none = ev.hard_report(hard.limit(0), "t", "p", range(2)).na.fill(-1).collect()
+    assert sorted(tuple(r) for r in none) == [("class", 0, -1, 0), ("class", 1, -1, 0), ("total", -1, -1, 0)]
+
+
 def test_absent_classes_do_not_shift_names(spark):
     df = spark.createDataFrame([(0, 0), (2, 0), (2, 2)], "truth int, pred int")
     got = {r["truth"]: r["accuracy"] for r in ev.class_accuracy(df, "truth", "pred", range(3)).collect()}
@@ -301,45 +339,68 @@ def _blobs(n=90):
     return x, y
 
 
-def _plain_descent(x, y, model, rate, epochs):
-    w = [(m.copy(), b.copy()) for m, b in model]
-    hot = np.eye(model[-1][1].size)[y]
-    losses = []
-    for _ in range(epochs):
-        z1 = x @ w[0][0] + w[0][1]
-        a1 = np.maximum(z1, 0)
-        z2 = a1 @ w[1][0] + w[1][1]
-        a2 = np.maximum(z2, 0)
-        z3 = a2 @ w[2][0] + w[2][1]
-        p = np.exp(z3) / np.exp(z3).sum(axis=1, keepdims=True)
-        losses.append(-(hot * np.log(p + 1e-8)).sum() / len(y))
-        d3 = (p - hot) / len(y)
-        d2 = (d3 @ w[2][0].T) * (z2 > 0)
-        d1 = (d2 @ w[1][0].T) * (z1 > 0)
-        grads = [(x.T @ d1, d1.sum(0)), (a1.T @ d2, d2.sum(0)), (a2.T @ d3, d3.sum(0))]
-        w = [(m - rate * gm, b - rate * gb) for (m, b), (gm, gb) in zip(w, grads)]
-    return w, losses
-
-
-def test_training_matches_plain_gradient_descent(spark, tmp_path):
+def _mean_loss(x, y, model):
+    return -np.log(tr.activations(x, model)[-1][np.arange(len(y)), y] + tr.EPS).mean()
+
+
+def test_gradients_match_finite_differences():
+    x, y = _blobs(30)
+    model = tr.random_model([4, 5, 4, 3], 1, 0.5)
+    summed, loss = tr.gradients(x, y, model)
+    assert loss / len(y) == pytest.approx(_mean_loss(x, y, model))
+    for layer, parts in enumerate(model):
+        for part in (0, 1):
+            for at in np.ndindex(parts[part].shape):
+                ends = []
+                for step in (1e-6, -1e-6):
+                    moved = [[m.copy(), b.copy()] for m, b in model]
+                    moved[layer][part][at] += step
+                    ends.append(_mean_loss(x, y, moved))
+                assert summed[layer][part][at] / len(y) == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+
+
+def test_training_follows_the_gradient(spark, tmp_path):
     x, y = _blobs()
     df = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y)], "v array<double>, y int").repartition(5)
     start = tr.random_model([4, 8, 6, 3], 1, 0.3)
+    once, _ = tr.train(df, "v", "y", start, 0.2, 1)
+    for (m, b), (m0, b0), (gm, gb) in zip(once, start, tr.gradients(x, y, start)[0]):
+        assert np.allclose(m, m0 - 0.2 * gm / len(y)) and np.allclose(b, b0 - 0.2 * gb / len(y))
     model, history = tr.train(df, "v", "y", start, 0.2, 6)
-    want, losses = _plain_descent(x, y, start, 0.2, 6)
-    for (m, b), (wm, wb) in zip(model, want):
-        assert np.allclose(m, wm) and np.allclose(b, wb)
-    assert [loss for _, loss in history][:6] == pytest.approx(losses)
-    tr.save_model(spark, model, str(tmp_path / "model"))
-    again = tr.load_model(spark, str(tmp_path / "model"))
-    warm, _ = tr.train(df, "v", "y", again, 0.2, 2)
-    want, _ = _plain_descent(x, y, start, 0.2, 8)
-    assert np.allclose(warm[0][0], want[0][0])
+    losses = [loss for _, loss in history]
+    assert losses[0] == pytest.approx(_mean_loss(x, y, start)) and losses[1] == pytest.approx(_mean_loss(x, y, once))
+    assert losses[6] == pytest.approx(_mean_loss(x, y, model)) and losses == sorted(losses, reverse=True)
+    tr.save_model(spark, once, str(tmp_path / "model"))
+    warm, _ = tr.train(df, "v", "y", tr.load_model(spark, str(tmp_path / "model")), 0.2, 5)
+    assert all(np.allclose(m, wm) and np.allclose(b, wb) for (m, b), (wm, wb) in zip(model, warm))
     scored = tr.score(df, "v", warm).collect()
     top = [int(np.argmax(tr.activations(np.array([r["v"]]), warm)[-1])) for r in scored]
     assert [r["pred"] for r in scored] == top
 
 
+def test_runs_log_parameters_and_validation(spark, tmp_path):
+    x, y = _blobs()
+    df = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id int, v array<double>, y int")
+    names, start = ["a", "bb", "ccc"], tr.random_model([4, 8, 6, 3], 1, 0.3)
+    model, rows = tr.train_logged(df.where("id < 60"), df.where("id >= 60"), "v", "y", start, 0.2, 2, names, "r1")
+    assert [(r[1], r[2]) for r in rows] == [(k, e) for e in (1, 2) for k in ("train_loss", "val_loss", "avg_edit_distance")]
+    last = {key: value for _, key, step, value in rows if step == 2}
+    assert last["train_loss"] == pytest.approx(_mean_loss(x[:60], y[:60], model))
+    assert last["val_loss"] == pytest.approx(_mean_loss(x[60:], y[60:], model))
+    guess = tr.activations(x[60:], model)[-1].argmax(axis=1)
+    # Names of one repeated letter each: all characters of the longer one change.
+    far = [0 if a == b else max(a, b) + 1 for a, b in zip(y[60:], guess)]
+    assert last["avg_edit_distance"] == pytest.approx(np.mean(far))
+    params, metrics = str(tmp_path / "params"), str(tmp_path / "metrics")
+    rn.log_params(spark, params, [("r1", "rate", "0.2"), ("r2", "rate", "0.1")])
+    rn.log_metrics(spark, metrics, rows)
+    tables = spark.read.schema(rn.PARAMS).parquet(params), spark.read.schema(rn.METRICS).parquet(metrics)
+    got = {r["run_id"]: (r["rate"], r["val_loss"]) for r in rn.run_table(*tables, ["rate"], ["val_loss"]).collect()}
+    assert got == {"r1": ("0.2", pytest.approx(last["val_loss"])), "r2": ("0.1", None)}
+    with pytest.raises(ValueError, match="rate"):
+        rn.run_table(*tables, ["rate"], ["rate"])
+
+
 def test_local_batches_learn(spark):
     x, y = _blobs()
     df = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y)], "v array<double>, y int").repartition(2)

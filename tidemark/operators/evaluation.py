@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import NEGATIVE, POSITIVE, as_col
 from tidemark.functions.vectors import bind, doubles, squared_distance
 from tidemark.operators.labels import suffix_columns
+from tidemark.session import cut_lineage
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -91,6 +92,24 @@ def hard_examples(runs: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
     return joined
 
 
+def hard_report(hard: DataFrame, truth: str, pred: str, classes: Sequence[int]) -> DataFrame:
+    """(part, truth, pred, n) of hard examples: rows per class of the domain, per pair that occurs, and in total.
+
+    ``part`` is ``class``, ``pair`` or ``total``; what a part does not count is null.
+    """
+    # One pass over the rows; what follows works on a row per pair of classes.
+    pairs = cut_lineage(confusion_pairs(hard.select(F.col(truth).alias("truth"), F.col(pred).alias("pred")), "truth", "pred"))
+    sums = pairs.groupBy("truth").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("int")
+    by_class = class_domain(hard.sparkSession, classes, "truth").join(sums, "truth", "left").na.fill(0, ["n"])
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return (
+        by_class.select(F.lit("class").alias("part"), "truth", none.alias("pred"), "n")
+        .unionByName(pairs.select(F.lit("pair").alias("part"), "truth", "pred", "n"))
+        .unionByName(total.select(F.lit("total").alias("part"), none.alias("truth"), none.alias("pred"), "n"))
+    )
+
+
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Mean vector per class: one row per (label, position), partial sums map-side."""
     return (

@@ -1,4 +1,4 @@
-"""Run metrics in long form: ``run_id, key, step, value``."""
+"""Runs in long form: metrics ``run_id, key, step, value`` and parameters ``run_id, key, value``."""
 
 from __future__ import annotations
 
@@ -8,12 +8,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = "run_id string, key string, step int, value double"
+PARAMS = "run_id string, key string, value string"
 
 
 def log_metrics(spark: SparkSession, path: str, rows: Sequence[tuple[str, str, int, float]]) -> None:
     spark.createDataFrame(list(rows), METRICS).write.mode("append").parquet(path)
 
 
+def log_params(spark: SparkSession, path: str, rows: Sequence[tuple[str, str, str]]) -> None:
+    spark.createDataFrame(list(rows), PARAMS).write.mode("append").parquet(path)
+
+
+def run_table(params: DataFrame, metrics: DataFrame, param_keys: Sequence[str], metric_keys: Sequence[str]) -> DataFrame:
+    """One row per run: its parameters and the last value of each metric.
+
+    A run that has only parameters or only metrics has nulls for the others; of a
+    parameter logged twice the larger text counts.
+    """
+    if both := set(param_keys) & set(metric_keys):
+        raise ValueError(f"both parameter and metric: {sorted(both)}")
+    given = params.groupBy("run_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in param_keys])
+    return given.join(last_metrics(metrics, "run_id", "key", "step", "value", metric_keys), "run_id", "full")
+
+
 def last_metrics(df: DataFrame, run: str, key: str, step: str, value: str, keys: Sequence[str]) -> DataFrame:
     """One row per run, the last logged value of each key as a column."""
     return df.groupBy(run).agg(

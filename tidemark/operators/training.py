@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import doubles
+from tidemark.functions.vectors import cross_entropy, doubles
 
 WEIGHT_SCHEMA = "layer int, i int, j int, w double"
 EPS = 1e-8
@@ -208,6 +208,30 @@ def score(df: DataFrame, vector: str, model: Model, out: str = "pred", probabili
     return scored.withColumnRenamed("_p", probabilities) if probabilities else scored.drop("_p")
 
 
+def evaluate(df: DataFrame, vector: str, label: str, model: Model, names: Sequence[str]) -> tuple[float, float]:
+    """Mean loss, and mean edit distance between the names of the true and the predicted class."""
+    scored = score(df, vector, model, "_pred", "_probabilities")
+    named = F.array(*[F.lit(n) for n in names])
+    row = scored.agg(
+        F.avg(cross_entropy(F.col("_probabilities"), label)).alias("loss"),
+        F.avg(F.levenshtein(F.get(named, F.col(label)), F.get(named, F.col("_pred")))).alias("distance"),
+    ).first()
+    return row["loss"], row["distance"]
+
+
+def train_logged(
+    train_rows: DataFrame, val_rows: DataFrame, vector: str, label: str, model: Model, rate: float, epochs: int, names: Sequence[str], run_id: str
+) -> tuple[Model, list[tuple[str, str, int, float]]]:
+    """The trained model, and after each epoch its losses and edit distance as rows of run metrics."""
+    rows = []
+    for epoch in range(1, epochs + 1):
+        model, history = train(train_rows, vector, label, model, rate, 1)
+        val_loss, distance = evaluate(val_rows, vector, label, model, names)
+        found = {"train_loss": history[-1][1], "val_loss": val_loss, "avg_edit_distance": distance}
+        rows += [(run_id, key, epoch, value) for key, value in found.items()]
+    return model, rows
+
+
 def accuracies(df: DataFrame, vector: str, label: str, models: Sequence[Model]) -> list[float]:
     """Accuracy of every model, in one pass."""
     shared = df.sparkSession.sparkContext.broadcast(list(models))

@@ -297,14 +297,15 @@ m_{name} AS (
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, pred) = 1)"""
 
 
-@register(
-    "hard_examples",
-    f"""WITH {SQL_ITEMS}, {SQL_VERSIONS}, {", ".join(_sql_run(n, v) for n, v in RUNS)}
+SQL_HARD = f"""WITH {SQL_ITEMS}, {SQL_VERSIONS}, {", ".join(_sql_run(n, v) for n, v in RUNS)},
+hard AS (
 SELECT a.vec_id, a.truth AS truth_v1, a.pred AS pred_v1, b.truth AS truth_v1v2, b.pred AS pred_v1v2,
        c.truth AS truth_v1v2v3, c.pred AS pred_v1v2v3
 FROM m_v1 a JOIN m_v1v2 b USING (vec_id) JOIN m_v1v2v3 c USING (vec_id)
-WHERE a.truth <> a.pred AND b.truth <> b.pred AND c.truth <> c.pred""",
-)
+WHERE a.truth <> a.pred AND b.truth <> b.pred AND c.truth <> c.pred)"""
+
+
+@register("hard_examples", f"{SQL_HARD} SELECT * FROM hard")
 def hard_examples(spark, sf_dir):
     """Rows of partition v1 that all three centroid models get wrong."""
     data = cut_lineage(versioned(spark, sf_dir).select("vec_id", "label", "embedding", "version"))
@@ -318,3 +319,15 @@ def hard_examples(spark, sf_dir):
         scored = ev.score_nearest(first, tables[name], "embedding")
         runs.append((name, ev.misclassified(scored.select("vec_id", F.col("label").alias("truth"), "pred"))))
     return ev.hard_examples(runs, "vec_id")
+
+
+@register(
+    "hard_report",
+    f"""{SQL_HARD}, {SQL_CLASSES}
+SELECT 'class' AS part, c AS truth, NULL::INTEGER AS pred, count(vec_id) AS n FROM classes LEFT JOIN hard ON truth_v1 = c GROUP BY c
+UNION ALL SELECT 'pair', truth_v1, pred_v1, count(*) FROM hard GROUP BY truth_v1, pred_v1
+UNION ALL SELECT 'total', NULL, NULL, count(*) FROM hard""",
+)
+def hard_report(spark, sf_dir):
+    """Class distribution, cross table and total of the hard examples."""
+    return ev.hard_report(hard_examples(spark, sf_dir), "truth_v1", "pred_v1", CLASSES)

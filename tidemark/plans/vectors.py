@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as vx
@@ -9,6 +11,7 @@ from tidemark.operators import runs as rn
 from tidemark.operators import splits as sp
 from tidemark.operators import training as tr
 from tidemark.plans.registry import register, table
+from tidemark.session import work_path
 
 V = "embedding::DOUBLE[]"
 
@@ -127,6 +130,77 @@ def mlp_train(spark, sf_dir):
     return spark.createDataFrame([("dense", "loss", e, round(v, 6)) for e, v in history], rn.METRICS)
 
 
+RATES = [0.1, 0.5]
+NAMES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+
+
+def _sql_forward(w, a, e, keys):
+    """Activations ``{a}1``, ``{a}2`` and class probabilities ``{a}p`` of the inputs ``{a}0``; input -1 is the bias."""
+    hidden = [
+        f"""{a}{n} AS (SELECT {keys}, j AS i, greatest(sum(x * w), 0) AS x FROM {a}{n - 1} JOIN {w} USING ({", ".join(["i", *keys.split(", ")[1:]])})
+  WHERE layer = {n} GROUP BY {keys}, j UNION ALL SELECT {keys}, -1, 1 FROM {e})"""
+        for n in (1, 2)
+    ]
+    last = f"""{a}3 AS (SELECT {keys}, j AS i, sum(x * w) AS x FROM {a}2 JOIN {w} USING ({", ".join(["i", *keys.split(", ")[1:]])})
+  WHERE layer = 3 GROUP BY {keys}, j),
+{a}p AS (SELECT {keys}, i, exp(x) / sum(exp(x)) OVER (PARTITION BY {keys}) AS p FROM {a}3)"""
+    return ",\n".join([*hidden, last])
+
+
+def _sql_run_log():
+    def back(n):
+        return f"""d{n} AS (SELECT a{n}.vec_id, a{n}.i, sum(d * w) AS d FROM a{n} JOIN w ON layer = {n + 1} AND w.i = a{n}.i
+  JOIN d{n + 1} ON d{n + 1}.vec_id = a{n}.vec_id AND d{n + 1}.i = w.j WHERE a{n}.i >= 0 AND a{n}.x > 0 GROUP BY ALL)"""
+
+    def inputs(keys, source):
+        return f"SELECT {keys}, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM {source} UNION ALL SELECT {keys}, -1, 1 FROM {source}"
+
+    gradients = " UNION ALL ".join(
+        f"SELECT {n} AS layer, a{n - 1}.i, d{n}.i AS j, sum(x * d) / (SELECT count(*) FROM t) AS g FROM a{n - 1} JOIN d{n} USING (vec_id) GROUP BY ALL"
+        for n in (1, 2, 3)
+    )
+    layers = ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(zip(SIZES, SIZES[1:]), 1))
+    rates = ", ".join(f"({r}::DOUBLE)" for r in RATES)
+    return f"""WITH e AS (SELECT vec_id, label, embedding, md5('42:' || vec_id::VARCHAR) < '4' AS held FROM embeddings),
+t AS (SELECT * FROM e WHERE NOT held), rates AS (SELECT * FROM (VALUES {rates}) r(rate)),
+w AS (SELECT layer, i, j, CASE WHEN i < 0 THEN ((j * 13 + layer) % 7 - 3) / 10.0::DOUBLE
+    ELSE ((i * 31 + j * 17 + layer * 7) % 23 - 11) / 20.0::DOUBLE END AS w
+  FROM (VALUES {layers}) s(layer, a, b), LATERAL (SELECT unnest(range(-1, s.a)) AS i), LATERAL (SELECT unnest(range(0, s.b)) AS j)),
+a0 AS ({inputs("vec_id", "t")}),
+{_sql_forward("w", "a", "t", "vec_id")},
+d3 AS (SELECT vec_id, i, p - (i = label)::INTEGER AS d FROM ap JOIN t USING (vec_id)),
+{back(2)}, {back(1)},
+g AS ({gradients}),
+v AS (SELECT rate, layer, i, j, w - rate * coalesce(g, 0) AS w FROM w LEFT JOIN g USING (layer, i, j) CROSS JOIN rates),
+er AS (SELECT * FROM e CROSS JOIN rates),
+b0 AS ({inputs("vec_id, rate", "er")}),
+{_sql_forward("v", "b", "er", "vec_id, rate")},
+scored AS (SELECT rate, held, label, arg_max(i, p) AS pred, sum(p) FILTER (i = label) AS hit FROM bp JOIN e USING (vec_id) GROUP BY rate, vec_id, held, label)
+SELECT 'rate ' || rate::VARCHAR AS run_id, rate, 1 AS epochs, round(avg(-ln(hit + 1e-8)) FILTER (NOT held), 6) AS train_loss,
+  round(avg(-ln(hit + 1e-8)) FILTER (held), 6) AS val_loss,
+  round(avg(levenshtein(({NAMES})[label + 1], ({NAMES})[pred + 1])) FILTER (held), 6) AS avg_edit_distance
+FROM scored GROUP BY rate"""
+
+
+@register("run_log", _sql_run_log())
+def run_log(spark, sf_dir):
+    """A run per learning rate, one epoch from formula weights: parameters beside training and validation metrics."""
+    root = work_path(spark, "runs")
+    params, metrics = os.path.join(root, "params"), os.path.join(root, "metrics")
+    held = F.md5(F.concat(F.lit("42:"), F.col("vec_id").cast("string"))) < "4"
+    data, start = vectors(spark, sf_dir), tr.to_model(formula_weights(spark))
+    for rate in RATES:
+        run_id = f"rate {rate}"
+        _, rows = tr.train_logged(data.where(~held), data.where(held), "v", "label", start, rate, 1, NAMES, run_id)
+        rn.log_params(spark, params, [(run_id, "rate", str(rate)), (run_id, "epochs", "1")])
+        rn.log_metrics(spark, metrics, rows)
+    logged = [spark.read.schema(s).parquet(p) for s, p in ((rn.PARAMS, params), (rn.METRICS, metrics))]
+    keys = ["train_loss", "val_loss", "avg_edit_distance"]
+    return rn.run_table(*logged, ["rate", "epochs"], keys).select(
+        "run_id", F.col("rate").cast("double"), F.col("epochs").cast("int"), *[F.round(k, 6).alias(k) for k in keys]
+    )
+
+
 @register("grid_search")
 def grid_search(spark, sf_dir):
     """3 x 3 learning rates and widths, all runs trained side by side."""
