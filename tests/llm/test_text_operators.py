@@ -1,5 +1,6 @@
 """Language, SimHash, decontamination, chunks and suffixes against plain Python."""
 
+import itertools
 import random
 
 import brute
@@ -171,6 +172,44 @@ def test_overlaps_tolerate_substitutions(spark, docs_of):
     assert decontam.overlaps(docs, empty, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def longest_stretch(equal):
+    """(positions, equal, first) of the longest stretch with over 0.8 equal words, of these the one with most."""
+    found = [(j - i, sum(equal[i:j]), -i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if 5 * sum(equal[i:j]) > 4 * (j - i)]
+    size, same, first = max(found, default=(0, 0, 0))
+    return size, same, -first
+
+
+@pytest.mark.parametrize("n", [13, 14, 15, 16, 18, 20, 22, 25])
+def test_stretch_equals_brute_force(n):
+    words = np.arange(n)
+    for count in (0, 1, 2, 3):
+        for places in itertools.combinations(range(n), count):
+            context = np.concatenate((np.full(5, -1), words, np.full(5, -1)))
+            context[[5 + p for p in places]] = -2
+            size, same, first = longest_stretch([i not in places for i in range(n)])
+            assert decontam.stretch(context, words, 5) == (size, same, 5 + first), places
+            if n >= 13 and 5 * (n - count) > 4 * n:
+                assert size == n
+
+
+def test_overlaps_of_short_items_with_replaced_words(spark, docs_of):
+    """Every place of a replaced word that leaves a window of a mask leaves the overlap."""
+    rng = random.Random(29)
+    items = [[f"w{n}x{i}y{rng.randrange(999)}" for i in range(n)] for n in (13, 15, 17, 20)]
+    rows, want = [], set()
+    for item, words in enumerate(items):
+        for p in range(len(words)):
+            changed = words[:p] + ["other"] + words[p + 1 :]
+            text = " ".join(["before"] * 20 + changed + ["behind"] * 20)
+            rows.append((len(rows), text))
+            if any(all(i + o != p for o, m in enumerate(mask) if m == "1") for mask in decontam.MASKS for i in range(len(words) - len(mask) + 1)):
+                want.add((len(rows) - 1, item))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontam.overlaps(docs_of(rows), benchmark, "doc_id", "text", "item_id", "text").collect()
+    assert {(r["key"], r["item"]) for r in found} == want and len(want) == len(rows)
+    assert all(r["words"] == r["item_words"] == r["equal"] + 1 and r["first"] == 20 for r in found)
+
+
 def test_suffix_removal_equals_brute_force(docs_of):
     rows = copies(random.Random(13), 50, 60)
     rng = random.Random(1)

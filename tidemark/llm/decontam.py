@@ -3,7 +3,7 @@
 Fixed masks over windows of words ignore some positions, so a window keeps its hash when
 ignored words are replaced.  Hashes of the training texts are joined with those of the
 test items; around each hit, text and item are compared word by word along the diagonal,
-and the best stretch with enough equal words counts as an overlap.
+and the longest stretch with enough equal words counts as an overlap.
 
 Almost no window of a training text has a hash of the test set.  A Bloom filter of fixed
 size, whatever the test set, drops the others where the texts are read; what passes is
@@ -25,7 +25,7 @@ from tidemark.session import cut_lineage
 
 #: 1 marks a position that counts.  Every mask spans fewer words than the shortest overlap.
 MASKS = ("110101011", "1110010101", "11001011001", "101100100111")
-#: Added to mismatches along a diagonal, so that a stretch with a gain has over 0.8 equal words.
+#: Gain of a mismatch against 1 of a match, so that just the stretches with a gain have over 0.8 equal words.
 MISMATCH = -4
 
 WORK_BYTES = 4 << 20
@@ -113,8 +113,8 @@ def overlaps(
 
     Words are compared in lower case, without ASCII punctuation.  An overlap is a stretch
     of ``words`` positions of a text and an item side by side, from word ``first`` of the
-    text on, of which ``equal``, over 0.8 of them, agree; it has at least ``min_words``
-    words, or all words of an item with fewer.  Items with fewer words than a mask must
+    text on, of which ``equal``, over 0.8 of them, agree, wherever in the stretch the others
+    are; it has at least ``min_words`` words, or all words of an item with fewer.  Items with fewer words than a mask must
     occur unchanged.  Null and empty texts and items overlap with nothing.  Rows of
     documents or items that share a key give one row per pair of keys; null keys give none.
     """
@@ -198,17 +198,23 @@ def overlaps(
 
 
 def stretch(context: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(positions, equal, first) of the stretch with the largest gain of an item laid at ``shift``."""
+    """(positions, equal, first) of the longest stretch of an item laid at ``shift`` with over 0.8 equal words."""
     a, b = max(0, -shift), min(len(words), len(context) - shift)
     if a >= b:
         return 0, 0, 0
     equal = context[a + shift : b + shift] == words[a:b]
     gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, MISMATCH))))
-    least = np.minimum.accumulate(gain)
-    # The longest of the stretches with the largest gain; it begins and ends with equal words.
-    end = len(gain) - 1 - int((gain - least)[::-1].argmax())
-    start = int(gain[: end + 1].argmin())
-    return end - start, int(equal[start:end].sum()), a + start + shift
+    # For each start the last end with more gain: the greatest gain of all later ends falls from end to end.
+    most = np.maximum.accumulate(gain[::-1])[::-1]
+    ends = np.searchsorted(-most, -gain) - 1
+    starts = np.arange(len(gain))
+    size = int((ends - starts).max())
+    if size <= 0:
+        return 0, 0, 0
+    # Of the longest the one with the most equal words, and of these the first.
+    starts = np.flatnonzero(ends - starts == size)
+    start = int(starts[(gain[starts + size] - gain[starts]).argmax()])
+    return size, int(equal[start : start + size].sum()), a + start + shift
 
 
 def decontaminate(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
