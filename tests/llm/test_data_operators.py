@@ -215,3 +215,36 @@ def test_vectors_equal_brute_force(spark, monkeypatch, size):
     found, there = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
     assert set(got) == set(want) and all(got[k][0] <= want[k][0] for k in want) and found >= 0.9 * there
     assert vectordup.near_vectors(frame.limit(0), "vec_id", "embedding", "label").count() == 0
+
+
+def crowded_rows(n=2400, size=64):
+    """A third of the rows are copies of one vector, with near copies around it; the others come in fours."""
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=size)
+    rows = [hot] * (n // 3)
+    rows += [hot + rng.normal(size=size) * 0.09 for _ in range(n // 6)]
+    while len(rows) < n:
+        base = rng.normal(size=size)
+        rows += [base + rng.normal(size=size) * 0.05 for _ in range(4)]
+    return [(k, [float(x) for x in np.float32(v)], 0) for k, v in enumerate(rows)]
+
+
+def test_vectors_around_many_copies(spark):
+    rows = crowded_rows()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    pivots = vectordup.sample_pivots(frame, "embedding", 512)
+    assert (np.triu(pivots @ pivots.T, 1) <= vectordup.APART).all()
+    got = {r["key"]: (r["n_links"], r["component"]) for r in vectordup.near_vectors(frame, "vec_id", "embedding", "label").collect()}
+    want = brute.vector_rows(rows)
+    found, there = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
+    assert all(got[k][0] <= want[k][0] for k in want) and found >= 0.99 * there
+    # Every link of the copies, and their one group.
+    assert all(got[k] == want[k] for k in range(800))
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 2.0], [2.0, 4.0], [3.0, 6.0]], [[2.0], [5.0], [-1.0]]])
+def test_vectors_of_few_directions(spark, vectors):
+    rows = [(k, v, 0) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["key"]: (r["n_links"], r["component"]) for r in vectordup.near_vectors(frame, "vec_id", "embedding", "label").collect()}
+    assert got == brute.vector_rows(rows)

@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points, the pivots, are a bounded sample of the vectors.  Every vector is
+Reference points, the pivots, are a bounded sample of the distinct directions of the vectors.  Every vector is
 described by its nearest pivots in order.  Vectors that share at least two of them meet in
 the inverted list of a pair of pivots, so the lists of pairs hold exactly the candidates
 with a shared-pivot count of two or more; their cosines are then computed in double
@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +23,53 @@ from tidemark.session import cut_lineage
 
 #: Members of a list that one task compares with one another, or with as many others.
 SLICE = 2048
+#: Directions looked at for each pivot, and the cosine to a pivot over which another is left out.
+SPARE, APART = 4, 0.98
 
 
-def sample_pivots(vectors: DataFrame, key: str, vector: str, pivots: int) -> np.ndarray:
-    """Up to ``pivots`` unit vectors: those with the smallest hashes of their keys.
+def directions(vectors: DataFrame, vector: str, most: int | None = None) -> DataFrame:
+    """(h, v): unit vectors of the usable rows with a hash that equal directions share, up to ``most``."""
+    chosen = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
 
-    This bounds what reaches the driver.  Shorter vectors are filled with zeros.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, units = [], []
+            for v in batch.column(0):
+                unit = v.values.to_numpy(zero_copy_only=False).astype(float)
+                norm = np.linalg.norm(unit)
+                # Nulls became NaN on the way.
+                if not len(unit) or not np.isfinite(norm) or norm == 0:
+                    continue
+                unit = unit / norm
+                h = xxhash.xxh3_64_intdigest((np.round(unit, 5) + 0.0).tobytes()) >> 1
+                if most is None or h <= most:
+                    hashes.append(h), units.append(unit if most is not None else None)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(units, pa.list_(pa.float64()))], ["h", "v"])
+
+    return chosen.mapInArrow(run, "h bigint, v array<double>")
+
+
+def sample_pivots(vectors: DataFrame, vector: str, pivots: int) -> np.ndarray:
+    """Up to ``pivots`` unit vectors, none close to another: of the directions with the smallest hashes.
+
+    A direction counts once, however many rows have it.  ``SPARE`` times as many directions
+    reach the driver, which bounds it; one with a cosine over ``APART`` to a pivot is left
+    out.  Shorter vectors are filled with zeros.
     """
-    rows = (
-        vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key).alias("h"), F.hash(vector).alias("t"))
-        .orderBy("h", "t")
-        .limit(pivots)
-        .collect()
-    )
-    found = [np.array([np.nan if x is None else x for x in r["v"]], float) for r in rows]
-    found = [v / np.linalg.norm(v) for v in found if len(v) and np.isfinite(v).all() and np.linalg.norm(v) > 0]
-    width = max((len(v) for v in found), default=0)
-    out = np.zeros((len(found), width))
-    for i, v in enumerate(found):
-        out[i, : len(v)] = v
-    return out
+    lowest = directions(vectors, vector).select("h").distinct().orderBy("h").limit(SPARE * pivots).agg(F.max("h").alias("h")).first()["h"]
+    if lowest is None:
+        return np.zeros((0, 0))
+    sample = directions(vectors, vector, lowest).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()
+    width = max(max(len(r["v"]) for r in sample), 2)
+    found = np.zeros((len(sample), width))
+    for i, r in enumerate(sample):
+        found[i, : len(r["v"])] = r["v"]
+    taken, n = np.zeros((pivots, width)), 0
+    for v in found:
+        if n < pivots and (not n or (taken[:n] @ v).max() <= APART):
+            taken[n], n = v, n + 1
+    # Up to as many as a vector is described by are shared by all, so few lose nothing; two make a pair.
+    return np.concatenate((taken[:n], np.eye(width)[: max(0, 2 - n)]))
 
 
 def described(vectors: DataFrame, key: str, vector: str, label: str, pivots: np.ndarray, near: int) -> DataFrame:
@@ -75,9 +102,8 @@ def described(vectors: DataFrame, key: str, vector: str, label: str, pivots: np.
                 fit = min(size, pivots.shape[1])
                 score = matrix[:, :fit] @ pivots[:, :fit].T
                 count = min(near, len(pivots))
-                best = np.argpartition(-score, count - 1, axis=1)[:, :count] if count else np.zeros((len(own), 0), int)
-                order = np.argsort(-np.take_along_axis(score, best, axis=1), axis=1, kind="stable")
-                nearest.extend(np.take_along_axis(best, order, axis=1).astype(np.int32))
+                # Of equally near pivots those with the smallest numbers, for every vector.
+                nearest.extend(np.argsort(-score, axis=1, kind="stable")[:, :count].astype(np.int32))
                 rows.extend(own.tolist())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +130,7 @@ def near_vectors(
     is the only approximation.  ``pivots`` and ``near`` set recall against the length of
     the lists; larger corpora take more pivots.
     """
-    index = sample_pivots(vectors, key, vector, pivots)
+    index = sample_pivots(vectors, vector, pivots)
     rows = cut_lineage(described(vectors, key, vector, label, index, near))
     classes = rows.groupBy("label", "v").agg(
         F.min("key").alias("rep"), F.count("*").alias("members"), F.first("nearest").alias("nearest")
