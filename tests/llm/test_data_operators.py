@@ -32,6 +32,13 @@ def test_words_equal_whole_texts():
     assert words.encode(texts) == [words.whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("word", ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "O H\u0331aver is J\u030can."])
+def test_capitals_whose_small_letters_compose(word):
+    words = tokenbin.WordTokenizer(tokenizer_path())
+    texts = [word, word + "a", f"the {word}aver is here", word.lower()]
+    assert words.encode(texts) == [words.whole(t) for t in texts]
+
+
 @pytest.mark.parametrize("block", [tokenbin.BLOCK_VALUES, 50])
 def test_token_files(spark, docs_of, monkeypatch, block):
     monkeypatch.setattr(tokenbin, "BLOCK_VALUES", block)

@@ -120,7 +120,12 @@ def plain(text: str) -> bool:
     """True if words may be lower-cased and split ahead of the tokenizer."""
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or "<|" in text:
         return False
-    return text.isascii() or ("Σ" not in text and "İ" not in text and "\x85" not in text and unicodedata.is_normalized("NFC", text))
+    if text.isascii():
+        return True
+    if "Σ" in text or "İ" in text or "\x85" in text:
+        return False
+    # The library normalizes before it lower-cases: small letters may compose where capitals don't (H̱, T̈, W̊, J̌).
+    return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
 
 
 @dataclass(frozen=True)
