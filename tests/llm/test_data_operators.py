@@ -188,6 +188,24 @@ def test_main_text(page, text):
     assert htmltext.main_text(page or "") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content with-sidebar'><p>{LONG}</p><div class='sidebar'>{LONG[:50]}</div></div>", LONG),
+        (f"<div class='single-post has-comments'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='layout-sidebar'><main><p>{LONG}</p></main></div><p>{LONG}{LONG}</p>", LONG),
+        (f"<div class='elementor-widget elementor-widget-text-editor'><p>{LONG}</p></div>" * 3, "\n\n".join([LONG] * 3)),
+        (f"<body><form action='./page.aspx'><article><p>{LONG}</p><form>{LONG[:40]}</form></article></form>", LONG),
+        (f"<form><div><p>{LONG}</p></div></form><p>x</p>", f"{LONG}\n\nx"),
+        (f"<article><p>{LONG}</p></article><div id='comments'><article class='comment'>{LONG}</article></div>", LONG),
+        (f"<p>{LONG}</p><div class='related-posts'>{LONG[:60]}</div><div class='post__share'>{LONG[:60]}</div>", LONG),
+        (f"<div hidden><p>{LONG}{LONG}</p></div><p>{LONG}</p>", LONG),
+    ],
+)
+def test_wrappers_are_not_dropped_for_their_names(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_long_page_keeps_every_paragraph(spark):
     pages = spark.createDataFrame(
         [(1, "u", "<article>" + "".join(f"<p>{i} {LONG}</p>" for i in range(3000)) + "</article>", "x"), (1, None, None, "y")],

@@ -37,6 +37,10 @@ SIDE = frozenset(
 )
 #: Of these only what stands outside an article.
 SIDE_OUTSIDE = frozenset("header footer masthead topbar".split())
+#: Words that builders put before their own names of any element: they count alone only.
+ALONE = frozenset(["widget"])
+#: First words of names that say what a page has, not what an element is.
+STATES = frozenset("has have is no with without".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -48,7 +52,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-PART = re.compile(r"[a-z]+|\d+", re.I)
+PART = re.compile(r"[a-z]+", re.I)
 
 #: Lines of a window.
 WINDOW = 3
@@ -62,11 +66,29 @@ class Line:
 
 
 def page_lines(page: str) -> list[Line]:
-    """Blocks of text as lines, empty lines where a container begins or ends or something was dropped."""
+    """Blocks of text as lines, empty lines where a container begins or ends or something was dropped.
+
+    An element named like a side part, and a form, stays if it holds every article or main
+    element of the page, or most of the text that is not linked.
+    """
+    lines, named, chars, mains = _parse(page, None)
+    if not named:
+        return lines
+    spared = frozenset(at for at, own, inside in named if 2 * own > chars or inside and inside == mains)
+    return _parse(page, spared)[0]
+
+
+def _parse(page: str, spared: frozenset[int] | None) -> tuple[list[Line], list[tuple[int, int, int]], int, int]:
+    """(lines, elements that a name would drop, unlinked characters, article and main elements).
+
+    Named elements are (place, unlinked characters, article and main elements inside); they
+    are dropped but for ``spared`` places, none at all without it.
+    """
     lines: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
-    dropped, main, links, link_chars, at = 0, 0, 0, 0, 0
+    named: list[tuple[int, int, int]] = []
+    stack: list[tuple[str, bool, bool, tuple[int, int, int] | None]] = []  # name, dropped, main, place and counts before
+    dropped, main, links, link_chars, at, chars, mains = 0, 0, 0, 0, 0, 0, 0
 
     def close(gap: int) -> None:
         nonlocal link_chars
@@ -78,17 +100,21 @@ def page_lines(page: str) -> list[Line]:
         lines.extend(Line("", 0, False) for _ in range(gap))
 
     def say(raw: str) -> None:
-        nonlocal link_chars
+        nonlocal link_chars, chars
         if dropped or not raw:
             return
         plain = html.unescape(raw)
         parts.append(plain)
         if links:
             link_chars += len("".join(plain.split()))
+        else:
+            chars += len("".join(plain.split()))
 
     def leave(index: int) -> None:
         nonlocal dropped, main, links
-        for name, was_dropped, was_main in reversed(stack[index:]):
+        for name, was_dropped, was_main, before in reversed(stack[index:]):
+            if before:
+                named.append((before[0], chars - before[1], mains - before[2]))
             if not dropped and name in BLOCKS:
                 close(1 if name in CONTAINERS else 0)
             dropped -= was_dropped
@@ -128,32 +154,49 @@ def page_lines(page: str) -> list[Line]:
                     break
         if rest.endswith("/") and name not in BLOCKS:
             continue
-        out = name in DROPPED or name == "header" and not main or (name not in MAIN and name not in ("html", "body") and aside(rest, main > 0))
+        out = name in DROPPED and name != "form" or name == "header" and not main
+        side = None if out or name in MAIN or name in ("html", "body") else aside(rest, main > 0)
+        out = out or side is True
+        by_name = not dropped and not out and (name == "form" or side == NAME)
+        out = out or by_name and spared is not None and token.start() not in spared
         if not dropped and (name in BLOCKS or out):
             close(WINDOW if out else 1 if name in CONTAINERS else 0)
-        stack.append((name, out, name in MAIN))
+        stack.append((name, out, name in MAIN, (token.start(), chars, mains) if by_name else None))
+        mains += name in MAIN and not dropped
         dropped += out
         main += name in MAIN
         links += name == "a"
     say(page[at:])
     leave(0)
     close(0)
-    return lines
+    return lines, named, chars, mains
+
+
+#: What :func:`aside` gives where class, id or role alone say so.
+NAME = "name"
 
 
-def aside(attributes: str, inside: bool) -> bool:
-    """True if class, id or role name something that isn't part of the article."""
+def aside(attributes: str, inside: bool) -> bool | str:
+    """True of hidden elements, ``NAME`` if class, id or role name something that isn't part of the article.
+
+    A name counts by its first and its last word.
+    """
     if not attributes or attributes.isspace():
         return False
+    found = False
     for key, a, b, c in NAMED.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key in ("class", "id", "role"):
-            words = set(PART.findall(value))
-            if words & SIDE or not inside and words & SIDE_OUTSIDE:
-                return True
-    return False
+            for token in value.split():
+                words = PART.findall(token)
+                if not words or words[0] in STATES:
+                    continue
+                ends = {words[0], words[-1]} - (ALONE if len(words) > 1 else frozenset())
+                if ends & SIDE or not inside and ends & SIDE_OUTSIDE:
+                    found = NAME
+    return found
 
 
 def main_blocks(lines: list[Line], surge: int = 80) -> list[str]:
