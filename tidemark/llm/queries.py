@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunkdedup, decontam, htmltext, langid, mixing, simhash, suffixdedup, tokenbin, vectordup, warc
+from tidemark.llm import (
+    chunkdedup, decontam, htmltext, langid, mixing, personal, resample, simhash, sourceaudit, suffixdedup, tokenbin, vectordup, warc,
+)
 from tidemark.llm.common import prepare, read_table
 from tidemark.session import work_path
 
@@ -140,3 +142,45 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     kept = suffixdedup.remove_repeats(docs, "doc_id", "text", 50, keep_text=False)
     return kept.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op11_target_resampling")
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark; 5 in 100 of those of 20 words or more are drawn."""
+    docs, target = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = resample.resample(docs, target, "doc_id", "text", "text", percent=5, least_words=20, buckets=10_000, seed=42)
+    return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@register(
+    "op12_source_audit",
+    r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+ w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ v AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+ vs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN v USING (lang, term) GROUP BY lang, source, term),
+ g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d
+   LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) s USING (lang, source) GROUP BY d.lang, d.source),
+ p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+   (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * vs.v)) AS p, (1 + (1000000000::HUGEINT * (v.c + 5)) // (vs.n + 5 * vs.v)) AS q
+   FROM g JOIN v USING (lang) JOIN vs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+   UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q),
+ k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50""",
+)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources of a language by divergence, and the terms that each uses most beyond its language."""
+    return sourceaudit.divergence(read_table(spark, sf_dir, "documents"), "text", "lang", "source", least_docs=30, smooth=5, top=50)
+
+
+@register("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of every document, and all spans."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = personal.detect(docs, "doc_id", "text", personal.fit(docs, "doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    digest = F.sha2(personal.span_text("base"), 256).alias("base_sha256")
+    return found.select(F.col("key").alias("doc_id"), *counts, digest, personal.span_text("spans").alias("spans"))
