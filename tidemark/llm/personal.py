@@ -280,10 +280,11 @@ def examples(sample: list[tuple[int, int, str, str, str]]) -> Iterator[tuple[boo
             add([(kind, other)])
         for other in spoiled(kind, value):
             add([(None, other)])
-        for step, gap in ((1, " "), (7, " "), (61, " "), (1009, " "), (211, "-"), (431, ", ")):
+        for n, (step, gap) in enumerate(((1, " "), (7, " "), (17, " "), (61, " "), (101, " "), (1009, " "), (211, "-"), (431, ", "))):
             k, _, _, partner, right = sample[(i + step) % len(sample)]
             if gap == "-" and EMAIL in (kind, k):
                 continue
+            partner = [partner, *variants(k, partner)][n % 2 if k == CARD and variants(k, partner) else 0]
             add([(kind, value), (None, gap), (k, partner)], right=right)
         number = digits_of(value) or str(bucket)
         add([(None, f" {number[:4]}-{number[4:6]}-{number[6:8]} {number[:2]}.{number[2:4]}.{number[4:6]} ")])
