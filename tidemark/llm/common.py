@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts that one Arrow batch may hold.
-TEXT_BATCH_ROWS = 1000
+from tidemark.session import cut_lineage
+
+#: Bytes of an Arrow batch handed to Python; a longer text is a batch of its own.
+TEXT_BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader decodes at once: whole texts in large batches fill an executor's heap.
+READER_ROWS = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +24,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the operators expect: UTC, adaptive plans, small text batches."""
+    """Session settings that the operators expect: UTC, adaptive plans, batches bounded by bytes."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a number each, and the number's column; keys need not tell rows apart."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:

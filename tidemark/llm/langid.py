@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import slices_of, text_buffers, worker_state
 
 #: Bytes of a text that are parsed as one block.
 BLOCK = 1024
 #: Bytes that a task prepares at once.
-WORK_BYTES = 4 << 20
+WORK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -71,13 +71,13 @@ def fit(labelled: DataFrame, text: str, label: str, key: str, windows: int = 128
 
 
 def predict(docs: DataFrame, profiles: Profiles, key: str, text: str) -> DataFrame:
-    """(key, language, score, phrase_bytes) of every row of ``docs``, from the text alone.
+    """(key, language, score, phrase_bytes, parsed) of every row of ``docs``, from the text alone.
 
     ``language`` is ``und`` for null texts, texts without a letter, and if nothing was
     learned; its score is 0.  Otherwise ``score`` is 1 minus the winner's normalised
     phrases over the runner-up's (1 if only one language is known); equal languages give
     0 and the first name wins.  ``phrase_bytes`` is the mean length of the winner's
-    phrases.  Letters are compared in lower case; everything else in ASCII is a
+    phrases, ``parsed`` the bytes they cover.  Letters are compared in lower case; everything else in ASCII is a
     separator.  Rows repeat as they do in the input, keys may be null, and no other
     column of the input is read.
     """
@@ -92,6 +92,7 @@ def predict(docs: DataFrame, profiles: Profiles, key: str, text: str) -> DataFra
             StructField("language", StringType()),
             StructField("score", DoubleType()),
             StructField("phrase_bytes", DoubleType()),
+            StructField("parsed", LongType()),
         ]
     )
     names, samples = profiles.languages, [s.encode() for _, s in profiles.samples]
@@ -101,7 +102,7 @@ def predict(docs: DataFrame, profiles: Profiles, key: str, text: str) -> DataFra
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             n = batch.num_rows
-            language, score, mean = np.full(n, "und", object), np.zeros(n), np.zeros(n)
+            language, score, mean, parsed = np.full(n, "und", object), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             if tables is not None:
                 raw, offsets = text_buffers(batch.column(1))
                 for a, b in slices_of(offsets, WORK_BYTES):
@@ -113,12 +114,13 @@ def predict(docs: DataFrame, profiles: Profiles, key: str, text: str) -> DataFra
                     second = bits.min(axis=0)
                     ok = letters[a:b] & (size > 0)
                     at = a + np.flatnonzero(ok)
+                    parsed[a:b] = size
                     language[at] = [names[i] for i in best[ok]]
                     score[at] = 1 - least[ok] / second[ok]
                     mean[at] = size[ok] / np.maximum(phrases[best[ok], np.flatnonzero(ok)], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(language, pa.string()), pa.array(score), pa.array(mean)],
-                ["key", "language", "score", "phrase_bytes"],
+                [batch.column(0), pa.array(language, pa.string()), pa.array(score), pa.array(mean), pa.array(parsed)],
+                ["key", "language", "score", "phrase_bytes", "parsed"],
             )
 
     return chosen.mapInArrow(run, schema)
@@ -129,8 +131,6 @@ class Tables:
 
     def __init__(self, samples: list[bytes]):
         used = sorted({c for s in samples for c in self.plain(np.frombuffer(s, np.uint8)).tolist()} - {32})
-        if len(used) > 254:
-            used = used[:254]
         # 0 separates words; the last class is every byte that no sample has.
         self.width = len(used) + 2
         classes = np.full(256, self.width - 1, np.uint8)
