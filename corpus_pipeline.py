@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, mixing, simhash, tokenbin
-from tidemark.llm.common import prepare, read_table
+from tidemark.llm.common import numbered, prepare, read_table
 from tidemark.llm.queries import END_ID, held_out, tokenizer_path
 from tidemark.session import cut_lineage
 
@@ -23,42 +23,69 @@ KEPT_WORDS = 150_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without letters, and texts that
     no learned language explains in phrases of more than ``FEWEST_PHRASE_BYTES`` on average.
-    A null ``lang`` is filled with the prediction."""
+    A null ``lang`` is filled with the prediction.  Rows are judged by their text alone, so repeated
+    rows stay or go together and a null id changes nothing; an empty table gives an empty one.
+    """
     prepare(spark)
     profiles = langid.fit(docs.where(~held_out("doc_id")), "text", "lang", "doc_id")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = langid.predict(rows, profiles, "row", "text")
-    kept = found.where((F.col("language") != "und") & (F.col("phrase_bytes") > FEWEST_PHRASE_BYTES))
+    # A text of one or two bytes has no longer phrases than itself.
+    least = F.least(F.lit(FEWEST_PHRASE_BYTES), F.col("parsed") - 0.5)
+    kept = found.where((F.col("language") != "und") & (F.col("phrase_bytes") > least))
     return kept.select(
         *(F.coalesce("key.lang", "language").alias(c) if c == "lang" else F.col("key").getField(c).alias(c) for c in docs.columns)
     )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group; rows without an id stay."""
+    """Keeps one row of each SimHash group, the one with the smallest doc_id.
+
+    Among rows that share it, or if all have none, the first read stays; a row with an id goes
+    before rows without.  Null and empty texts are one group.  Columns of the rows are
+    kept as they are; an empty table gives an empty one.
+    """
     prepare(spark)
-    found = simhash.near_duplicates(docs, "doc_id", "text", 3, 3)
-    dropped = found.where("key != component").select(F.col("key").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    rows, number = numbered(docs)
+    found = simhash.near_duplicates(rows, number, "text", 3, 3)
+    ids = rows.select(F.col(number).alias("key"), F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct("missing", "id", "key")).alias("first")
+    kept = found.join(ids, "key").groupBy("component").agg(first).select(F.col("first.key").alias(number))
+    return rows.join(kept.hint("shuffle_hash"), number, "left_semi").drop(number)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops rows that hold a passage of the benchmark, whether they have an id or not.
+
+    Repeated rows are judged each, null and empty texts stay, and an empty benchmark or table
+    drops nothing.
+    """
     prepare(spark)
-    found = decontam.overlaps(docs, read_table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return decontam.decontaminate(docs, found, "doc_id")
+    rows, number = numbered(docs)
+    found = decontam.overlaps(rows, read_table(spark, sf_dir, "benchmark"), number, "text", "item_id", "text")
+    hit = cut_lineage(found.select(F.col("key").alias(number)).distinct())
+    return rows.join(hit, number, "left_anti").drop(number)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix of their sources takes them: a row for each pass that takes words of one."""
+    """The documents as the mix of their sources takes them: a row for each pass that takes words of one.
+
+    A null source is a source of its own.  Rows without words (null and empty texts) are never
+    taken; repeated rows and rows without an id are taken each for itself.  An empty table
+    gives an empty one.
+    """
     prepare(spark)
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mixed = mixing.mix(numbered, "doc_id", "text", "source", row="_row")
-    return mixing.mixed_documents(mixed, numbered, "_row", "text", "n_chars")
+    rows, number = numbered(docs)
+    mixed = mixing.mix(rows, "doc_id", "text", "source", row=number)
+    return mixing.mixed_documents(mixed, rows, number, "text", "n_chars")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left: doc_id, start, n_tokens and ids_crc32 of each row, read from them."""
+    """Token files of what is left: doc_id, start, n_tokens and ids_crc32 of each row, read from them.
+
+    Rows stand in ascending order of doc_id, null ids as the operator orders them; rows that
+    share an id stand each for itself.  A null text is empty and gives the end id alone.
+    """
     prepare(spark)
     files = tokenbin.write_tokens(docs, "doc_id", "text", tokenizer_path(), END_ID, kept_words=KEPT_WORDS)
     return tokenbin.token_digests(spark, files).withColumnRenamed("key", "doc_id")
