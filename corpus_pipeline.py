@@ -46,12 +46,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept as they are; an empty table gives an empty one.
     """
     prepare(spark)
-    rows, number = numbered(docs)
+    shared = cut_lineage(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    # Rows that their id names go by it; only the others are written with a number.
+    named = docs.where("doc_id IS NOT NULL").join(shared, "doc_id", "left_anti").select(docs.columns)
+    others = docs.where("doc_id IS NULL").unionByName(docs.join(shared, "doc_id", "left_semi").select(docs.columns))
+    others, number = numbered(others)
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = named.withColumn(number, F.concat(F.lit("id:"), id_text)).unionByName(
+        others.withColumn(number, F.concat(F.lit("row:"), F.col(number).cast("string"), F.lit(":"), id_text))
+    )
     found = simhash.near_duplicates(rows, number, "text", 3, 3)
-    ids = rows.select(F.col(number).alias("key"), F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))
-    first = F.min(F.struct("missing", "id", "key")).alias("first")
-    kept = found.join(ids, "key").groupBy("component").agg(first).select(F.col("first.key").alias(number))
-    return rows.join(kept.hint("shuffle_hash"), number, "left_semi").drop(number)
+    doc_id = F.try_element_at(F.split("key", ":"), F.lit(-1)).try_cast("long")
+    place = F.struct(doc_id.isNull().alias("missing"), doc_id.alias("id"), "key")
+    kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.key").alias(number))
+    return rows.join(kept.hint("shuffle_hash"), number, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +69,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     drops nothing.
     """
     prepare(spark)
-    rows, number = numbered(docs)
-    found = decontam.overlaps(rows, read_table(spark, sf_dir, "benchmark"), number, "text", "item_id", "text")
-    hit = cut_lineage(found.select(F.col("key").alias(number)).distinct())
-    return rows.join(hit, number, "left_anti").drop(number)
+    # What a text holds depends on the text alone, so its digest names it.
+    texts = docs.select("text", F.md5("text").alias("digest"))
+    found = decontam.overlaps(texts, read_table(spark, sf_dir, "benchmark"), "digest", "text", "item_id", "text")
+    hit = cut_lineage(found.select(F.col("key").alias("digest")).distinct())
+    return docs.join(hit, F.md5(docs["text"]) == hit["digest"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
