@@ -111,18 +111,59 @@ def test_latest_gauge_stream_keeps_newest(spark, tmp_path):
     assert {r["name"]: (r["value"], r["at"]) for r in got} == {"a": (4.0, 7), "b": (2.0, 1)}
 
 
-def test_sliding_increase_stream_closes_windows(spark, tmp_path):
+def _plain_windows(points, window, slide):
+    """{window end: (samples, increase)} of (second, order, value) samples."""
+    out = {}
+    for end in range(slide, max(s for s, _, _ in points) + window + 1, slide):
+        inside = [v for s, _, v in sorted(points) if end - window <= s < end]
+        if inside:
+            out[end] = (len(inside), sum(b if b < a else b - a for a, b in zip(inside, inside[1:])))
+    return out
+
+
+def _run_windows(spark, tmp_path, batches, window, slide, late):
     landing, out, checkpoint = (str(tmp_path / p) for p in ("landing", "out", "checkpoint"))
     start = datetime.datetime(2024, 1, 1)
-    points = [(0, 5.0), (10, 8.0), (20, 2.0), (70, 4.0), (600, 1.0)]
-    _land(landing, "0.json", [{"name": "c", "n": n, "ts": str(start + datetime.timedelta(seconds=s)), "v": v} for n, (s, v) in enumerate(points)])
-    stream = ing.landing_stream(spark, landing, "name string, n int, ts timestamp, v double")
-    windows = sx.sliding_increase(stream, ["name"], "ts", "n", "v", "1 minute", "5 seconds", "30 seconds")
-    ing.run_once(windows, lambda b, i: ing.write_batch(b, out, i), checkpoint)
-    got = spark.read.parquet(out).filter(F.col("window_end") == F.lit(start + datetime.timedelta(seconds=60)).cast("timestamp_ntz")).first()
-    assert (got["samples"], got["increase"]) == (3, 5.0)
-    closed = spark.read.parquet(out).agg(F.max("window_end")).first()[0]
-    assert closed <= start + datetime.timedelta(seconds=570)
+    for i, points in enumerate(batches):
+        _land(landing, f"{i}.json", [{"name": "c", "n": n, "ts": str(start + datetime.timedelta(seconds=s)), "v": v} for s, n, v in points])
+        stream = ing.landing_stream(spark, landing, "name string, n int, ts timestamp, v double")
+        windows = sx.sliding_increase(stream, ["name"], "ts", "n", "v", f"{window} seconds", f"{slide} seconds", f"{late} seconds")
+        ing.run_once(windows, lambda b, i: ing.write_batch(b, out, i), checkpoint, "update")
+    rows = ing.latest_updates(spark, out, "name string, window_end timestamp_ntz, samples bigint, increase double", ["name", "window_end"]).collect()
+    return {int((r["window_end"] - start).total_seconds()): (r["samples"], r["increase"]) for r in rows}, checkpoint
+
+
+def test_sliding_increase_stream_equals_plain_windows_in_any_order(spark, tmp_path):
+    points = [(s, n, float((s * 7 + n) % 23)) for n, s in enumerate(range(0, 400, 3))]
+    # Every sample arrives up to 100 seconds late, in three batches; the last also brings equal times.
+    late = sorted(points, key=lambda p: p[0] + p[1] * 37 % 100)
+    batches = [late[:50], late[50:90], [*late[90:], (399, 900, 1.0)]]
+    got, checkpoint = _run_windows(spark, tmp_path, batches, 60, 20, 120)
+    assert got == _plain_windows([p for b in batches for p in b], 60, 20)
+    state = spark.read.format("statestore").option("stateVarName", "panes").load(checkpoint)
+    open_rows = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    # A row per pane of closed times that an open window reaches; the samples kept are those that the watermark, of the
+    # batches before, had not passed.
+    passed = 1_000_000 * (max(s for b in batches[:2] for s, _, _ in b) - 120) + 1_704_067_200_000_000
+    assert 0 < state.count() <= 60 // 20 + 2
+    assert 0 < open_rows.count() < len(points) and open_rows.agg(F.min("list_element.at")).first()[0] >= passed
+
+
+def test_sliding_increase_drops_samples_behind_the_watermark(spark, tmp_path):
+    batches = [[(0, 1, 5.0), (10, 2, 8.0), (600, 3, 1.0)], [(12, 4, 9.0), (601, 5, 4.0)]]
+    got, _ = _run_windows(spark, tmp_path, batches, 60, 5, 30)
+    assert got[60] == (2, 3.0) and got[605] == (2, 3.0)
+
+
+def test_window_that_is_no_multiple_of_its_slide(spark, tmp_path):
+    points = [(s, s, float(s % 11)) for s in range(0, 50, 2)]
+    got, _ = _run_windows(spark, tmp_path, [points], 9, 6, 100)
+    want = {}
+    for start in range(-6, 54, 6):
+        inside = [v for s, _, v in points if start <= s < start + 9]
+        if inside:
+            want[start + 9] = (len(inside), sum(b if b < a else b - a for a, b in zip(inside, inside[1:])))
+    assert got == want
 
 
 def test_arriving_vectors_are_scored(spark, tmp_path):

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+#: Name of a state store that keyed operators with several states need; the choice is kept in a checkpoint.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Columns of a sample as the state operator gets them; it renames those that begin with an underscore.
+SAMPLE = ("sample_at", "sample_id", "sample_value")
+#: (time, order, value) of a sample; times in microseconds.
+Sample = tuple[int, int, float]
+#: First and last sample of a pane, growth between its samples, and how many they are.
+Pane = tuple[Sample, Sample, float, int]
 
 
 def latest_gauge(stream: DataFrame, series: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
@@ -13,35 +27,128 @@ def latest_gauge(stream: DataFrame, series: Sequence[str], order: Sequence[str],
     return stream.groupBy(*series).agg(F.max_by(value, F.struct(*order)).alias(value), F.max(order[0]).alias(order[0]))
 
 
-def _growth(points: Column) -> Column:
-    """Reset-corrected growth over time-ordered points (at, id, v)."""
-    later = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
-    steps = F.zip_with(
-        F.slice(points, F.lit(1), F.size(points) - 1),
-        later,
-        lambda a, b: F.when(b["v"] < a["v"], b["v"]).otherwise(b["v"] - a["v"]),
-    )
-    grown = F.aggregate(steps, F.lit(0.0), lambda total, s: total + s)
-    return F.when(F.size(points) > 1, grown).otherwise(F.lit(0.0))
+def step(before: float, now: float) -> float:
+    """Growth of a counter from one sample to the next; a drop is a reset to zero."""
+    return now if now < before else now - before
+
+
+def extended(pane: Pane | None, sample: Sample) -> Pane:
+    """The pane with one more sample, later than all it has."""
+    if pane is None:
+        return sample, sample, 0.0, 1
+    first, last, grown, n = pane
+    return first, sample, grown + step(last[2], sample[2]), n + 1
+
+
+def merged(a: Pane | None, b: Pane) -> Pane:
+    """Two panes as one, ``a`` before ``b``."""
+    if a is None:
+        return b
+    return a[0], b[1], a[2] + step(a[1][2], b[0][2]) + b[2], a[3] + b[3]
+
+
+class PaneRates(StatefulProcessor):
+    """Keeps a series as panes and gives the windows that a batch of samples changes.
+
+    A pane is one row of state, however many samples it had.  Only samples that the watermark
+    has not passed are kept as they are: a late one may still come between them, and its
+    growth depends on both neighbours.  Once passed, they are folded into their panes in
+    order of time, and panes that no open window reaches are dropped.
+    """
+
+    def __init__(self, window: int, slide: int, names: list[str]):
+        self.window, self.slide, self.names = window, slide, names
+        self.pane = math.gcd(window, slide)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        summary = "first_at bigint, first_id bigint, first double, last_at bigint, last_id bigint, last double, grown double, n bigint"
+        self.panes = handle.getMapState("panes", "pane bigint", summary)
+        self.open = handle.getListState("open", "at bigint, id bigint, v double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [s for part in rows for s in zip(*(part[c].tolist() for c in SAMPLE))]
+        panes = {k[0]: ((v[0], v[1], v[2]), (v[3], v[4], v[5]), v[6], v[7]) for k, v in self.panes.iterator()}
+        touched = {s[0] // self.pane for s in fresh}
+        samples = sorted([tuple(s) for s in self.open.get()] + fresh) if self.open.exists() else sorted(fresh)
+        done = [s for s in samples if s[0] < passed]
+        for s in done:
+            panes[s[0] // self.pane] = extended(panes.get(s[0] // self.pane), s)
+        for p in {s[0] // self.pane for s in done}:
+            (a, b, grown, n) = panes[p]
+            self.panes.updateValue((p,), (*a, *b, grown, n))
+        self._keep(samples[len(done) :])
+        for p in [p for p in panes if (p + 1) * self.pane + self.window <= passed]:
+            self.panes.removeKey((p,))
+            del panes[p]
+        self._wake(samples[-1][0] if samples else None)
+        for s in samples[len(done) :]:
+            panes[s[0] // self.pane] = extended(panes.get(s[0] // self.pane), s)
+        out = []
+        for end in sorted({e for p in touched for e in self._ends(p)}):
+            whole = None
+            for p in range((end - self.window) // self.pane, end // self.pane):
+                if p in panes:
+                    whole = merged(whole, panes[p])
+            out.append((*key, end, whole[3], whole[2]))
+        yield pd.DataFrame(out, columns=[*self.names, "window_ends", "samples", "increase"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A series without samples for so long that no window is open: its state goes."""
+        self.panes.clear()
+        self.open.clear()
+        yield pd.DataFrame({n: [] for n in [*self.names, "window_ends", "samples", "increase"]})
+
+    def _keep(self, samples: list[Sample]) -> None:
+        if samples:
+            self.open.put(samples)
+        elif self.open.exists():
+            self.open.clear()
+
+    def _wake(self, newest: int | None) -> None:
+        if newest is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer((newest + 2 * self.window) // 1000 + 1)
+
+    def _ends(self, pane: int) -> range:
+        """Ends of the windows that hold a pane; windows begin at multiples of the slide."""
+        first = pane * self.pane // self.slide * self.slide
+        starts = range(first, (pane + 1) * self.pane - self.window - 1, -self.slide)
+        return range(starts[-1] + self.window, first + self.window + 1, self.slide)
 
 
 def sliding_increase(
     stream: DataFrame, series: Sequence[str], ts: str, order: str, value: str, window: str, slide: str, late: str
 ) -> DataFrame:
-    """Increase per sliding window, with a watermark that bounds the state.
+    """(series, window_end, samples, increase) of the sliding windows that each batch changes, for update mode.
 
-    A window's samples of one series are kept until it closes; the window length
-    bounds how many that are.
+    The increase corrects counter resets; samples may arrive in any order up to ``late``
+    behind the newest, later ones are dropped.  State is a row per pane of the length that
+    divides window and slide, and the samples of the last ``late``; windows share panes
+    instead of holding their samples each.  ``order`` is an integer that tells samples of
+    one time apart.  Samples without a time or value are left out.
     """
-    at = F.col(ts).cast("timestamp")
-    timed = stream.withColumn("_at", at).withWatermark("_at", late)
-    point = F.struct(F.col("_at").alias("at"), F.col(order).alias("id"), F.col(value).alias("v"))
-    grouped = timed.groupBy(*series, F.window("_at", window, slide).alias("_w")).agg(
-        F.sort_array(F.collect_list(point)).alias("_p")
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    length, shift = (micros_of(spark, text) for text in (window, slide))
+    kinds = {f.name: f for f in stream.schema.fields}
+    schema = StructType(
+        [*(kinds[s] for s in series), StructField("window_ends", LongType()), StructField("samples", LongType()), StructField("increase", DoubleType())]
+    )
+    timed = stream.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(
+        *series, F.col(ts).cast("timestamp").alias("sample_time"), F.col(order).cast("long").alias("sample_id"), F.col(value).cast("double").alias("sample_value")
     )
-    return grouped.select(
-        *series,
-        F.col("_w.end").cast("timestamp_ntz").alias("window_end"),
-        F.size("_p").cast("bigint").alias("samples"),
-        _growth(F.col("_p")).alias("increase"),
+    timed = timed.withColumn("sample_at", F.unix_micros("sample_time")).withWatermark("sample_time", late)
+    found = timed.groupBy(*series).transformWithStateInPandas(
+        PaneRates(length, shift, list(series)), outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
+    end = F.timestamp_micros("window_ends").cast("timestamp_ntz").alias("window_end")
+    return found.select(*series, end, "samples", "increase")
+
+
+def micros_of(spark: SparkSession, span: str) -> int:
+    """Microseconds of a span such as '5 seconds'; months and years have none."""
+    at = F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {span}")
+    return spark.range(1).select(F.unix_micros(at).alias("n")).first()["n"]
