@@ -189,3 +189,95 @@ def test_interval_trigger_starts_and_stops(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [1]
+
+
+def _greedy_kept(texts, threshold=0.75):
+    kept = []
+    for key, text in texts:
+        words = set(text.lower().split())
+        if all(len(words & k) < threshold * len(words | k) or not words | k for _, k in kept):
+            kept.append((key, words))
+    return [key for key, _ in kept]
+
+
+def test_ingest_with_a_word_that_turns_common_late(spark, tmp_path):
+    """Ten arrivals: results as by comparing all with all, few files, a new item order, stored lists met where they lie."""
+    import random
+
+    rng = random.Random(5)
+    texts, key = [], 0
+    store = ing.NearDuplicateIngest(spark, str(tmp_path / "tables"), buckets=4)
+    for n in range(10):
+        rows = []
+        for _ in range(12):
+            key += 1
+            words = [f"w{rng.randrange(400)}" for _ in range(10)] + (["late"] if n > 4 else [])
+            if rows and rng.random() < 0.3:
+                words = rows[-1][1].split()[1:] + ["x"]
+            if texts and rng.random() < 0.2:
+                words = rng.choice(texts)[1].split()
+                words[0] = "y"
+            rows.append((key, " ".join(words)))
+        texts += rows
+        store(spark.createDataFrame(rows, "key bigint, text string"), n)
+    kept = _greedy_kept(texts)
+    got = sorted((r["id"], r["key"]) for r in store.stored().collect())
+    assert got == list(enumerate(kept, 1)) and len(kept) < 0.8 * len(texts)
+    version, _ = store.version()
+    assert version >= 4
+    for table in (store.words(spark), store.lists(spark, version)):
+        runs = table.runs()
+        assert table.total() > 0 and len(runs) < 10 and table.files() <= 4 * len(runs)
+    # A new object, as after a restart, finds the same; the last batch again changes nothing.
+    again = ing.NearDuplicateIngest(spark, str(tmp_path / "tables"), buckets=4)
+    again(spark.createDataFrame(texts[-12:], "key bigint, text string"), 9)
+    assert sorted((r["id"], r["key"]) for r in again.stored().collect()) == got
+
+
+def _above_scan(plan, name):
+    """Names of the operators between the top and the scan of a table, nearest last."""
+    above = []
+    node = plan
+
+    def walk(node, path):
+        if node.nodeName().startswith("Scan") and name in node.nodeName():
+            above.append(path)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), [*path, node.nodeName()])
+
+    walk(node, [])
+    return above
+
+
+def test_stored_runs_are_not_shuffled(spark, tmp_path):
+    from tidemark.streaming.runtable import RunTable
+
+    table = RunTable(spark, str(tmp_path / "keys"), "k bigint, v string", ["k"], buckets=4, fan=2)
+    for n in range(5):
+        table.add(spark.range(n * 10, n * 10 + 10).selectExpr("id AS k", "'a' AS v"), n)
+    assert sorted(r["k"] for r in table.rows().collect()) == list(range(50)) and len(table.runs()) <= 3
+    assert sorted(r["k"] for r in table.rows(before=3).collect()) == list(range(30)) or table.runs(before=3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        new = spark.range(45, 60).selectExpr("id AS k")
+        joined = new.join(table.rows(), "k", "left_anti")
+        paths = _above_scan(joined._jdf.queryExecution().executedPlan(), table.name)
+        assert paths and all("Exchange" not in p for path in paths for p in path)
+        assert sorted(r["k"] for r in joined.collect()) == list(range(50, 60))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_newest_row_of_a_key(spark, tmp_path):
+    from tidemark.streaming.runtable import RunTable
+
+    table = RunTable(spark, str(tmp_path / "feeds"), "feed string, print string, batch bigint", ["feed"], buckets=2, fan=2, newest="batch")
+    for n in range(6):
+        table.add(spark.createDataFrame([(f, f"{f}{n}", n) for f in ("a", "b")[: 1 + n % 2]], table.schema), n)
+    assert sorted((r["feed"], r["print"]) for r in table.rows().collect()) == [("a", "a5"), ("b", "b5")]
+    assert table.total() < 9

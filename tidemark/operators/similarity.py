@@ -363,6 +363,17 @@ def pairs_between(
     return _promising(met, bounds, F.col("early") < F.col("late") if order is None else order, whole)
 
 
+def pairs_with_stored(stored: DataFrame, late: DataFrame, bounds: Bounds) -> DataFrame:
+    """Distinct pairs of a stored record and a later one that meet in a list.
+
+    ``stored`` has (list_key, rid, size, rest) and is met where it lies if it is bucketed by
+    list; a list's name tells rule and gram length, which the later side brings.
+    """
+    a = stored.select("list_key", F.col("rid").alias("early"), F.col("size").alias("_sa"), F.col("rest").alias("_ra"))
+    b = late.withColumnsRenamed({"rid": "late", "size": "_sb", "rest": "_rb"})
+    return _promising(b.join(a, "list_key"), bounds, F.col("early") < F.col("late"), whole=True)
+
+
 def _sides(early: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = early.select(*_MEETING, F.col("rid").alias("early"), F.col("size").alias("_sa"), F.col("rest").alias("_ra"))
     return a, late.withColumnsRenamed({"rid": "late", "size": "_sb", "rest": "_rb"})

@@ -125,7 +125,7 @@ def stream_dedup(spark, sf_dir):
     """Documents arrive in three batches and are stored unless they nearly repeat a stored one."""
     root = work_path(spark, "near")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    store = ing.NearDuplicateIngest(spark, os.path.join(root, "tables"))
+    store = ing.NearDuplicateIngest(spark, os.path.join(root, "tables"), buckets=8)
     run_arrivals(spark, arrivals(docs, "key", 3), root, "key bigint, text string", store)
     return store.stored().select("key", "id")
 

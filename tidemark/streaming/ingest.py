@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.functions.text import fingerprint, word_set
@@ -19,7 +20,8 @@ from tidemark.operators import dedup as dd
 from tidemark.operators import greedy
 from tidemark.operators import similarity as sm
 from tidemark.operators.tables import append_with_ids, table_or_empty
-from tidemark.session import apply_runtime_settings, cut_lineage
+from tidemark.session import apply_runtime_settings, cut_lineage, delete_path
+from tidemark.streaming.runtable import RUNS_A_BATCH, RunTable
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -77,13 +79,22 @@ def latest_updates(spark: SparkSession, table: str, schema: str, keys: Sequence[
     return rows.groupBy(*keys).agg(newest).select(*keys, "_n.*")
 
 
-def ignore_known(table: str, schema: str, keys: Sequence[str], order: str) -> Handler:
-    """Insert-ignore: first row per key of the batch whose key no earlier batch stored."""
+def ignore_known(table: str, schema: str, keys: Sequence[str], order: str, buckets: int = 16) -> Handler:
+    """Insert-ignore: first row per key of the batch whose key no earlier batch stored.
+
+    The stored keys lie bucketed beside the table, so a batch is shuffled to them and not
+    they to it.  Rows with a null in their key are all stored, one of each batch.
+    """
+    kinds = {f.name: f for f in T._parse_datatype_string(schema).fields}
+    key_schema = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        refuse_restart(batch.sparkSession, table, schema, batch_id)
-        stored = read_batches(batch.sparkSession, table, schema, before=batch_id)
-        write_batch(dd.insert_ignore(batch, stored, keys, order), table, batch_id)
+        spark = batch.sparkSession
+        refuse_restart(spark, table, schema, batch_id)
+        known = RunTable(spark, f"{table}_keys", key_schema, keys, buckets)
+        fresh = dd.first_per_key(batch, keys, order).join(known.rows(before=batch_id), list(keys), "left_anti")
+        write_batch(fresh, table, batch_id)
+        known.add(spark.read.parquet(os.path.join(table, f"batch_id={batch_id}")).select(*keys), batch_id)
 
     return handle
 
@@ -96,26 +107,31 @@ def changed_feeds(
     ``capture`` names the column that tells the captures of a feed apart and sorts them by
     time: a batch may then hold several, each compared with the one before it, the first
     with the last stored one.  Without it, the rows of a feed in a batch are one capture.
+
+    ``state`` keeps the last fingerprint of each feed; it grows with the feeds, not with the
+    batches.  Feeds without a name are one feed.
     """
-    schema = f"{feed} string, fingerprint string"
+    schema = "feed string, fingerprint string, batch bigint"
     # A struct compares a missing capture time as a value and is never null itself.
     taken = F.struct(F.col(capture) if capture else F.lit(0).alias("at"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        refuse_restart(spark, state, schema, batch_id)
-        earlier = read_batches(spark, state, schema, before=batch_id)
-        last = earlier.groupBy(feed).agg(F.max_by("fingerprint", "batch_id").alias("_last"))
-        entries = batch.withColumns({"_feed": F.col(feed).cast("string"), "_taken": taken})
+        table = RunTable(spark, state, schema, ["feed"], newest="batch")
+        if any(run // RUNS_A_BATCH > batch_id for run, _ in table.runs()):
+            raise RuntimeError(f"{state} holds batches after {batch_id}; use its old checkpoint or another folder")
+        name = F.coalesce(F.concat(F.lit("="), F.col(feed).cast("string")), F.lit(""))
+        entries = batch.withColumns({"_feed": name, "_taken": taken})
         prints = cut_lineage(entries.groupBy("_feed", "_taken").agg(fingerprint(position, *cols).alias("fingerprint")))
+        last = table.rows(before=batch_id).select(F.col("feed").alias("_feed"), F.col("fingerprint").alias("_last"))
         # One row per capture, not per entry.
         before = F.lag("fingerprint").over(W.partitionBy("_feed").orderBy("_taken"))
-        seen = prints.withColumn("_before", before).join(last.withColumnRenamed(feed, "_feed"), "_feed", "left")
+        seen = prints.withColumn("_before", before).join(last, "_feed", "left")
         fresh = seen.filter(~F.col("fingerprint").eqNullSafe(F.coalesce("_before", "_last")))
         passed = entries.join(fresh.select("_feed", "_taken"), ["_feed", "_taken"], "left_semi")
         write_batch(passed.drop("_feed", "_taken"), output, batch_id)
-        newest = prints.groupBy(F.col("_feed").alias(feed)).agg(F.max_by("fingerprint", "_taken").alias("fingerprint"))
-        write_batch(newest, state, batch_id)
+        newest = prints.groupBy(F.col("_feed").alias("feed")).agg(F.max_by("fingerprint", "_taken").alias("fingerprint"))
+        table.add(newest.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
 
     return handle
 
@@ -123,57 +139,100 @@ def changed_feeds(
 class NearDuplicateIngest:
     """Store arriving texts unless they repeat a stored one, exactly or nearly.
 
-    Tables below ``root``: ``stored`` (the kept rows with generated ids), ``lists`` and
-    ``words`` (their candidate lists and word sets) and ``order`` (the item order,
-    frozen at the first batch so that lists never have to be rebuilt).  A batch is
-    compared with the lists of stored rows, not with their texts.
+    Tables below ``root``: ``stored`` (the kept rows with generated ids), ``words`` (their word
+    sets by row) and, for each version of the item order, ``lists`` (their candidate lists by
+    list) and ``order``.  A batch is shuffled to the lists and word sets it meets; these lie in
+    bucketed runs and are not moved.
+
+    An item order is lossless as long as all lists follow it, but one taken from few texts
+    puts words first that have turned common since, and their lists grow.  So whenever the
+    stored texts have doubled since an order was taken, a new one is taken and all lists are made
+    anew under it: every stored text is listed a bounded number of times on average.
     """
 
     STORED = "id bigint, key bigint, text string"
-    LISTS = "list_key bigint, rid bigint, size int, rule string, grams int, rest int"
+    LISTS = "list_key bigint, rid bigint, size int, rest int"
     WORDS = "rid bigint, tokens array<string>"
+    VERSIONS = "version int, rows bigint"
 
-    def __init__(self, spark: SparkSession, root: str, threshold: float = dd.JACCARD_THRESHOLD):
-        self.spark, self.threshold = spark, threshold
-        self.tables = {name: os.path.join(root, name) for name in ("stored", "lists", "words", "order")}
+    def __init__(self, spark: SparkSession, root: str, threshold: float = dd.JACCARD_THRESHOLD, buckets: int = 16):
+        self.spark, self.root, self.threshold, self.buckets = spark, root, threshold, buckets
+        self._tables: dict[str, RunTable] = {}
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.root, name)
 
     def stored(self, before: int | None = None) -> DataFrame:
-        return read_batches(self.spark, self.tables["stored"], self.STORED, before)
+        return read_batches(self.spark, self._path("stored"), self.STORED, before)
+
+    def _table(self, spark: SparkSession, name: str, schema: str, key: str) -> RunTable:
+        found = self._tables.setdefault(name, RunTable(spark, self._path(name), schema, [key], self.buckets))
+        # Every batch comes in a session of its own.
+        found.spark = spark
+        return found
+
+    def words(self, spark: SparkSession) -> RunTable:
+        return self._table(spark, "words", self.WORDS, "rid")
+
+    def lists(self, spark: SparkSession, version: int) -> RunTable:
+        return self._table(spark, f"lists/version={version}", self.LISTS, "list_key")
+
+    def order(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.schema("item bigint, freq int").parquet(self._path(f"order/version={version}"))
+
+    def version(self, batch_id: int | None = None) -> tuple[int, int] | None:
+        """(version, stored rows it was taken from) that holds before a batch, or now."""
+        rows = read_batches(self.spark, self._path("versions"), self.VERSIONS, batch_id).collect()
+        return max(((r["version"], r["rows"]) for r in rows), default=None)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` has ``key`` (unique, in arrival order and larger than stored keys) and ``text``."""
-        refuse_restart(self.spark, self.tables["stored"], self.STORED, batch_id)
+        spark = batch.sparkSession
+        refuse_restart(spark, self._path("stored"), self.STORED, batch_id)
         bounds = sm.jaccard_bounds(self.threshold)
-        tokens = F.sort_array(word_set("text"))
-        fresh = batch.select("key", "text").withColumn("tokens", tokens)
-        # Equal word sets match each other exactly; only the first can be stored.
-        mark = F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", "\u0001"), 256)).otherwise(
-            F.concat(F.lit("id:"), F.col("key").cast("string"))
-        )
-        firsts = dd.first_per_key(fresh.withColumn("mark", mark), ["mark"], "key").drop("mark")
-        firsts = cut_lineage(firsts)
+        words = self.words(spark)
+        before = words.total(before=batch_id)
+        firsts = self._firsts(batch)
         records = firsts.select(F.col("key").alias("rid"), "tokens")
         items = sm.word_items(records, self.threshold)
-        if batch_id == 0:
-            # A rerun of batch 0 rewrites the same order before anything uses it.
-            sm.item_order(items).write.mode("overwrite").parquet(self.tables["order"])
-        order = self.spark.read.schema("item bigint, freq int").parquet(self.tables["order"])
-        lists = cut_lineage(sm.rare_first_lists(items, order))
-        known = read_batches(self.spark, self.tables["lists"], self.LISTS, before=batch_id)
-        words = read_batches(self.spark, self.tables["words"], self.WORDS, before=batch_id)
-        # The stored side only grows; it is spread and the batch repeated.
-        met = cut_lineage(sm.pairs_between(known.drop("batch_id"), lists, bounds, repeat="late"))
-        # Of the stored word sets, only those that met a new text are compared.
-        old = words.select("rid", "tokens").join(met.select(F.col("early").alias("rid")).distinct(), "rid", "left_semi")
-        repeats = sm.jaccard_verifier(records, self.threshold, earlier=old)(met).select(F.col("late").alias("rid"))
-        repeats = cut_lineage(repeats.distinct())
-        verify = sm.jaccard_verifier(records, self.threshold)
-        left = lists.join(repeats, "rid", "left_anti")
-        dropped = greedy.greedy_drops(cut_lineage(left), verify, bounds)
+        version = self._ordered(spark, batch_id, items, words, before)
+        known = self.lists(spark, version)
+        lists = cut_lineage(sm.rare_first_lists(items, self.order(spark, version)))
+        met = sm.pairs_with_stored(known.rows(before=2 * batch_id + 1), lists, bounds)
+        verify = sm.jaccard_verifier(records, self.threshold, earlier=words.rows(before=batch_id))
+        repeats = cut_lineage(verify(met).select(F.col("late").alias("rid")).distinct())
+        left = cut_lineage(lists.join(repeats, "rid", "left_anti"))
+        dropped = greedy.greedy_drops(left, sm.jaccard_verifier(records, self.threshold), bounds)
         kept = firsts.join(repeats.unionByName(dropped).withColumnRenamed("rid", "key"), "key", "left_anti")
         kept = cut_lineage(kept)
-        new_rows = append_with_ids(kept.select("key", "text"), self.stored(before=batch_id), "id", "key")
+        new_rows = append_with_ids(kept.select("key", "text"), spark.range(before, before + 1), "id", "key")
         keys = kept.select(F.col("key").alias("rid"))
-        write_batch(lists.join(keys, "rid", "left_semi").select("list_key", "rid", "size", "rule", "grams", "rest"), self.tables["lists"], batch_id)
-        write_batch(kept.select(F.col("key").alias("rid"), "tokens"), self.tables["words"], batch_id)
-        write_batch(new_rows.select("id", "key", "text"), self.tables["stored"], batch_id)
+        words.add(kept.select(F.col("key").alias("rid"), "tokens"), batch_id)
+        known.add(lists.join(keys, "rid", "left_semi"), 2 * batch_id + 1)
+        write_batch(new_rows.select("id", "key", "text"), self._path("stored"), batch_id)
+
+    @staticmethod
+    def _firsts(batch: DataFrame) -> DataFrame:
+        """The first row of each distinct word set: equal ones match each other, empty ones nothing."""
+        fresh = batch.select("key", "text").withColumn("tokens", F.sort_array(word_set("text")))
+        mark = F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", "\u0001"), 256)).otherwise(
+            F.concat(F.lit("id:"), F.col("key").cast("string"))
+        )
+        return cut_lineage(dd.first_per_key(fresh.withColumn("mark", mark), ["mark"], "key").drop("mark"))
+
+    def _ordered(self, spark: SparkSession, batch_id: int, items: DataFrame, words: RunTable, before: int) -> int:
+        """The version of the item order that a batch works under; a rerun takes the same."""
+        last = self.version(batch_id)
+        if last and before < 2 * max(last[1], 1):
+            return last[0]
+        stored = sm.word_items(words.rows(before=batch_id), self.threshold)
+        sm.item_order(items.unionByName(stored)).write.mode("overwrite").parquet(self._path(f"order/version={batch_id}"))
+        anew = self.lists(spark, batch_id)
+        # Lists have two numbers a batch: one for those made anew, one for the batch's own.
+        anew.add(sm.rare_first_lists(stored, self.order(spark, batch_id)), 2 * batch_id)
+        write_batch(spark.createDataFrame([(batch_id, before)], self.VERSIONS).coalesce(1), self._path("versions"), batch_id)
+        if last:
+            # Only a batch before this one could still ask for lists older than the last version's.
+            for old in {r["version"] for r in read_batches(spark, self._path("versions"), self.VERSIONS, batch_id).collect()} - {last[0]}:
+                delete_path(spark, self._path(f"lists/version={old}"))
+        return batch_id
