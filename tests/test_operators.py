@@ -1,3 +1,4 @@
+import bisect
 import datetime
 import random
 
@@ -269,7 +270,7 @@ def _growth(points):
 def test_counter_rate_against_plain_python(spark, extrapolate):
     rows = _series(3, 250, 11)
     df = spark.createDataFrame(rows, "name string, id int, ts timestamp, total double")
-    got = ts.counter_rate(df, ["name"], "ts", "id", "total", 60, extrapolate, block_seconds=100).collect()
+    got = ts.counter_rate(df, ["name"], "ts", "id", "total", 60, extrapolate, blocks=5).collect()
     want = {}
     for name, i, at, _ in rows:
         points = _in_range(rows, name, at, 60)
@@ -290,6 +291,37 @@ def test_counter_rate_against_plain_python(spark, extrapolate):
         assert r["rate"] == pytest.approx(want[r["id"]])
 
 
+@pytest.mark.parametrize("blocks, seconds", [(1, 60), (9, 60), (40, 7), (16, 4000)])
+def test_dense_series_splits_into_blocks(spark, blocks, seconds):
+    """One series of an hour, several samples a second, dealt evenly to as many blocks as asked for."""
+    from tidemark.operators.ranking import with_range_bucket
+
+    rng = random.Random(blocks)
+    start = datetime.datetime(2024, 1, 1)
+    rows, total = [], 0.0
+    for i in range(4000):
+        total = 0.0 if rng.random() < 0.02 else total + rng.randint(0, 9)
+        rows.append(("dense", i, start + datetime.timedelta(seconds=i // 3 + (600 if i > 3000 else 0)), total))
+    rows += [(None, 5000 + i, start + datetime.timedelta(seconds=i * 50), float(i % 4)) for i in range(20)]
+    df = spark.createDataFrame(rows, "name string, id int, ts timestamp, total double")
+    got = {r["id"]: (r["samples"], r["increase"]) for r in ts.counter_rate(df, ["name"], "ts", "id", "total", seconds, blocks=blocks).collect()}
+    want = {}
+    for name in ("dense", None):
+        own = [r for r in rows if r[0] == name]
+        grown = [0.0]
+        for a, b in zip(own, own[1:]):
+            grown.append(grown[-1] + (b[3] if b[3] < a[3] else b[3] - a[3]))
+        times = [r[2] for r in own]
+        for k, r in enumerate(own):
+            first = bisect.bisect_left(times, r[2] - datetime.timedelta(seconds=seconds))
+            last = bisect.bisect_right(times, r[2]) - 1
+            if last > first:
+                want[r[1]] = (last - first + 1, grown[last] - grown[first])
+    assert got == want
+    sizes = [r["count"] for r in with_range_bucket(df, ["name", "ts"], blocks).groupBy("_range").count().collect()]
+    assert len(sizes) >= 0.8 * blocks and max(sizes) < 2.5 * len(rows) / blocks + 6
+
+
 def test_carry_forward_across_blocks(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", None]), i, rng.choice([None, None, None, None, "x", "y"])) for i in range(400)]

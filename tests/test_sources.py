@@ -198,3 +198,64 @@ def test_sinks(spark, tmp_path):
     sinks.write_parquet(df, str(tmp_path / "pq"))
     sinks.write_parquet(df, str(tmp_path / "pq"), ["split"])
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
+
+
+def _split_small(spark, size):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    return old
+
+
+@pytest.mark.parametrize("size", [37, 64, 150, 1 << 20])
+def test_records_of_mixed_line_ends_split_by_bytes(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(size)
+    want, number = [], 0
+    for name, ends in (("a", ["\n"]), ("b", ["\r\n"]), ("c", ["\r\n", "\n"]), ("d", ["\r"])):
+        text = ""
+        for _ in range(40):
+            number += 1
+            fields = [f"product/productId: p{number}"] + [f"review/text: {'x' * rng.randrange(60)}é{i}" for i in range(rng.randrange(3))]
+            text += "".join(f + rng.choice(ends) for f in fields) + "".join(rng.choice(["", "  "]) + rng.choice(ends) for _ in range(rng.randrange(1, 4)))
+            want.append((f"p{number}", fields[-1].removeprefix("review/text: ") if len(fields) > 1 else None))
+        (tmp_path / f"{name}.txt").write_bytes(text.rstrip().encode() if name == "c" else text.encode())
+    old = _split_small(spark, size)
+    try:
+        df = records.read_records(spark, str(tmp_path))
+        got = sorted((r["product_productId"], r["review_text"]) for r in df.collect())
+        from tidemark.sources.lines import split_lines
+
+        tasks = split_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted(want)
+    assert size > 1000 or tasks > 20
+
+
+@pytest.mark.parametrize("size", [41, 90, 300, 1 << 20])
+def test_csv_with_quoted_newlines_split_by_bytes(spark, tmp_path, size):
+    import csv
+    import random
+
+    rng = random.Random(size)
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator=end, quoting=csv.QUOTE_NONNUMERIC)
+            out.writerow(["Id", "Score", "Text"])
+            for i in range(60):
+                words = [rng.choice(["a", "\n", '"', ",", "é", "\r\n", " x ", "\n\n"]) for _ in range(rng.randrange(1, 25))]
+                out.writerow([i, rng.randrange(5), "t" + "".join(words) + "t"])
+    plain = spark.read.schema(records.REVIEW_CSV).option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    # The whole-file reader takes the first line end it meets for all, also inside values.
+    rows = lambda df: sorted((a, b, (c or "").replace("\r\n", "\n")) for a, b, c in df.collect())
+    want = rows(plain)
+    old = _split_small(spark, size)
+    try:
+        got = rows(records.read_csv(spark, str(tmp_path), records.REVIEW_CSV, multi_line=True))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(want) == 120 and got == want

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import as_col
+from tidemark.operators.ranking import with_range_bucket
+from tidemark.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -78,46 +80,86 @@ def _with_halo(df: DataFrame, at: Column, width: int, halo: int) -> DataFrame:
     return marked.withColumn("_ahead", F.explode(places)).withColumn("_block", F.col("_block") + F.col("_ahead"))
 
 
+def _step(before: Column, now: Column) -> Column:
+    """Growth of a counter between two samples, a drop counting as a reset to zero; 0 without a first."""
+    return F.coalesce(F.when(now < before, now).otherwise(now - before), F.lit(0.0))
+
+
+def _block_totals(rows: DataFrame, value: str, reach: int) -> DataFrame:
+    """Per series and block: samples and growth before it, and the earlier blocks that its ranges may begin in.
+
+    The windows run over one row per series and block.  ``_earlier`` lists (last time,
+    block) of those blocks of which some sample lies within ``reach`` of the block before.
+    """
+    cells = rows.groupBy("_series", "_range").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max_by("_grown", "_n").alias("grown"),
+        F.max("_at").alias("last_at"),
+        F.min_by(value, "_n").alias("first"),
+        F.max_by(value, "_n").alias("last"),
+    )
+    line = W.partitionBy("_series").orderBy("_range")
+    before = line.rowsBetween(W.unboundedPreceding, -1)
+    near = W.partitionBy("_series").orderBy("last_at").rangeBetween(-reach, 0)
+    marked = cells.withColumn("border", _step(F.lag("last").over(line), F.col("first"))).withColumn(
+        "near", F.collect_list(F.struct("last_at", "_range")).over(near)
+    )
+    grown = F.coalesce(F.sum("grown").over(before), F.lit(0.0)) + F.sum("border").over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return marked.select(
+        "_series",
+        "_range",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base_n"),
+        grown.alias("_base_grown"),
+        F.lag("near").over(line).alias("_earlier"),
+    )
+
+
 def counter_samples(
-    df: DataFrame, series: Sequence[str], ts: str, order: str, value: str, seconds: float, block_seconds: float = 3600
+    df: DataFrame, series: Sequence[str], ts: str, order: str, value: str, seconds: float, blocks: int | None = None
 ) -> DataFrame:
     """Add, per sample, what happened in the trailing ``seconds`` up to it.
 
     ``increase``: growth between samples inside the range, a drop counting as a reset
-    to zero; ``samples``, ``first_at`` and ``first_value`` of the range.  Rows of a
-    series meet in blocks of at least the range's length.
+    to zero; ``samples``, ``first_at`` and ``first_value`` of the range.
+
+    A prefix scan of two levels: samples are dealt by series and time into ``blocks`` of about
+    equal row counts (``spark.sql.shuffle.partitions`` unless given), counted and summed up
+    inside a block and, one row per block, across blocks.  A range's sums are then the
+    difference of two samples.  Each sample sends a probe to the block in which its range
+    begins, so a block meets about as many probes as it has samples, however dense a series is
+    or how long the range.  Samples of one series and time lie in one block.
     """
     reach = int(seconds * MICROS)
-    width = max(int(block_seconds * MICROS), reach + 1)
-    blocks = _with_halo(df, _micros(ts), width, reach)
-    line = W.partitionBy(*series, "_block").orderBy("_at", order)
-    before = F.lag(value).over(line)
-    step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    # Running totals make the trailing sums a difference of two rows, so the only thing
-    # looked up per range is its first sample.  Each sample sends a probe to the start of
-    # its range; running backwards in time, the last sample before a probe is the first one
-    # of the range.  Every window here keeps one row of state, so time grows in proportion.
-    rows = blocks.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_n", F.row_number().over(line))
+    marked = df.withColumn("_at", _micros(ts)).withColumn("_series", F.struct(F.lit(0).alias("s"), *series))
+    dealt = with_range_bucket(marked, [*series, "_at"], blocks)
+    line = W.partitionBy("_series", "_range").orderBy("_at", order)
+    rows = dealt.withColumn("_step", _step(F.lag(value).over(line), F.col(value))).withColumn("_n", F.row_number().over(line))
     rows = rows.withColumn("_grown", F.sum("_step").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    by_time = W.partitionBy(*series, "_block").orderBy("_at")
     # Samples with the same time belong to each other's ranges.
-    last = F.max(F.struct("_n", "_grown")).over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow))
-    probe = lambda at, is_probe: F.struct(at.alias("t"), F.lit(is_probe).alias("probe"))
-    marks = F.explode(F.array(probe(F.col("_at"), 0), probe(F.col("_at") - reach, 1)))
-    back = W.partitionBy(*series, "_block").orderBy(F.col("_mark.t").desc(), "_mark.probe", F.col("_n").desc())
-    sample = F.when(F.col("_mark.probe") == 0, F.struct("_n", "_grown", "_at", F.col(value).alias("v")))
+    by_time = W.partitionBy("_series", "_range").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = cut_lineage(rows.withColumn("_last", F.max(F.struct("_n", "_grown")).over(by_time)).drop("_step"))
+    rows = rows.join(_block_totals(rows, value, reach), ["_series", "_range"])
+    whole = lambda at: F.struct((F.col("_base_n") + at["_n"]).alias("n"), (F.col("_base_grown") + at["_grown"]).alias("grown"))
+    own = F.struct((F.col("_base_n") + F.col("_n")).alias("n"), (F.col("_base_grown") + F.col("_grown")).alias("grown"), "_at", F.col(value).alias("v"))
+    start = F.col("_at") - reach
+    reached = F.filter(F.coalesce("_earlier", F.array()), lambda b: b["last_at"] >= start)
+    target = F.coalesce(F.get(reached, F.lit(0))["_range"], F.col("_range"))
+    probe = lambda block, at, is_probe: F.struct(block.alias("block"), at.alias("t"), F.lit(is_probe).alias("probe"))
+    marks = F.explode(F.array(probe(F.col("_range"), F.col("_at"), 0), probe(target, start, 1)))
+    met = rows.withColumns({"_last": whole(F.col("_last")), "_own": own}).withColumn("_mark", marks)
+    # Running backwards in time, the last sample before a probe is the first one of its range.
+    back = W.partitionBy("_series", "_mark.block").orderBy(F.col("_mark.t").desc(), "_mark.probe", F.col("_own.n").desc())
+    sample = F.when(F.col("_mark.probe") == 0, F.col("_own"))
     first = F.last(sample, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = (
-        rows.withColumn("_last", last)
-        .withColumn("_mark", marks)
-        .withColumn("_first", first)
+        met.withColumn("_first", first)
         .filter("_mark.probe = 1")
-        .withColumn("increase", F.col("_last._grown") - F.col("_first._grown"))
-        .withColumn("samples", (F.col("_last._n") - F.col("_first._n") + 1).cast("bigint"))
+        .withColumn("increase", F.col("_last.grown") - F.col("_first.grown"))
+        .withColumn("samples", (F.col("_last.n") - F.col("_first.n") + 1).cast("bigint"))
         .withColumn("first_at", F.col("_first._at"))
         .withColumn("first_value", F.col("_first.v"))
     )
-    return out.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_step", "_n", "_grown", "_first", "_last", "_mark")
+    return out.select(*df.columns, "_at", "increase", "samples", "first_at", "first_value")
 
 
 def counter_rate(
@@ -128,7 +170,7 @@ def counter_rate(
     value: str,
     seconds: float = 60,
     extrapolate: bool = False,
-    block_seconds: float = 3600,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Per-second increase over the trailing range at every sample with at least two in range.
 
@@ -136,7 +178,7 @@ def counter_rate(
     it towards the range's start: by half a mean sample distance when the first sample
     lies far from the start, else all the way, and never below a counter value of zero.
     """
-    rows = counter_samples(df, series, ts, order, value, seconds, block_seconds).filter(F.col("samples") > 1)
+    rows = counter_samples(df, series, ts, order, value, seconds, blocks).filter(F.col("samples") > 1)
     increase = F.col("increase")
     if extrapolate:
         covered = (F.col("_at") - F.col("first_at")) / float(MICROS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import require_rows
+from tidemark.sources.lines import blank_ends, even_quotes_end, multi_line_records, quote_states, split_lines
 
 # The columns of a review record.
 REVIEW_COLUMNS = [
@@ -29,18 +30,13 @@ _BLANK = "[ \\t\\x0b\\f\\r\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line-separated blocks of a text file, one row each (column ``block``).
+    """Blank-line-separated blocks of text files, one row each (column ``block``).
 
-    Splitting is left to the reader's record separator, so large files are read in
-    parallel and no record is cut at a split border.  Files with Windows line ends are
-    recognised by their first line.
+    Files are split by bytes whatever their line ends, which may differ between files or lines;
+    no record is cut at a split border.  A line of blanks separates records too.
     """
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    newline = "\r\n" if first and first[0]["value"].endswith("\r") else "\n"
-    raw = spark.read.option("lineSep", newline * 2).text(path)
-    # Lines of blanks separate records too.
-    pieces = F.split("value", f"\\r?\\n{_BLANK}\\n")
-    return raw.select(F.explode(pieces).alias("block")).filter(F.trim(F.regexp_replace("block", "\\s+", " ")) != "")
+    found = multi_line_records(split_lines(spark, path), blank_ends)
+    return found.select(F.col("text").alias("block"))
 
 
 def parse_records(blocks: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,15 +75,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header; doubled quotes are part of the value.
 
-    With ``multi_line`` quoted newlines are too; such files cannot be split among tasks.
+    With ``multi_line`` quoted newlines are too, and files are still split by bytes: the quotes of
+    all splits before tell whether a split begins inside a value.  Records then end with LF or
+    CRLF, and a quote stands in quoted values only.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
+    if not multi_line:
+        return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    lines = split_lines(spark, path, "\n")
+    # One row per split that begins inside a value: fewer than the splits that Spark's own plan of the
+    # scan holds on the driver.  A broadcast also leaves the lines in their order.
+    inside = quote_states(lines).where("inside = 1")
+    placed = lines.join(F.broadcast(inside), ["file", "split"], "left").na.fill(0, ["inside"])
+    found = multi_line_records(placed, even_quotes_end, F.col("inside"), known_start=True)
+    text = F.regexp_replace("text", "\r$", "")
+    rows = found.where(~F.col("first") & (text != "")).select(F.from_csv(text, schema, {"escape": '"'}).alias("r"))
+    return rows.select("r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
