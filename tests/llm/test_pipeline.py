@@ -43,7 +43,7 @@ def test_run_equals_stages(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, pipeline.run(spark, SF).collect()))
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_registered(spark, number):
     import __spark_entry__ as entry
 
