@@ -278,3 +278,30 @@ def test_chunks_find_shifted_passages_and_leave_others(docs_of):
             assert got[k]["n_removed"] > 0 and all(s < k for s in got[k]["sources"])
         if not exact[k][1]:
             assert got[k]["n_removed"] == 0
+
+
+LONG = "The main article text is long enough to surge over any threshold by itself. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article><p>{LONG}</p><p class="ad-hoc-note">A note made for this case.</p></article>', "A note made for this case."),
+        (f'<article><p>{LONG}</p><div class="share-price">The share rose to 12.</div></article>', "The share rose to 12."),
+        (f'<article><p>{LONG}</p><section id="search-engines"><p>How search engines rank.</p></section></article>', "How search engines rank."),
+        (f'<article><p>{LONG}</p><section id="social-policy"><p>Social policy.</p></section></article>', "Social policy."),
+        (f'<main><p>{LONG}</p><ul><li><a href="a">One</a></li><li><a href="b">Two</a></li></ul></main>', None),
+        (f'<main><p>{LONG}</p><div class="comments-area"><p>{LONG}</p></div><div class="share-buttons">Share it</div></main>', None),
+    ],
+)
+def test_names_of_parts_of_the_article_drop_nothing(page, want):
+    from tidemark.llm import htmltext
+
+    assert htmltext.main_text(page).split("\n\n") == [LONG.strip(), *([want] if want else [])]
+
+
+def test_teaser_beside_a_body_in_plain_containers():
+    from tidemark.llm import htmltext
+
+    page = f"<div><p>{LONG}</p><p>{LONG}</p></div><article><a href='x'>Teaser</a> short teaser text</article>"
+    assert htmltext.main_text(page) == "\n\n".join([LONG.strip()] * 2)

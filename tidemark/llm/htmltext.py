@@ -39,6 +39,14 @@ SIDE = frozenset(
 SIDE_OUTSIDE = frozenset("header footer masthead topbar".split())
 #: Words that builders put before their own names of any element: they count alone only.
 ALONE = frozenset(["widget"])
+#: Last words that name a box: "share-buttons" is one for sharing, "share-price" is none.
+BOXES = frozenset(
+    "ad ads aside area bar block body box button buttons card cards col column container content control controls embed feed "
+    "field fields foot footer form frame grid group head header heading holder icon icons inline inner input item items label "
+    "layer left link links list main message module modules more outer overlay panel pane policy-link post posts region right "
+    "row section set slot space stories story strip tab tabs text thread tile title toggle tool tools top trail unit view wrap "
+    "wrapper zone".split()
+)
 #: First words of names that say what a page has, not what an element is.
 STATES = frozenset("has have is no with without".split())
 
@@ -56,6 +64,8 @@ PART = re.compile(r"[a-z]+", re.I)
 
 #: Lines of a window.
 WINDOW = 3
+#: Weight of text inside article or main elements, and outside them on pages whose text lies mostly inside, in eighths.
+MAIN_WEIGHT, OUTSIDE_WEIGHT = 64, 1
 
 
 class Line:
@@ -116,7 +126,7 @@ def _parse(page: str, spared: frozenset[int] | None) -> tuple[list[Line], list[t
             if before:
                 named.append((before[0], chars - before[1], mains - before[2]))
             if not dropped and name in BLOCKS:
-                close(1 if name in CONTAINERS else 0)
+                close(WINDOW if was_main else 1 if name in CONTAINERS else 0)
             dropped -= was_dropped
             main -= was_main
             links -= name == "a"
@@ -160,7 +170,7 @@ def _parse(page: str, spared: frozenset[int] | None) -> tuple[list[Line], list[t
         by_name = not dropped and not out and (name == "form" or side == NAME)
         out = out or by_name and spared is not None and token.start() not in spared
         if not dropped and (name in BLOCKS or out):
-            close(WINDOW if out else 1 if name in CONTAINERS else 0)
+            close(WINDOW if out or name in MAIN else 1 if name in CONTAINERS else 0)
         stack.append((name, out, name in MAIN, (token.start(), chars, mains) if by_name else None))
         mains += name in MAIN and not dropped
         dropped += out
@@ -179,7 +189,7 @@ NAME = "name"
 def aside(attributes: str, inside: bool) -> bool | str:
     """True of hidden elements, ``NAME`` if class, id or role name something that isn't part of the article.
 
-    A name counts by its first and its last word.
+    A name counts by its last word, and by its first if the last one names a box.
     """
     if not attributes or attributes.isspace():
         return False
@@ -193,7 +203,7 @@ def aside(attributes: str, inside: bool) -> bool | str:
                 words = PART.findall(token)
                 if not words or words[0] in STATES:
                     continue
-                ends = {words[0], words[-1]} - (ALONE if len(words) > 1 else frozenset())
+                ends = {words[-1]} | ({words[0]} if words[-1] in BOXES else set()) - (ALONE if len(words) > 1 else frozenset())
                 if ends & SIDE or not inside and ends & SIDE_OUTSIDE:
                     found = NAME
     return found
@@ -202,30 +212,28 @@ def aside(attributes: str, inside: bool) -> bool | str:
 def main_blocks(lines: list[Line], surge: int = 80) -> list[str]:
     """Texts of the lines between surge and dive points.
 
-    If the page marks its article, only lines of it count.  Else links do not count, and a
-    window surges when its sum reaches ``surge`` characters, or half of the largest sum on
-    pages with less; the text around it is kept up to the windows that sum to nothing, but
-    for lines of links alone, which are menus.
+    A line weighs its unlinked characters, twice the links off.  If article or main elements hold
+    most of the page's weight, or little lies outside, text inside them weighs more and text outside less.  A window
+    surges when its sum reaches ``surge``, or half of the largest sum on pages with less; the
+    text around it is kept up to the windows that sum to nothing, but for lines of links
+    alone, which are menus.
     """
-    marked = any(x.main and x.text for x in lines)
-    if marked:
-        weight = np.array([len(x.text) if x.main else 0 for x in lines], np.int64)
-        least = 1
-    else:
-        weight = np.array([max(0, len(x.text) - 2 * x.links) if x.text else 0 for x in lines], np.int64)
-        least = None
+    own = np.array([max(0, len(x.text) - 2 * x.links) if x.text else 0 for x in lines], np.int64)
+    main = np.array([x.main for x in lines], bool)
+    inside, outside = int(own[main].sum()), int(own[~main].sum())
+    marked = 0 < inside and outside <= max(inside, 4 * surge)
+    weight = own * np.where(main, MAIN_WEIGHT, OUTSIDE_WEIGHT) if marked else own * 8
     if not len(weight) or not weight.any():
         return []
     total = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :] if len(weight) >= WINDOW else np.cumsum(weight[::-1])[::-1]
-    if least is None:
-        least = min(surge, max(1, int(total.max()) // 2))
+    least = min(8 * surge, max(1, int(total.max()) // 2))
     # A window that sums to nothing lies between two texts.
     flat = np.concatenate(([True], total == 0, [True]))
     starts, ends = np.flatnonzero(flat[:-1] & ~flat[1:]), np.flatnonzero(~flat[:-1] & flat[1:])
     out: list[str] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
         if total[a:b].max() >= least:
-            out += [x.text for x, w in zip(lines[a : b + WINDOW - 1], weight[a : b + WINDOW - 1].tolist()) if x.text and (w or not marked and x.links < len(x.text.replace(" ", "")))]
+            out += [x.text for x in lines[a : b + WINDOW - 1] if x.text and x.links < len(x.text.replace(" ", ""))]
     return out
 
 

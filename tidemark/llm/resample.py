@@ -155,13 +155,13 @@ class Cutoff:
 
     def drawn(self) -> Column:
         """True for rows up to the cutoff."""
-        return PLACE <= F.struct(*(F.lit(x).cast("long") for x in self.place))
+        return drawing_place() <= F.struct(*(F.lit(x).cast("long") for x in self.place))
 
 
-#: A row's place in drawing order; unique by its row number.
-PLACE = F.struct(
-    -F.col("score"), F.col("key").isNull().cast("long"), F.coalesce(F.col("key"), F.lit(0).cast("long")), F.col("row")
-)
+def drawing_place() -> Column:
+    """A row's place in drawing order; unique by its row number."""
+    named = {"a": -F.col("score"), "b": F.col("key").isNull().cast("long"), "c": F.coalesce("key", F.lit(0).cast("long")), "d": F.col("row")}
+    return F.struct(*(column.alias(name) for name, column in named.items()))
 
 
 def cutoff(scored: DataFrame, wanted: int) -> Cutoff | None:
@@ -184,7 +184,7 @@ def cutoff(scored: DataFrame, wanted: int) -> Cutoff | None:
             yield pa.RecordBatch.from_arrays(out, ["a", "b", "c", "d", "n"])
 
     names = ["a", "b", "c", "d"]
-    rest = cut_lineage(scored.select(PLACE.alias("p")).select(*(F.col("p").getField(f"col{i}" if i != 4 else "row").alias(x) for i, x in zip((1, 2, 3, 4), names))))
+    rest = cut_lineage(scored.select(drawing_place().alias("p")).select("p.*"))
     place = F.struct(*names)
     written = left = None
     while True:
@@ -232,7 +232,7 @@ def resample(
     if last is None:
         return scored.drop("row").withColumn("rank", F.lit(None).cast("long"))
     drawn = eligible & last.drawn()
-    winners = scored.where(drawn).withColumn("place", PLACE)
+    winners = scored.where(drawn).withColumn("place", drawing_place())
     ranked = bucketed_rank(with_range_bucket(winners, ["place"], out="part"), ["place"], F.col("part"))
     losers = scored.where(~drawn).withColumn("rank", F.lit(None).cast("long"))
     return ranked.drop("place", "part", "row").unionByName(losers.drop("row"))
