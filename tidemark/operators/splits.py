@@ -16,7 +16,7 @@ from tidemark.operators.ranking import bucketed_rank, hash_bucket, id_bucket, la
 SUBSET_CONFIGS = [(0.7, 0.2, 10), (0.6, 0.3, 100), (0.8, 0.1, 300)]
 # Version unions and seeds of the standard experiment matrix.
 RUN_VERSIONS = ["v1", "v2", "v3", "v1+v2", "v1+v2+v3"]
-RUN_SEEDS = [42, 43, 44]
+RUN_SEEDS = [42, 123, 456]
 
 
 def train_val_test(df: DataFrame, train: float, val: float, test: float, seed: int, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ travel between driver and tasks.  Weights are stored as a table
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -263,14 +263,18 @@ def grid_search(
     epochs: int,
     seed: int = 42,
     scale: float = 0.1,
+    start: Callable[[Sequence[int]], Model] | None = None,
 ) -> DataFrame:
     """Every rate x width, trained side by side on ``train``, ranked on ``val``.
 
+    ``start`` gives the first weights for layer sizes; else they are random, by ``seed`` and ``scale``.
+
     The best run is the first one whose accuracy no earlier run reaches; none is best
     if all are 0.
     """
     options = [(r, w) for r in rates for w in widths]
-    configs = [Config(r, random_model([inputs, w, max(w // 2, 2), classes], seed, scale)) for r, w in options]
+    start = start or (lambda sizes: random_model(sizes, seed, scale))
+    configs = [Config(r, start([inputs, w, max(w // 2, 2), classes])) for r, w in options]
     models, history = train_many(df.filter(F.col(split) == "train"), vector, label, configs, epochs)
     found = accuracies(df.filter(F.col(split) == "val"), vector, label, models)
     best = found.index(max(found)) if max(found) > 0 else None

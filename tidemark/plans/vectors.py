@@ -122,11 +122,89 @@ def mlp_forward(spark, sf_dir):
     return scored.select("vec_id", "pred", F.round(F.array_max("p"), 6).alias("top"))
 
 
-@register("mlp_train")
+def _sql_training(rows, configs, epochs):
+    """CTEs of ``epochs`` full-batch steps on ``rows`` (id, label, x) from formula weights.
+
+    ``configs`` lists (number, rate, layer sizes).  Leaves ``w{n}`` (c, layer, j, col, b), the
+    weights after n steps, and for each step the class probabilities ``p{n}`` (c, id, x) before it;
+    vectors are lists, so a weight's gradient is one dot product.
+    """
+    layers = ", ".join(
+        f"({c}, {rate}::DOUBLE, {n}, {a}, {b})" for c, rate, sizes in configs for n, (a, b) in enumerate(zip(sizes, sizes[1:]), 1)
+    )
+    parts = [
+        f"t AS MATERIALIZED ({rows})",
+        f"""w0 AS MATERIALIZED (SELECT c, rate, layer, j, list_transform(range(0, s.a), lambda i: ((i * 31 + j * 17 + layer * 7) % 23 - 11) / 20.0::DOUBLE) AS col,
+  ((j * 13 + layer) % 7 - 3) / 10.0::DOUBLE AS b FROM (VALUES {layers}) s(c, rate, layer, a, b), LATERAL (SELECT unnest(range(0, s.b)) AS j))""",
+    ]
+    numbers = ", ".join(f"({c})" for c, _, _ in configs)
+    parts.append(f"a0 AS MATERIALIZED (SELECT c, id, x FROM t CROSS JOIN (VALUES {numbers}) n(c))")
+    for s in range(epochs + 1):
+        w = f"w{s}"
+        parts.append(_sql_lists_forward(w, "a0", f"f{s}_"))
+        parts.append(f"p{s} AS MATERIALIZED ({_sql_softmax(f'f{s}_3')})")
+        if s == epochs:
+            break
+        parts += [
+            f"d{s}_3 AS MATERIALIZED (SELECT c, id, list_transform(p.x, lambda v, k: v - (k = label + 1)::INTEGER) AS x FROM p{s} p JOIN t USING (id))",
+            f"r{s} AS MATERIALIZED (SELECT c, layer, k - 1 AS i, list(v ORDER BY j) AS row FROM (SELECT c, layer, j, unnest(col) AS v, generate_subscripts(col, 1) AS k FROM {w}) GROUP BY ALL)",
+        ]
+        for n in (2, 1):
+            parts.append(
+                f"""d{s}_{n} AS MATERIALIZED (SELECT a.c, a.id, list(CASE WHEN a.x[r.i + 1] > 0 THEN list_dot_product(r.row, d.x) ELSE 0 END ORDER BY r.i) AS x
+  FROM f{s}_{n} a JOIN d{s}_{n + 1} d USING (c, id) JOIN r{s} r ON r.c = a.c AND r.layer = {n + 1} GROUP BY a.c, a.id)"""
+            )
+        for side, name, tables in (("i", "g", ("a0", f"f{s}_1", f"f{s}_2")), ("j", "h", (f"d{s}_1", f"d{s}_2", f"d{s}_3"))):
+            listed = " UNION ALL ".join(
+                f"SELECT c, {n} AS layer, id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS {side} FROM {source}" for n, source in enumerate(tables, 1)
+            )
+            parts.append(f"{name}{s} AS MATERIALIZED (SELECT c, layer, {side}, list(v ORDER BY id) AS v FROM ({listed}) GROUP BY ALL)")
+        parts.append(
+            f"""w{s + 1} AS MATERIALIZED (SELECT w.c, w.rate, w.layer, w.j, list(w.col[g.i + 1] - w.rate * list_dot_product(g.v, h.v) / len(h.v) ORDER BY g.i) AS col,
+  any_value(w.b - w.rate * list_sum(h.v) / len(h.v)) AS b FROM {w} w JOIN h{s} h USING (c, layer, j) JOIN g{s} g ON g.c = w.c AND g.layer = w.layer GROUP BY w.c, w.rate, w.layer, w.j)"""
+        )
+    return ",\n".join(parts)
+
+
+def _sql_lists_forward(w, source, out):
+    """``{out}1``, ``{out}2`` and the logits ``{out}3`` of the input lists of ``source`` (c, id, x)."""
+    steps = []
+    for n in (1, 2, 3):
+        z = "list_dot_product(a.x, w.col) + w.b"
+        z = f"greatest({z}, 0)" if n < 3 else z
+        before = source if n == 1 else f"{out}{n - 1}"
+        steps.append(f"{out}{n} AS MATERIALIZED (SELECT a.c, a.id, list({z} ORDER BY w.j) AS x FROM {before} a JOIN {w} w ON w.c = a.c AND w.layer = {n} GROUP BY a.c, a.id)")
+    return ",\n".join(steps)
+
+
+def _sql_softmax(source):
+    top = f"SELECT c, id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM {source}"
+    return f"SELECT c, id, list_transform(e, lambda v: v / list_sum(e)) AS x FROM ({top})"
+
+
+TRAIN_SIZES = [64, 32, 16, 10]
+TRAIN_EPOCHS = 10
+
+
+def _sql_losses(epochs):
+    return " UNION ALL ".join(
+        f"SELECT c, {s} AS step, avg(-ln(p.x[label + 1] + 1e-8)) AS loss FROM p{s} p JOIN t USING (id) GROUP BY c" for s in epochs
+    )
+
+
+VECTOR_ROWS = "SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings"
+
+
+@register(
+    "mlp_train",
+    f"""WITH {_sql_training(VECTOR_ROWS, [(0, 0.5, TRAIN_SIZES)], TRAIN_EPOCHS)}
+SELECT 'dense' AS run_id, 'loss' AS key, step::INTEGER AS step, round(loss, 6) AS value FROM ({_sql_losses(range(TRAIN_EPOCHS + 1))})""",
+)
 def mlp_train(spark, sf_dir):
     """Loss per epoch of full-batch training on all vectors."""
     data = vectors(spark, sf_dir)
-    _, history = tr.train(data, "v", "label", tr.random_model([64, 32, 16, 10], 42, 0.2), 0.5, 10)
+    start = tr.to_model(formula_weights(spark, TRAIN_SIZES))
+    _, history = tr.train(data, "v", "label", start, 0.5, TRAIN_EPOCHS)
     return spark.createDataFrame([("dense", "loss", e, round(v, 6)) for e, v in history], rn.METRICS)
 
 
@@ -201,11 +279,33 @@ def run_log(spark, sf_dir):
     )
 
 
-@register("grid_search")
+GRID_RATES, GRID_WIDTHS, GRID_EPOCHS = [0.1, 0.5, 1.0], [16, 32, 64], 8
+
+
+def _sql_grid():
+    configs = [(k, r, [64, w, w // 2, 10]) for k, (r, w) in enumerate((r, w) for r in GRID_RATES for w in GRID_WIDTHS)]
+    named = ", ".join(f"({k}, {r}::DOUBLE, {sizes[1]})" for k, r, sizes in configs)
+    numbers = ", ".join(f"({k})" for k, _, _ in configs)
+    return f"""WITH ranked AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY md5('42:' || vec_id::VARCHAR)) AS r, floor((count(*) OVER ()) * 0.7::DOUBLE) AS f, count(*) OVER () AS n FROM embeddings),
+parted AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x, CASE WHEN r <= f THEN 'train' WHEN r <= f + floor((n - f) * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM ranked),
+{_sql_training("SELECT id, label, x FROM parted WHERE split = 'train'", configs, GRID_EPOCHS)},
+v0 AS MATERIALIZED (SELECT c, id, x FROM parted CROSS JOIN (VALUES {numbers}) n(c) WHERE split = 'val'),
+{_sql_lists_forward(f"w{GRID_EPOCHS}", "v0", "v")},
+hits AS (SELECT c, avg((list_position(v3.x, list_max(v3.x)) - 1 = label)::INTEGER) AS acc FROM v3 JOIN parted USING (id) GROUP BY c),
+losses AS ({_sql_losses([GRID_EPOCHS])}),
+runs AS (SELECT k.c, k.rate, k.width, loss, coalesce(acc, 0) AS acc FROM (VALUES {named}) k(c, rate, width) JOIN losses USING (c) LEFT JOIN hits USING (c))
+SELECT c::INTEGER AS run_no, rate, width::INTEGER AS width, round(loss, 6) AS train_loss, round(acc, 6) AS val_accuracy,
+  acc > 0 AND c = (SELECT arg_max(c, (acc, -c)) FROM runs) AS best FROM runs"""
+
+
+@register("grid_search", _sql_grid())
 def grid_search(spark, sf_dir):
     """3 x 3 learning rates and widths, all runs trained side by side."""
     split = sp.train_val_test(vectors(spark, sf_dir), 0.7, 0.15, 0.15, 42, "vec_id")
-    return tr.grid_search(split, "v", "label", "split", [0.1, 0.5, 1.0], [16, 32, 64], 64, 10, 8, scale=0.2)
+    found = tr.grid_search(
+        split, "v", "label", "split", GRID_RATES, GRID_WIDTHS, 64, 10, GRID_EPOCHS, start=lambda sizes: tr.to_model(formula_weights(spark, sizes))
+    )
+    return found.withColumns({c: F.round(c, 6) for c in ("train_loss", "val_accuracy")})
 
 
 KEYS = ["click", "view", "signup", "error", "purchase"]
