@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_runs, run_bounds
+from tidemark.llm.common import key_runs, numbered, run_bounds
 from tidemark.llm.components import connected_components
 from tidemark.session import cut_lineage
 
@@ -123,15 +123,19 @@ def near_vectors(
     are not usable (see :func:`described`), or differ in length, link with nothing.
     ``n_links`` counts the other rows linked with a row, ``component`` is the smallest key
     it reaches.  Rows with equal vectors and labels are compared once, as a class, and
-    link with each other.  Keys tell rows apart; a row with a null key is its own class
-    member but no component's name.
+    link with each other.  Rows are told apart by a number, not by their keys: every row comes back
+    once, also if it shares its key or has none; a null key is no component's name.
 
     Pairs that share fewer than two of their ``near`` nearest pivots are not found; that
     is the only approximation.  ``pivots`` and ``near`` set recall against the length of
     the lists; larger corpora take more pivots.
     """
-    index = sample_pivots(vectors, vector, pivots)
-    rows = cut_lineage(described(vectors, key, vector, label, index, near))
+    named = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.col(label).alias("label"))
+    base, number = numbered(named)
+    index = sample_pivots(base, "v", pivots)
+    found = described(base, number, "v", "label", index, near).withColumnRenamed("key", "row")
+    ids = base.select(F.col(number).alias("row"), "key")
+    rows = cut_lineage(found.join(ids, "row"))
     classes = rows.groupBy("label", "v").agg(
         F.min("key").alias("rep"), F.count("*").alias("members"), F.first("nearest").alias("nearest")
     )
@@ -168,8 +172,7 @@ def near_vectors(
         "label", "v", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
     linked = rows.select("key", "label", "v").join(known, ["label", "v"]).select("key", "n_links", "component")
-    rest = vectors.select(F.col(key).cast("long").alias("key"))
-    lone = rest.join(linked.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+    lone = ids.join(rows.select("row"), "row", "left_anti").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
     return linked.unionByName(lone)
 
 
