@@ -36,17 +36,17 @@ def word_count(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """Sources in code-point order, null last; sizes, targets and planned block slots of each."""
+    """Sources in code-point order, null last; sizes, targets, block lengths and planned block slots of each."""
 
     sources: tuple[str | None, ...]
     sizes: tuple[int, ...]
     targets: tuple[float, ...]
     slots: tuple[int, ...]
-    block: int
+    lengths: tuple[int, ...]
 
     @property
     def blocks(self) -> list[int]:
-        return [-(-size // self.block) for size in self.sizes]
+        return [-(-size // length) for size, length in zip(self.sizes, self.lengths)]
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -57,8 +57,9 @@ def water_fill(sizes: list[int], weights: list[float], share: float, most: float
     """
     total = share * sum(sizes)
     targets, open_ = [0.0] * len(sizes), list(range(len(sizes)))
+    stopped = 0.0
     while open_:
-        left = total - sum(targets[i] for i in range(len(sizes)) if i not in set(open_))
+        left = total - stopped
         unit = left / sum(weights[i] for i in open_)
         above = [i for i in open_ if unit * weights[i] > most * sizes[i]]
         for i in above:
@@ -67,22 +68,28 @@ def water_fill(sizes: list[int], weights: list[float], share: float, most: float
             for i in open_:
                 targets[i] = unit * weights[i]
             break
-        open_ = [i for i in open_ if i not in set(above)]
+        stopped += sum(targets[i] for i in above)
+        gone = set(above)
+        open_ = [i for i in open_ if i not in gone]
     return targets
 
 
 def make_plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int, block: int) -> Plan:
     """The plan for (key, source, size) rows; one row per source reaches the driver.
 
-    ``weights`` repeat over the sources in code-point order, null last.
+    ``weights`` repeat over the sources in code-point order, null last.  A source has blocks
+    of ``block`` words, or shorter ones if it has fewer than that many blocks: then half a
+    block is under a hundredth of it, and its target can be met.
     """
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"] or 0) for r in rows]
     own = [float(weights[i % len(weights)]) for i in range(len(rows))]
     targets = water_fill(sizes, own, share, most)
-    slots = [min(most * -(-s // block), round(t / s * -(-s // block))) if s else 0 for s, t in zip(sizes, targets)]
-    return Plan(tuple(r["source"] for r in rows), tuple(sizes), tuple(targets), tuple(slots), block)
+    lengths = [min(block, max(1, -(-s // block))) for s in sizes]
+    counts = [-(-s // n) for s, n in zip(sizes, lengths)]
+    slots = [min(most * b, round(t / s * b)) if s else 0 for s, t, b in zip(sizes, targets, counts)]
+    return Plan(tuple(r["source"] for r in rows), tuple(sizes), tuple(targets), tuple(slots), tuple(lengths))
 
 
 def draw_shards(plan: Plan, shard_slots: int, seed: int) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -163,7 +170,8 @@ def mix(
 
     Null texts have no words and null sources are one source.  Documents are packed in
     the order of a hash of their key (equal keys next to each other), so reruns agree.
-    ``block`` bounds how far a source may miss its target: half a block.  A block is
+    ``block`` bounds how far a source may miss its target: half a block, or, of a source of
+    fewer blocks than words in one, a hundredth of it.  A block is
     taken at most ``most`` times, and so is each word.  ``row`` names a column that numbers
     the rows, if there is one.
     """
@@ -180,15 +188,15 @@ def mix(
     plan = make_plan(sized, weights, share, most, block)
     spark = docs.sparkSession
     numbers = spark.createDataFrame(
-        [(s, i) for i, s in enumerate(plan.sources)], "source string, source_no int"
+        [(s, i, n) for i, (s, n) in enumerate(zip(plan.sources, plan.lengths))], "source string, source_no int, length int"
     )
     sized = sized.join(F.broadcast(numbers), sized["source"].eqNullSafe(numbers["source"])).select(
-        "row", "key", sized["source"], "size", "tie", "source_no"
+        "row", "key", sized["source"], "size", "tie", "source_no", "length"
     )
-    return Mix(plan, _slots(spark, plan, shard_slots, seed), _pieces(sized, block), sized)
+    return Mix(plan, _slots(spark, plan, shard_slots, seed), _pieces(sized), sized)
 
 
-def _pieces(sized: DataFrame, block: int) -> DataFrame:
+def _pieces(sized: DataFrame) -> DataFrame:
     """Each document's words in the blocks of its source.
 
     Parts of a source are numbered side by side; the parts' totals, at most ``PARTS`` a
@@ -201,10 +209,10 @@ def _pieces(sized: DataFrame, block: int) -> DataFrame:
     within = Window.partitionBy("source_no", "part").orderBy("key", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = parted.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(begins, ["source_no", "part"])
     placed = placed.withColumn("at", F.col("begin") + F.col("ahead"))
-    number = F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block")
-    cut = placed.select("source_no", "row", "at", "size", number)
-    first = F.greatest(F.lit(0), F.col("block") * block - F.col("at"))
-    last = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at"))
+    number = F.explode(F.sequence(F.expr("at div length"), F.expr("(at + size - 1) div length"))).alias("block")
+    cut = placed.select("source_no", "row", "at", "size", "length", number)
+    first = F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("at"))
+    last = F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("at"))
     return cut.select("source_no", "block", "row", first.alias("first"), (last - first).alias("words"))
 
 
