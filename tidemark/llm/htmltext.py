@@ -64,8 +64,8 @@ PART = re.compile(r"[a-z]+", re.I)
 
 #: Lines of a window.
 WINDOW = 3
-#: Weight of text inside article or main elements, and outside them on pages whose text lies mostly inside, in eighths.
-MAIN_WEIGHT, OUTSIDE_WEIGHT = 64, 1
+#: Weights in eighths: of text inside article or main elements, which surges however short, and of text outside on such pages.
+MAIN_WEIGHT, OUTSIDE_WEIGHT = 640, 1
 
 
 class Line:
@@ -203,7 +203,7 @@ def aside(attributes: str, inside: bool) -> bool | str:
                 words = PART.findall(token)
                 if not words or words[0] in STATES:
                     continue
-                ends = {words[-1]} | ({words[0]} if words[-1] in BOXES else set()) - (ALONE if len(words) > 1 else frozenset())
+                ends = {words[-1], words[0] if words[-1] in BOXES else words[-1]} - (ALONE if len(words) > 1 else frozenset())
                 if ends & SIDE or not inside and ends & SIDE_OUTSIDE:
                     found = NAME
     return found
