@@ -284,3 +284,32 @@ def test_registered_personal_data(spark):
         assert [r[f"n_{n}"] for n in names] == [sum(s[0] == k for s in base) for k in range(4)]
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+
+
+def test_vectors_come_back_once_each(spark):
+    """Rows without a key, rows that share one, and unusable vectors among them."""
+    from tidemark.llm import vectordup
+    from tidemark.llm.common import prepare
+
+    prepare(spark)
+    near = [1.0, 0.0, 0.1]
+    rows = [(1, near, 0), (1, [0.0, 0.0, 0.0], 0), (None, near, 0), (None, None, 0), (2, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 1), (5, near, 0), (5, near, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["key"], r["n_links"], r["component"]) for r in vectordup.near_vectors(df, "vec_id", "embedding", "label").collect()), key=repr)
+    # The four equal vectors of label 0 link with each other; everything else stands alone.
+    want = [(1, 3, 1), (1, 0, 1), (None, 3, 1), (None, 0, None), (2, 0, 2), (2, 0, 2), (5, 3, 1), (5, 3, 1)]
+    assert got == sorted(want, key=repr)
+
+
+def test_tiny_sources_meet_their_targets(spark, docs_of):
+    from tidemark.llm import mixing
+
+    rows = [(i, "w " * (3 + i % 5), f"s{i % 40}") for i in range(240)] + [(1000, "w " * 20_000, "big"), (1001, None, "none")]
+    mixed = mixing.mix(docs_of(rows), "doc_id", "text", "source")
+    plan = mixed.plan
+    taken = defaultdict(int)
+    for r in mixing.taken_words(mixed).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for source, size, target in zip(plan.sources, plan.sizes, plan.targets):
+        assert abs(taken[source] - target) <= max(1, 0.02 * size)
