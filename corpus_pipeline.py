@@ -17,7 +17,7 @@ from tidemark.session import cut_lineage
 #: A text is in none of the learned languages if its phrases are this short on average.
 FEWEST_PHRASE_BYTES = 2.0
 #: Words that a tokenizing worker keeps here, where earlier stages have left it less room.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
