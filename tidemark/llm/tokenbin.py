@@ -50,6 +50,21 @@ WORK_BYTES = 2 << 20
 TOKENS = "shard bigint, before bigint, n bigint, keys binary, sizes binary, ids binary"
 
 
+class KeptWords(dict):
+    """Packed ids by word, made when first asked for; started anew when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.make(word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out
+        return out
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins white-space separated words.
 
@@ -69,19 +84,27 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
-        self.kept: dict[str, bytes] = {}
-        self.kept_words = kept_words
+        # The library hands out another wrapper of its model at each access.
+        self.model = self.library.model
+        self.kept = KeptWords(self._word, kept_words)
         self.byte_names = _byte_names()
         self.direct = all(self._direct(w) == self.pack(self.library.encode(w, add_special_tokens=False).ids) for w in self.PROBES)
 
-    def _direct(self, word: str) -> bytes | None:
+    def _word(self, word: str) -> bytes:
+        packed = self._direct(word, self.kept.__getitem__) if self.direct else None
+        return self.whole(word) if packed is None else packed
+
+    def _direct(self, word: str, known: Callable[[str], bytes] | None = None) -> bytes | None:
+        """Ids by the model; those of a stem with full stops or commas behind it from ``known``, if given."""
         stem = word.rstrip(".,")
         if not stem.isalpha() or max(stem) > "\u024f":
             return None
-        rest, model = word[len(stem) :], self.library.model
-        raw = stem if stem.isascii() else "".join(map(self.byte_names.__getitem__, stem.encode()))
-        ids = [t.id for t in model.tokenize(raw)]
-        return self.pack(ids + [t.id for t in model.tokenize(rest)] if rest else ids)
+        if len(stem) < len(word):
+            return (known(stem) if known else self._direct(stem)) + self._model(word[len(stem) :])
+        return self._model(stem if stem.isascii() else "".join(map(self.byte_names.__getitem__, stem.encode())))
+
+    def _model(self, raw: str) -> bytes:
+        return self.pack([t.id for t in self.model.tokenize(raw)])
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -90,22 +113,8 @@ class WordTokenizer:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [text.lower().split() if plain(text) else None for text in texts]
-        new = list({w for words in split if words for w in words}.difference(self.kept))
-        known = self.kept
-        if new:
-            found = {word: self._direct(word) if self.direct else None for word in new}
-            other = [word for word, packed in found.items() if packed is None]
-            ids = self.library.encode_batch_fast(other, add_special_tokens=False)
-            found.update((word, self.pack(e.ids)) for word, e in zip(other, ids))
-            room = self.kept_words - len(known)
-            if len(found) <= room:
-                known.update(found)
-            else:
-                known.update((w, found[w]) for w in new[: max(0, room)])
-                known = {**{w: known[w] for words in split if words for w in words if w in known}, **found}
-        ids_of = known.__getitem__
-        return [self.whole(text) if words is None else b"".join(map(ids_of, words)) for text, words in zip(texts, split)]
+        ids_of = self.kept.__getitem__
+        return [b"".join(map(ids_of, text.lower().split())) if plain(text) else self.whole(text) for text in texts]
 
 
 def _byte_names() -> list[str]:
