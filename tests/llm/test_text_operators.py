@@ -1,5 +1,6 @@
 """Language, SimHash, decontamination, chunks and suffixes against plain Python."""
 
+import hashlib
 import itertools
 import random
 
@@ -235,22 +236,50 @@ def test_suffix_passes_and_levels(monkeypatch):
     for at in range(0, len(rows), 5):
         part = rows[at : at + 5]
         raw = [np.frombuffer(t.encode(), np.uint8) for _, t in part]
-        held = [(np.array([k for k, _ in part]), np.concatenate(raw), np.array([len(x) for x in raw]))]
+        held = [(np.array([k for k, _ in part]), np.zeros(len(part), np.int64), np.concatenate(raw), np.array([len(x) for x in raw]))]
         batch = suffixdedup.packed(held, 50, 1)
         for windows, known, size, blob in zip(*(batch.column(c).to_pylist() for c in ("windows", "known", "size", "blob"))):
             if known:
                 import zstandard
 
-                k, s, c, _ = suffixdedup.unpacked(blob, size, zstandard.ZstdDecompressor().decompress)
+                k, _, s, c, _ = suffixdedup.unpacked(blob, size, zstandard.ZstdDecompressor().decompress)
                 put(k, s, s + c + 49)
             else:
                 blobs.append((blob, size, windows))
-    for k, s in suffixdedup.bucket_repeats(blobs, 50):
+    for k, _, s in suffixdedup.bucket_repeats(blobs, 50):
         put(k, s, s + 50)
     want = brute.removed_rows(rows)
     assert {k: len(spans.get(k, ())) for k, _ in rows} == {k: v[1] for k, v in want.items()}
 
 
+def test_rows_that_share_an_id_lose_their_own_repeats_alone(docs_of):
+    """A third of the rows has one id; rows with an id are not smaller than each other."""
+    rng = random.Random(37)
+    texts = [t or "" for _, t in copies(rng, 60, 80)]
+    rows = [(5 if i % 3 == 2 else i // 2, t) for i, t in enumerate(texts)]
+    least = {}
+    for key, text in rows:
+        data = text.encode()
+        for i in range(len(data) - 49):
+            least[data[i : i + 50]] = min(key, least.get(data[i : i + 50], key))
+    want = []
+    for key, text in rows:
+        data = text.encode()
+        gone = {j for i in range(len(data) - 49) if least[data[i : i + 50]] < key for j in range(i, i + 50)}
+        want.append((key, len(data), len(gone), hashlib.sha256(bytes(b for j, b in enumerate(data) if j not in gone)).hexdigest()))
+    docs = docs_of(rows)
+    got = suffixdedup.remove_repeats(docs, "doc_id", "text").collect()
+    assert sorted((r["key"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert any(n for k, _, n, _ in want if k == 5) and any(not n for k, _, n, _ in want if k == 5)
+    chunked = chunkdedup.remove_spans(docs, chunkdedup.duplicate_spans(docs, "doc_id", "text"), "doc_id", "text").collect()
+    most = {}
+    for (key, size, gone, _), (_, text) in zip(want, rows):
+        most[key, text] = gone
+    assert len(chunked) == len(rows) and sum(r["n_removed"] for r in chunked) > 0
+    for r in chunked:
+        assert any(k == r["key"] and len(t.encode()) == r["n_bytes"] and r["n_removed"] <= m for (k, t), m in most.items())
+
+
 def test_cut_points_equal_positionwise_rule():
     rng = random.Random(19)
     texts = [prose(rng, EN, n) for n in (0, 1, 12, 40, 90)] + ["aaaa" * 60]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_filter, passing, slices_of, text_buffers
+from tidemark.llm.common import hash_filter, passing, row_marks, shared_keys, slices_of, text_buffers
 from tidemark.session import cut_lineage
 
 #: A cut is the largest hash among this many positions on either side: chunks are longer than it.
@@ -79,20 +79,27 @@ def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
+def marked_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, kh, th): the rows with a key, and the hashes that :func:`row_marks` takes."""
+    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return chosen.select("key", "text", F.xxhash64("key").alias("kh"), F.xxhash64("text").alias("th"))
+
+
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, size, h1, h2, known): the chunks of all texts.
+    """(key, mark, start, size, h1, h2, known): the chunks of all texts; key and mark name a row.
 
     ``known`` marks chunks that an earlier document read by the same task has too: they
     need no look-up, so a digest leaves a task at most once per TASK_CHUNKS chunks however
     often it occurs.
     """
-    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    bits = docs.sparkSession.sparkContext.broadcast(shared_keys(docs, key))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
+            marks = row_marks(bits.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())
             raw, bounds = text_buffers(batch.column(1))
             for a, b in slices_of(bounds, WORK_BYTES):
                 part, offsets = raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
@@ -106,7 +113,7 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 pair = np.frombuffer(sums, "<i8").reshape(-1, 2)
                 # The last text that begins at or before a chunk; empty texts have none.
                 row = np.searchsorted(offsets[1:], starts, side="right")
-                held.append((keys[a + row], starts - offsets[row], ends - starts, pair[:, 0], pair[:, 1]))
+                held.append((keys[a + row], marks[a + row], starts - offsets[row], ends - starts, pair[:, 0], pair[:, 1]))
                 count += len(starts)
                 if count >= TASK_CHUNKS:
                     yield _marked(held)
@@ -114,11 +121,11 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield _marked(held)
 
-    return chosen.mapInArrow(run, "key bigint, start bigint, size int, h1 bigint, h2 bigint, known boolean")
+    return marked_rows(docs, key, text).mapInArrow(run, "key bigint, mark bigint, start bigint, size int, h1 bigint, h2 bigint, known boolean")
 
 
 def _marked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    key, start, size, h1, h2 = (np.concatenate(x) for x in zip(*held))
+    key, mark, start, size, h1, h2 = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((key, h2, h1))
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
@@ -127,31 +134,35 @@ def _marked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     known = np.zeros(len(order), bool)
     known[order] = key[order] > key[order[first]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(start), pa.array(size.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(known)],
-        ["key", "start", "size", "h1", "h2", "known"],
+        [pa.array(key), pa.array(mark), pa.array(start), pa.array(size.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(known)],
+        ["key", "mark", "start", "size", "h1", "h2", "known"],
     )
 
 
 def duplicate_spans(docs: DataFrame, key: str, text: str, min_bytes: int = 64) -> DataFrame:
-    """(key, spans, sources): runs of chunks that documents with smaller keys have too.
+    """(key, mark, spans, sources): runs of chunks that documents with smaller keys have too.
 
     A span is (first byte, byte behind the last) of a run of neighbouring duplicate chunks
     of at least ``min_bytes``; shorter runs stay.  ``sources`` are the smallest keys that
     have the chunks of a document's spans, as far as they were looked up.  Documents
-    without spans are not in the result.  Equal keys are one document.
+    without spans are not in the result.  Rows that share a key are not smaller than each
+    other, and each has the spans of its own text; ``mark`` tells them apart.  Null keys
+    neither have nor cause duplicates.  A chunk without an own cut ends after ``LONGEST``
+    bytes: in texts that give no cut at all, a copy is found only where it lies a multiple
+    of that apart.
     """
     found = cut_lineage(chunks(docs, key, text))
     # A key's digest stands once in the window for each task batch, see chunks().
-    asked = found.where(~F.col("known")).select("key", "start", "size", "h1", "h2")
+    asked = found.where(~F.col("known")).select("key", "mark", "start", "size", "h1", "h2")
     owner = F.min("key").over(Window.partitionBy("h1", "h2")).alias("owner")
-    later = asked.select("key", "start", "size", owner).where("key > owner")
-    known = found.where("known").select("key", "start", "size", F.lit(None).cast("long").alias("owner"))
-    parts = later.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("start", "size", "owner")).alias("parts"))
+    later = asked.select("key", "mark", "start", "size", owner).where("key > owner")
+    known = found.where("known").select("key", "mark", "start", "size", F.lit(None).cast("long").alias("owner"))
+    parts = later.unionByName(known).groupBy("key", "mark").agg(F.collect_list(F.struct("start", "size", "owner")).alias("parts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, spans, sources = [], [], []
-            for row, own in enumerate(batch.column(1)):
+            for row, own in enumerate(batch.column(2)):
                 got = own.values
                 start, size = (got.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 a, b = merged(start, start + size, 0)
@@ -166,12 +177,12 @@ def duplicate_spans(docs: DataFrame, key: str, text: str, min_bytes: int = 64) -
                 owners = got.field(2).filter(pa.array(inside)).drop_null()
                 sources.append(np.unique(owners.to_numpy()))
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+            own = [batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(spans, kind), pa.array(sources, pa.list_(pa.int64()))],
-                ["key", "spans", "sources"],
+                [*own, pa.array(spans, kind), pa.array(sources, pa.list_(pa.int64()))], ["key", "mark", "spans", "sources"]
             )
 
-    return parts.mapInArrow(run, "key bigint, spans array<struct<first:bigint,end:bigint>>, sources array<bigint>")
+    return parts.mapInArrow(run, "key bigint, mark bigint, spans array<struct<first:bigint,end:bigint>>, sources array<bigint>")
 
 
 def merged(first: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,26 +197,30 @@ def merged(first: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np
 def remove_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, keep_text: bool = True) -> DataFrame:
     """(key, kept, n_bytes, n_removed, n_spans, kept_sha256, sources) of every row: the text without its spans.
 
-    ``spans`` has (key, spans), and ``sources`` or none, with sorted spans that do not overlap; ``kept`` is the rest
+    ``spans`` has (key, mark, spans), and ``sources`` or none, with sorted spans that do not overlap; ``kept`` is the rest
     of the bytes, which need not be valid UTF-8, or null without ``keep_text``.  A null
-    text is empty.
+    text is empty.  Every row comes back once, whatever its key, and rows that share a key
+    lose the spans of their own texts alone.
     """
     kind = "array<bigint>"
     sources = F.col("sources") if "sources" in spans.columns else F.lit(None).cast(kind)
-    spans = cut_lineage(spans.select("key", "spans", sources.alias("sources")))
+    spans = cut_lineage(spans.select("key", "mark", "spans", sources.alias("sources")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = rows.withColumns({"kh": F.xxhash64("key"), "th": F.xxhash64("text")})
     # Texts that surely have no spans are not shuffled.
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(spans.select(F.xxhash64("key").alias("h")), "h"))
+    share = docs.sparkSession.sparkContext.broadcast
+    bits, shared = share(hash_filter(spans.select(F.xxhash64("key").alias("h")), "h")), share(shared_keys(docs, key))
 
-    @F.pandas_udf("boolean")
-    def may_have(h: pd.Series) -> pd.Series:
-        out = np.zeros(len(h), bool)
-        out[passing(bits.value, h.to_numpy(np.int64).view(np.uint64))] = True
-        return pd.Series(out)
+    @F.pandas_udf("may boolean, mark bigint")
+    def found(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        h = keys.to_numpy(np.int64)
+        may = np.zeros(len(h), bool)
+        may[passing(bits.value, h.view(np.uint64))] = True
+        return pd.DataFrame({"may": may, "mark": row_marks(shared.value, h, texts.to_numpy(np.int64))})
 
-    flagged = rows.withColumn("may", may_have(F.xxhash64("key")))
+    flagged = rows.withColumn("found", found("kh", "th")).select("key", "text", "found.*")
     lone = flagged.where(~F.col("may")).select("key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(None).cast(kind).alias("sources"))
-    joined = flagged.where("may").drop("may").join(spans, "key", "left").unionByName(lone)
+    joined = flagged.where("may").drop("may").join(spans, ["key", "mark"], "left").select(*lone.columns).unionByName(lone)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,6 +40,24 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def shared_keys(docs: DataFrame, key: str) -> np.ndarray:
+    """A filter of the integer keys that more than one row has; see :func:`row_marks`."""
+    found = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).count()
+    return hash_filter(found.where("count > 1").select(F.xxhash64("key").alias("h")), "h")
+
+
+def row_marks(bits: np.ndarray, keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """What tells rows with a key apart: 0 where the key is one row's, else the hash of its text.
+
+    ``keys`` and ``texts`` are hashes.  A key that passes the filter by chance has a mark that it
+    does not need, and the same one everywhere.
+    """
+    out = np.zeros(len(keys), np.int64)
+    at = passing(bits, keys.view(np.uint64))
+    out[at] = texts[at]
+    return out
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """A value that the Python worker process keeps for its next tasks, made at its first use.
 

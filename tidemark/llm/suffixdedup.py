@@ -1,8 +1,8 @@
 """Removal of long repeats across documents by a logarithmic family of suffix arrays.
 
 A suffix counts by its first ``length`` bytes, so a suffix array here is the list of all
-such windows, ordered by their first four bytes and then by a hash of all of them: equal
-windows stand side by side, and two arrays are matched in one scan.
+such windows, ordered by their first four bytes and then by two independent hashes of all of
+them, 96 bits in sum: equal windows stand side by side, and two arrays are matched in one scan.
 
 Windows are dealt to buckets by their minimizer, the m-gram in them with the smallest
 hash.  Neighbouring windows mostly share it, so they travel as one stretch of text, a few
@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunkdedup import merged, remove_spans
-from tidemark.llm.common import key_runs, text_buffers
+from tidemark.llm.chunkdedup import marked_rows, merged, remove_spans
+from tidemark.llm.common import key_runs, row_marks, shared_keys, text_buffers
 
 #: Bytes of the minimizer.
 GRAM = 12
@@ -42,20 +42,24 @@ _random = np.random.default_rng(20_240_502)
 BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 ODD = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: The same for the second hash.
+BYTE_2 = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+ODD_2 = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def window_hash(raw: np.ndarray, length: int) -> np.ndarray:
+
+def window_hash(raw: np.ndarray, length: int, byte: np.ndarray = BYTE, odd: np.ndarray = ODD) -> np.ndarray:
     """Hash of the ``length`` bytes from each position on, by doubling; the last positions are not valid."""
-    h, width, out, done = BYTE[raw], 1, None, 0
+    h, width, out, done = byte[raw], 1, None, 0
     while True:
         if length & width:
             if out is None:
                 out = h.copy()
             else:
-                out[: len(h) - done] = out[: len(h) - done] * ODD[width.bit_length() + 32] + h[done:]
+                out[: len(h) - done] = out[: len(h) - done] * odd[width.bit_length() + 32] + h[done:]
             done += width
         if done == length:
             return out
-        following = h * ODD[width.bit_length()]
+        following = h * odd[width.bit_length()]
         following[:-width] += h[width:]
         h, width = following, width * 2
 
@@ -104,17 +108,18 @@ def dealt_stretches(docs: DataFrame, key: str, text: str, length: int, buckets:
     A stretch that a smaller document of the same block has as well is known to be a
     repeat; such rows only carry its place.
     """
-    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    bits = docs.sparkSession.sparkContext.broadcast(shared_keys(docs, key))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             keys = batch.column(0).to_numpy()
+            marks = row_marks(bits.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())
             a = 0
             while a < len(keys):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES - size, side="right")) - 1)
-                held.append((keys[a:b], raw[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])))
+                held.append((keys[a:b], marks[a:b], raw[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])))
                 size += int(offsets[b] - offsets[a])
                 a = b
                 if size >= BLOCK_BYTES:
@@ -123,14 +128,14 @@ def dealt_stretches(docs: DataFrame, key: str, text: str, length: int, buckets:
         if held:
             yield packed(held, length, buckets)
 
-    return chosen.mapInArrow(run, BLOB)
+    return marked_rows(docs, key, text).mapInArrow(run, BLOB)
 
 
 def packed(held: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
-    keys, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate([x[2] for x in held]))))
+    keys, marks, raw, sizes = (np.concatenate(x) for x in zip(*held))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
     row, first, count, value = stretches(raw, offsets, length)
-    data, key, start = raw.tobytes(), keys[row], first - offsets[row]
+    data, key, mark, start = raw.tobytes(), keys[row], marks[row], first - offsets[row]
     pieces = [data[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist())]
     digest = xxhash.xxh3_128_digest
     sums = np.frombuffer(b"".join(map(digest, pieces)), "<u8").reshape(-1, 2)
@@ -148,11 +153,11 @@ def packed(held: list[tuple], length: int, buckets: int) -> pa.RecordBatch:
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[fresh])) + 1, [len(fresh)])) if len(fresh) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = fresh[a:b]
-        body = b"".join((places(key[own], start[own], count[own]), *(pieces[i] for i in own.tolist())))
+        body = b"".join((places(key[own], mark[own], start[own], count[own]), *(pieces[i] for i in own.tolist())))
         rows.append((int(bucket[own[0]]), int(key[own].min()), int(count[own].sum()), False, len(own), zip_(body)))
     if known.any():
         own = np.flatnonzero(known)
-        body = places(key[own], start[own], count[own])
+        body = places(key[own], mark[own], start[own], count[own])
         rows.append((int(bucket[own[0]]), int(key[own].min()), 0, True, len(own), zip_(body)))
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     columns = list(zip(*rows)) if rows else [()] * 6
@@ -165,19 +170,19 @@ class Level:
     Equal windows in it are all of one document, the smallest that was added.
     """
 
-    __slots__ = ("order", "hash", "key", "start", "group")
+    __slots__ = ("order", "hash", "key", "mark", "start", "group")
 
-    def __init__(self, order: np.ndarray, hashed: np.ndarray, key: np.ndarray, start: np.ndarray):
-        self.order, self.hash, self.key, self.start = order, hashed, key, start
+    def __init__(self, order: np.ndarray, hashed: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray):
+        self.order, self.hash, self.key, self.mark, self.start = order, hashed, key, mark, start
         new = np.ones(len(order), bool)
         new[1:] = (order[1:] != order[:-1]) | (hashed[1:] != hashed[:-1])
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - np.int32(1)
 
     def __len__(self) -> int:
         return len(self.order)
 
     def only(self, keep: np.ndarray) -> Level:
-        return Level(self.order[keep], self.hash[keep], self.key[keep], self.start[keep])
+        return Level(self.order[keep], self.hash[keep], self.key[keep], self.mark[keep], self.start[keep])
 
     def find(self, order: np.ndarray, hashed: np.ndarray) -> np.ndarray:
         """Row of an equal window, or -1."""
@@ -197,16 +202,16 @@ class Level:
         return out
 
 
-def sorted_level(order: np.ndarray, hashed: np.ndarray, key: np.ndarray, start: np.ndarray, kind: str | None = None) -> Level:
+def sorted_level(order: np.ndarray, hashed: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray, kind: str | None = None) -> Level:
     at = np.argsort(order, kind=kind)
-    order, hashed, key, start = order[at], hashed[at], key[at], start[at]
+    order, hashed, key, mark, start = order[at], hashed[at], key[at], mark[at], start[at]
     mixed_up = np.flatnonzero((order[1:] == order[:-1]) & (hashed[1:] != hashed[:-1]))
     for value in np.unique(order[mixed_up]):
         a, b = np.searchsorted(order, value, "left"), np.searchsorted(order, value, "right")
         inner = np.argsort(hashed[a:b], kind="stable")
-        for column in (hashed, key, start):
+        for column in (hashed, key, mark, start):
             column[a:b] = column[a:b][inner]
-    return Level(order, hashed, key, start)
+    return Level(order, hashed, key, mark, start)
 
 
 class Family:
@@ -214,12 +219,12 @@ class Family:
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
-        self.repeats: list[tuple[np.ndarray, np.ndarray]] = []
+        self.repeats: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def drop(self, level: Level, repeat: np.ndarray) -> Level:
         if not repeat.any():
             return level
-        self.repeats.append((level.key[repeat], level.start[repeat]))
+        self.repeats.append((level.key[repeat], level.mark[repeat], level.start[repeat]))
         return level.only(~repeat)
 
     def add(self, batch: Level) -> None:
@@ -241,13 +246,13 @@ class Family:
             self.levels.append(batch)
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
-            columns = (np.concatenate((getattr(a, c), getattr(b, c))) for c in ("order", "hash", "key", "start"))
+            columns = (np.concatenate((getattr(a, c), getattr(b, c))) for c in ("order", "hash", "key", "mark", "start"))
             # A stable sort merges two ordered runs in one go.
             self.levels.append(sorted_level(*columns, kind="stable"))
 
 
-def windows_of(raw: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(order, hash, key, start) of all windows of stretches that lie side by side."""
+def windows_of(raw: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(order, hash, key, mark, start) of all windows of stretches that lie side by side."""
     size = count + length - 1
     begin = np.cumsum(size) - size
     h = window_hash(raw, length)
@@ -259,33 +264,48 @@ def windows_of(raw: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.nd
     head = raw[at].astype(np.uint64)
     for i in (1, 2, 3):
         head = head << np.uint64(8) | raw[at + i]
-    order = head << np.uint64(32) | mixed(h) >> np.uint64(32)
+    order = head << np.uint64(32) | mixed(window_hash(raw, length, BYTE_2, ODD_2)[at]) >> np.uint64(32)
     n = np.repeat(np.arange(len(key)), count)
-    return order, h, key[n], start[n] + (at - begin[n])
+    return order, h, key[n], mark[n], start[n] + (at - begin[n])
 
 
-def places(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
-    """The three columns byte plane by byte plane, keys by their differences: planes of zeros pack to nothing."""
-    columns = (np.diff(key, prepend=0), start, count)
+def places(key: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """The four columns byte plane by byte plane, keys by their differences: planes of zeros pack to nothing."""
+    columns = (np.diff(key, prepend=0), mark, start, count)
     return b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
 
 
-def unpacked(blob: bytes, size: int, zip_) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(blob: bytes, size: int, zip_) -> tuple[np.ndarray, ...]:
+    """(key, mark, start, count, raw) of packed stretches."""
     body = zip_(blob)
-    planes = np.frombuffer(body, np.uint8, 24 * size).reshape(3, 8, size)
-    key, start, count = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes)
-    return np.cumsum(key), start, count, np.frombuffer(body, np.uint8, offset=24 * size)
+    planes = np.frombuffer(body, np.uint8, 32 * size).reshape(4, 8, size)
+    key, mark, start, count = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes)
+    return np.cumsum(key), mark, start, count, np.frombuffer(body, np.uint8, offset=32 * size)
+
+
+class Marks:
+    """Numbers the different marks of a bucket: windows hold four bytes instead of eight."""
+
+    def __init__(self) -> None:
+        self.number: dict[int, int] = {}
+
+    def numbers(self, mark: np.ndarray) -> np.ndarray:
+        values, which = np.unique(mark, return_inverse=True)
+        return np.array([self.number.setdefault(v, len(self.number)) for v in values.tolist()], np.int32)[which]
+
+    def values(self, number: np.ndarray) -> np.ndarray:
+        return np.array(list(self.number), np.int64)[number]
 
 
-def bucket_repeats(blobs: list[tuple[bytes, int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, start) of the repeated windows of a bucket; blobs are (packed, stretches, windows)."""
+def bucket_repeats(blobs: list[tuple[bytes, int, int]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, mark, start) of the repeated windows of a bucket; blobs are (packed, stretches, windows)."""
     zip_ = zstandard.ZstdDecompressor().decompress
     passes = -(-sum(n for _, _, n in blobs) // PASS_WINDOWS)
     for part in range(passes):
-        family, held, waiting = Family(), [], 0
+        family, marks, held, waiting = Family(), Marks(), [], 0
         for i, (blob, size, _) in enumerate(blobs):
-            key, start, count, raw = unpacked(blob, size, zip_)
-            columns = windows_of(raw, key, start, count, length)
+            key, mark, start, count, raw = unpacked(blob, size, zip_)
+            columns = windows_of(raw, key, marks.numbers(mark), start, count, length)
             if passes > 1:
                 own = mixed(columns[1]) % np.uint64(passes) == part
                 columns = tuple(c[own] for c in columns)
@@ -295,11 +315,12 @@ def bucket_repeats(blobs: list[tuple[bytes, int, int]], length: int) -> Iterator
                 if waiting:
                     family.add(sorted_level(*(np.concatenate(c) for c in zip(*held))))
                 held, waiting = [], 0
-        yield from family.repeats
+        for key, mark, start in family.repeats:
+            yield key, marks.values(mark), start
 
 
 def repeat_spans(docs: DataFrame, key: str, text: str, length: int = 50) -> DataFrame:
-    """(key, spans): the bytes covered by ``length``-byte strings that also start in a document with a smaller key.
+    """(key, mark, spans): the bytes covered by ``length``-byte strings that also start in a document with a smaller key.
 
     Texts count as UTF-8 bytes, null ones as empty; no string reaches from one document
     into the next.  Spans are (first byte, byte behind the last), sorted, and neither
@@ -324,37 +345,37 @@ def repeat_spans(docs: DataFrame, key: str, text: str, length: int = 50) -> Data
                 fresh = []
                 for n, again, size, blob in zip(windows.to_pylist(), known.to_pylist(), sizes.to_pylist(), blobs):
                     if again:
-                        k, s, c, _ = unpacked(blob.as_py(), size, zip_)
-                        yield _spans(k, s, s + c + length - 1)
+                        k, m, s, c, _ = unpacked(blob.as_py(), size, zip_)
+                        yield _spans(k, m, s, s + c + length - 1)
                     else:
                         fresh.append((blob.as_py(), size, n))
                 found = list(bucket_repeats(fresh, length))
                 if found:
-                    k, s = (np.concatenate(x) for x in zip(*found))
-                    order = np.lexsort((s, k))
-                    k, s = k[order], s[order]
-                    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] > s[:-1] + length)))
+                    k, m, s = (np.concatenate(x) for x in zip(*found))
+                    order = np.lexsort((s, m, k))
+                    k, m, s = k[order], m[order], s[order]
+                    new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (s[1:] > s[:-1] + length)))
                     begin = np.flatnonzero(new)
-                    yield _spans(k[begin], s[begin], s[np.append(begin[1:], len(s)) - 1] + length)
+                    yield _spans(k[begin], m[begin], s[begin], s[np.append(begin[1:], len(s)) - 1] + length)
 
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "low")
-    parts = ordered.mapInArrow(run, "key bigint, first bigint, end bigint")
-    listed = parts.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
+    parts = ordered.mapInArrow(run, "key bigint, mark bigint, first bigint, end bigint")
+    listed = parts.groupBy("key", "mark").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             spans = []
-            for own in batch.column(1):
+            for own in batch.column(2):
                 first, end = (own.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 spans.append([{"first": int(a), "end": int(b)} for a, b in zip(*merged(first, end, 0))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["key", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["key", "mark", "spans"])
 
-    return listed.mapInArrow(join, "key bigint, spans array<struct<first:bigint,end:bigint>>")
+    return listed.mapInArrow(join, "key bigint, mark bigint, spans array<struct<first:bigint,end:bigint>>")
 
 
-def _spans(key: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first), pa.array(end)], ["key", "first", "end"])
+def _spans(key: np.ndarray, mark: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, mark, first, end)], ["key", "mark", "first", "end"])
 
 
 def remove_repeats(docs: DataFrame, key: str, text: str, length: int = 50, keep_text: bool = True) -> DataFrame:
