@@ -156,6 +156,21 @@ def test_archives_are_resolved_again(spark, tmp_path):
     assert got == {"p:20": ("response", None), **{f"p:{k}": ("revisit", "p:20") for k in (1, 2, 9)}}
 
 
+def test_revisits_when_every_digest_passes_the_filter(spark, monkeypatch):
+    """A filter that lets all pass costs shuffles, not payloads; rows without an id and empty tables come through."""
+    monkeypatch.setattr(warc, "in_filter", lambda rows, h: lambda values: values.isNotNull())
+    pages = spark.createDataFrame([*page_rows(), (None, None, "q" * 2000), (None, None, None)], "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "concat('urn:page:', page_id) as record_id")
+    records = warc.payload_records(pages, "record_id", "url", "html", "page_id")
+    got = warc.resolve_revisits(records).collect()
+    assert len(got) == len(page_rows()) + 2
+    kinds = {r["record_id"]: r["record_type"] for r in got if r["record_id"]}
+    assert kinds == {f"urn:page:{k}": "revisit" if k in (1, 2) else "response" for k, _, _ in page_rows() if k is not None}
+    assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
+    assert [r["payload_bytes"] for r in got if r["record_id"] is None and r["payload"] is not None].count(2000) == 2
+    assert warc.resolve_revisits(records.limit(0)).count() == 0
+
+
 def test_gzip_members_and_damage():
     import gzip
 

@@ -94,8 +94,15 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
-@register("op6_warc_revisits")
+@register(
+    "op6_warc_revisits",
+    """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d),
+ r AS (SELECT *, payload_bytes >= 1000 AND page_id <> original AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to FROM r""",
+)
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives with resolved revisits, read back."""
     pages = read_table(spark, sf_dir, "pages")
     ids = pages.withColumn("record_id", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
     records = warc.payload_records(ids, "record_id", "url", "html", "page_id")

@@ -10,14 +10,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hash_filter, passing
+from tidemark.session import cut_lineage
+
 #: What ends each record, and what Spark's text writer puts after each row.
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,31 +59,55 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 1000) -> DataFrame:
     refer to it and lose their payload.  A revisit whose original isn't here stays as it
     is.  Smaller payloads are all kept.  Null ranks are smaller than all others.
 
-    Headers alone are aggregated; the payload rows meet them in one join by digest, where
-    Spark may split a digest that very many records share.  Small records get a key of
-    their own, so that they do not meet in one task.
+    Headers alone are aggregated and joined by digest, where Spark may split a digest that
+    very many records share.  Of the payloads only those of the originals of repeated digests
+    are shuffled (and the few that pass a filter by chance); the others stay where they are read.
+    ``records`` is read three times and must give the same rows each time.
     """
-    whole = records.where(F.col("payload").isNotNull() & (F.col("payload_bytes") >= min_bytes))
-    originals = (
-        whole.groupBy("payload_digest", "payload_bytes")
-        .agg(F.max_by(F.struct("record_id"), F.struct("rank", "record_id")).alias("o"))
-        .select(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"), F.col("o.record_id").alias("original"))
+    payload = F.col("payload").isNotNull()
+    headers = records.withColumn("had", payload).drop("payload")
+    repeated = (
+        headers.where(F.col("payload_bytes") >= min_bytes)
+        .groupBy("payload_digest", "payload_bytes")
+        .agg(F.count(F.lit(1)).alias("n"), F.max_by("record_id", F.when(F.col("had"), F.struct("rank", "record_id"))).alias("original"))
+        .where("n > 1 AND original IS NOT NULL")
+        .drop("n")
     )
-    alone = F.concat(F.lit("-"), F.coalesce("record_id", F.lit("")), F.col("payload_digest"))
-    keyed = records.withColumn("digest", F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")).otherwise(alone))
-    keyed = keyed.withColumn("bytes", F.col("payload_bytes"))
-    joined = keyed.join(originals, ["digest", "bytes"], "left")
+    repeated = cut_lineage(repeated)
+    digest = F.xxhash64("payload_digest", "payload_bytes")
+    large = F.coalesce(F.col("payload_bytes") >= min_bytes, F.lit(False))
+    may_repeat = large & in_filter(repeated, digest)(digest)
+    # One value names a record and its payload, a missing id being a value too.
+    name = F.concat_ws(":", F.coalesce("payload_digest", F.lit("")), "payload_bytes", F.concat(F.lit("="), "record_id"))
+    judged = cut_lineage(headers.where(may_repeat).join(repeated, ["payload_digest", "payload_bytes"], "left").withColumn("name", name))
     revisit = F.col("original").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("original"))
-    kept = ~revisit & F.col("payload").isNotNull()
-    return joined.select(
-        "record_id",
-        "url",
-        F.when(kept, "response").otherwise("revisit").alias("record_type"),
-        F.when(kept, F.col("payload")).alias("payload"),
-        "payload_bytes",
-        "payload_digest",
-        F.when(kept, F.lit(None).cast("string")).when(revisit, F.col("original")).otherwise(F.col("refers_to")).alias("refers_to"),
+    keepers = judged.where(~revisit & F.col("had")).select("name").distinct()
+    no_payload, no_record = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    names = [f.split()[0] for f in RECORDS.split(", ")]
+
+    gone = judged.where(revisit | ~F.col("had"))
+    refers = F.when(revisit, F.col("original")).otherwise(F.col("refers_to"))
+    gone = gone.withColumns({"record_type": F.lit("revisit"), "payload": no_payload, "refers_to": refers})
+    found = records.withColumns({"may": may_repeat, "name": name})
+    kept = found.where(F.col("may") & payload & in_filter(keepers, F.xxhash64("name"))(F.xxhash64("name")))
+    kept = kept.join(keepers, "name", "left_semi").withColumns({"record_type": F.lit("response"), "refers_to": no_record})
+    alone = found.where(~F.col("may")).withColumns(
+        {"record_type": F.when(payload, "response").otherwise("revisit"), "refers_to": F.when(~payload, F.col("refers_to"))}
     )
+    return alone.select(*names).unionByName(kept.select(*names)).unionByName(gone.select(*names))
+
+
+def in_filter(rows: DataFrame, h: Column) -> Callable[[Column], Column]:
+    """A test whether a hash may be among those of the rows: never false for one that is."""
+    bits = rows.sparkSession.sparkContext.broadcast(hash_filter(rows.select(h.alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may_have(values: pd.Series) -> pd.Series:
+        out = np.zeros(len(values), bool)
+        out[passing(bits.value, values.to_numpy(np.int64).view(np.uint64))] = True
+        return pd.Series(out)
+
+    return may_have
 
 
 def write_archives(records: DataFrame, folder: str, date: str, per_file: int = 20_000) -> None:
@@ -89,7 +119,8 @@ def write_archives(records: DataFrame, folder: str, date: str, per_file: int = 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
-        head = _header([("WARC-Type", "warcinfo"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], len(info))
+        fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)]
+        head = _header([*fields, ("Content-Type", "application/warc-fields")], len(info))
         yield pa.RecordBatch.from_arrays([pa.array([head + info], pa.binary())], ["record"])
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
