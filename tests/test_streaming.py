@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import training as tr
 from tidemark.streaming import ingest as ing
+from tidemark.streaming import marks
 from tidemark.streaming import metrics as sx
 
 
@@ -65,6 +66,74 @@ def test_insert_ignore_stream(spark, tmp_path):
     assert sorted((r["id"], r["url"]) for r in got) == [(1, "a"), (3, "b"), (5, "c")]
 
 
+def test_status_of_batches(spark, tmp_path):
+    table, status = str(tmp_path / "table"), str(tmp_path / "status")
+    schema = "id bigint, url string"
+    handle = ing.with_status(ing.ignore_known(table, schema, ["url"], "id"), table, status)
+    batches = [[(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "a")], [(6, "c"), (7, "c")]]
+    # Batch 1 is run twice.
+    for n in (0, 1, 1, 2):
+        handle(spark.createDataFrame(batches[n], schema), n)
+    rows = ing.read_batches(spark, status, ing.STATUS).collect()
+    assert sorted((r["batch_id"], r["received"], r["stored"], r["skipped"]) for r in rows) == [(0, 3, 2, 1), (1, 2, 0, 2), (2, 2, 1, 1)]
+    assert all(r["millis"] >= 0 for r in rows)
+
+
+def test_rows_past_a_mark_are_delivered_again_after_a_failure_and_never_after_success(spark, tmp_path):
+    stored, checkpoint = str(tmp_path / "stored rows"), str(tmp_path / "checkpoint")
+    got, broken = [], []
+
+    def append(ids):
+        rows = spark.createDataFrame([(i, {"doc_id": i}, f"t{i}") for i in ids], "doc_id bigint, note struct<doc_id: bigint>, title string")
+        rows.repartition(2).write.mode("append").parquet(stored)
+
+    def deliver(batch, batch_id):
+        ids = sorted((r["doc_id"], r["title"]) for r in batch.collect())
+        if broken:
+            broken.pop()
+            raise RuntimeError("no delivery")
+        got.append(ids)
+
+    def run(path=stored):
+        ing.run_once(marks.rows_after(spark, path, "title string, doc_id bigint", "doc_id", 3), deliver, checkpoint)
+
+    named = lambda *ids: [(i, f"t{i}") for i in ids]
+    append([1, 2, 3, 4, 5, 6])
+    run()
+    assert got == [named(4, 5, 6)]
+    append([7, 8, None])
+    broken.append(True)
+    with pytest.raises(Exception, match="no delivery"):
+        run()
+    append([9])
+    # What failed is delivered with the same rows, then what came after it; nothing comes twice.
+    run(f"file:{stored}")
+    run()
+    assert got == [named(4, 5, 6), named(7, 8), named(9)]
+
+
+def test_mark_needs_statistics_and_skips_files_below_it(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for n in range(3):
+        pq.write_table(pa.table({"id": [10 * n + 1, 10 * n + 2]}), tmp_path / f"{n}.parquet")
+    pq.write_table(pa.table({"id": pa.array([None], pa.int64())}), tmp_path / "none.parquet")
+    (tmp_path / "_temporary").mkdir()
+    pq.write_table(pa.table({"id": [99]}), tmp_path / "_temporary" / "x.parquet")
+    reader = marks.RowsByIdReader(str(tmp_path), "id", 0, ["id"])
+    assert reader.latestOffset() == {"id": 22}
+    parts = reader.partitions({"id": 2}, {"id": 21})
+    assert [p.file.rsplit("/", 1)[1] for p in parts] == ["1.parquet", "2.parquet"]
+    assert [i for p in parts for b in reader.read(p) for i in b.column("id").to_pylist()] == [11, 12, 21]
+    # A first mark beyond all ids stays.
+    assert marks.RowsByIdReader(str(tmp_path), "id", 500, ["id"]).latestOffset() == {"id": 500}
+    pq.write_table(pa.table({"id": [50]}), tmp_path / "bare.parquet", write_statistics=False)
+    with pytest.raises(ValueError, match="statistics"):
+        reader.latestOffset()
+    assert marks.RowsByIdReader(str(tmp_path / "absent"), "id", 7, ["id"]).latestOffset() == {"id": 7}
+
+
 def test_unchanged_feed_is_skipped(spark, tmp_path):
     landing, state, out, checkpoint = (str(tmp_path / p) for p in ("landing", "state", "out", "checkpoint"))
     schema = "feed string, pos int, title string, link string"

@@ -13,6 +13,7 @@ from tidemark.plans.timeseries import COUNTER, SQL_SLIDING
 from tidemark.plans.vectors import formula_weights
 from tidemark.sources import records as rc
 from tidemark.streaming import ingest as ing
+from tidemark.streaming import marks
 from tidemark.streaming import metrics as sx
 from tidemark.session import work_path
 
@@ -83,6 +84,44 @@ def stream_insert_ignore(spark, sf_dir):
     return ing.read_batches(spark, stored, schema).drop("batch_id")
 
 
+#: DuckDB: which of three arrivals a document comes in, see :func:`arrivals`.
+SQL_PART = """t AS (SELECT max(doc_id) AS top FROM documents),
+p AS (SELECT d.*, top, CASE WHEN doc_id <= top // 3 THEN 0 WHEN doc_id <= top * 2 // 3 THEN 1 ELSE 2 END AS part FROM documents d, t)"""
+
+
+@register(
+    "stream_run_status",
+    f"""WITH {SQL_PART}, f AS (SELECT part, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM p)
+SELECT part AS batch_id, count(*) AS received, count(*) FILTER (nth = 1) AS stored, count(*) FILTER (nth > 1) AS skipped FROM f GROUP BY part""",
+)
+def stream_run_status(spark, sf_dir):
+    """Documents arrive in three batches and are stored unless their text is known: what became of each batch."""
+    root = work_path(spark, "status")
+    stored, status, schema = os.path.join(root, "stored"), os.path.join(root, "status"), "doc_id bigint, text string"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    handle = ing.with_status(ing.ignore_known(stored, schema, ["text"], "doc_id"), stored, status)
+    run_arrivals(spark, arrivals(docs, "doc_id", 3), root, schema, handle)
+    return ing.read_batches(spark, status, ing.STATUS).select("batch_id", "received", "stored", "skipped")
+
+
+@register(
+    "stream_incremental_since",
+    f"""WITH {SQL_PART} SELECT part AS delivery, doc_id, lang, source FROM p WHERE doc_id > top // 10""",
+)
+def stream_incremental_since(spark, sf_dir):
+    """Rows past a mark are delivered, then those of each later append, under one checkpoint."""
+    root = work_path(spark, "marks")
+    stored, out = os.path.join(root, "stored"), os.path.join(root, "out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    mark = docs.agg(F.max("doc_id")).first()[0] // 10
+    for part in arrivals(docs, "doc_id", 3):
+        part.write.mode("append").parquet(stored)
+        stream = marks.rows_after(spark, stored, "doc_id bigint, lang string, source string", "doc_id", mark)
+        ing.run_once(stream, lambda b, n: ing.write_batch(b, out, n), os.path.join(root, "checkpoint"))
+    found = ing.read_batches(spark, out, "doc_id bigint, lang string, source string")
+    return found.withColumnRenamed("batch_id", "delivery")
+
+
 @register(
     "stream_feed_changed",
     """WITH s AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM conversations)

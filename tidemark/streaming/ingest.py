@@ -7,9 +7,10 @@ that is run again after a failure replaces its own output and nothing else.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,6 +137,30 @@ def changed_feeds(
     return handle
 
 
+STATUS = "received bigint, stored bigint, skipped bigint, millis bigint"
+
+
+def with_status(handle: Handler, table: str, status: str) -> Handler:
+    """The handler, which also leaves a row of ``STATUS`` for each batch in the table ``status``.
+
+    ``table`` is where the handler writes its batches; what arrived and isn't there was
+    skipped.  Arrivals are counted by the handler's own first pass, which must read the whole
+    batch, and stored rows from the footers of the written files.  A batch that is run again
+    replaces its row, and one that fails leaves none.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, began = batch.sparkSession, time.monotonic()
+        seen = Observation()
+        handle(batch.observe(seen, F.count(F.lit(1)).alias("received")), batch_id)
+        stored = spark.read.parquet(os.path.join(table, f"batch_id={batch_id}")).count()
+        received, millis = seen.get["received"], int((time.monotonic() - began) * 1000)
+        row = spark.createDataFrame([(received, stored, received - stored, millis)], STATUS)
+        write_batch(row.coalesce(1), status, batch_id)
+
+    return run
+
+
 class NearDuplicateIngest:
     """Store arriving texts unless they repeat a stored one, exactly or nearly.
 
