@@ -45,6 +45,8 @@ def test_token_files(spark, docs_of, monkeypatch, block):
     rows = [(3 * i - 5, t) for i, t in enumerate(TEXTS)]
     docs = docs_of(rows)
     files = tokenbin.write_tokens(docs, "doc_id", "text", tokenizer_path(), 1)
+    # A session that knows nothing but the folder reads the same.
+    files = tokenbin.open_tokens(spark.newSession(), files.folder)
     got = {r["key"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenbin.token_digests(spark, files).collect()}
     assert got == brute.token_rows(rows, tokenizer_path(), 1)
 

@@ -57,6 +57,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @register("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written to token files and digested from what is read back.
+
+    A null or empty text is the end id alone; rows without an id come first, rows that share one stand
+    together; no documents give no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     files = tokenbin.write_tokens(docs, "doc_id", "text", tokenizer_path(), END_ID)
     return tokenbin.token_digests(spark, files).withColumnRenamed("key", "doc_id")
@@ -64,6 +69,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_decontamination")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest overlap of each document with each benchmark item it meets.
+
+    Null and empty texts overlap with nothing; rows without an id are not in the result.
+    """
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = decontam.overlaps(docs, benchmark, "doc_id", "text", "item_id", "text")
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
@@ -71,6 +80,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_vector_neardup")
 def op3_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of vectors it links with and its component.
+
+    Null, zero and non-finite vectors and null labels link with nothing; every row comes back once, also
+    without an id or with one that others have.
+    """
     vectors = read_table(spark, sf_dir, "embeddings")
     found = vectordup.near_vectors(vectors, "vec_id", "embedding", "label", 0.98)
     return found.select(
@@ -80,11 +94,13 @@ def op3_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_html_text")
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null, empty and textless pages have an empty one, rows repeat as they do."""
     return htmltext.extract_text(read_table(spark, sf_dir, "pages"), "page_id", "url", "html").withColumnRenamed("key", "page_id")
 
 
 @register("op5_source_mix")
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null texts have none, and null sources are one source."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     plan = mixed.plan
     sources = spark.createDataFrame(
@@ -102,7 +118,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to FROM r""",
 )
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as archives with resolved revisits, read back."""
+    """All pages as archives with resolved revisits, read back.
+
+    Null html is an empty payload; of equal payloads the largest page_id is the response, and rows that share
+    even that all are.
+    """
     pages = read_table(spark, sf_dir, "pages")
     ids = pages.withColumn("record_id", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
     records = warc.payload_records(ids, "record_id", "url", "html", "page_id")
@@ -116,6 +136,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_simhash_neardup")
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero and link like others."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", 3, 3)
     print_ = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select(F.col("key").alias("doc_id"), print_.alias("fingerprint"), F.col("component").alias("component_id"))
@@ -128,6 +149,7 @@ def held_out(key: str):
 
 @register("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them; null and letterless texts are ``und``."""
     docs = read_table(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~held_out("doc_id")), "text", "lang", "doc_id")
     found = langid.predict(docs, profiles, "doc_id", "text")
@@ -138,6 +160,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_chunk_dedup")
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunk runs that smaller ids have; null texts are empty, rows without an id stay whole.
+
+    Rows that share an id are not smaller than each other and lose the runs of their own texts.
+    """
     docs = read_table(spark, sf_dir, "documents")
     spans = chunkdedup.duplicate_spans(docs, "doc_id", "text")
     kept = chunkdedup.remove_spans(docs, spans, "doc_id", "text", keep_text=False)
@@ -146,6 +172,10 @@ def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that start in smaller ids; null texts are empty.
+
+    Rows without an id stay whole; rows that share an id are not smaller than each other.
+    """
     docs = read_table(spark, sf_dir, "documents")
     kept = suffixdedup.remove_repeats(docs, "doc_id", "text", 50, keep_text=False)
     return kept.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

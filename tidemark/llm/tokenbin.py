@@ -139,7 +139,10 @@ def plain(text: str) -> bool:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """Written files: their folder, the id of each rank, and the shards (shard, values, offset)."""
+    """Written files: their folder, the id of each rank, and the shards (shard, values, offset).
+
+    The folder holds all of it: ``ids`` the blocks, ``ranks`` and ``shards`` the tables.
+    """
 
     folder: str
     id_of: np.ndarray
@@ -155,7 +158,8 @@ def write_tokens(
     closes every document; ``folder`` is new, by default one in the shared folder;
     ``kept_words`` bounds a worker's memory of words, which changes no id.  Null texts are
     empty, null keys come first, and rows with equal keys stand next to each other.
-    ``offset`` counts the values of all shards before.
+    ``offset`` counts the values of all shards before.  The folder needs nothing beside it to be
+    read, see :func:`open_tokens`.
     """
     spark = docs.sparkSession
     folder = folder or work_path(spark, "tokens")
@@ -164,13 +168,24 @@ def write_tokens(
     shards = tokens.groupBy("shard").agg(F.sum("n").alias("values"))
     # One row per shard, so the running sum over all of them is small.
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = cut_lineage(shards.withColumn("offset", F.coalesce(F.sum("values").over(earlier), F.lit(0))))
+    shards.withColumn("offset", F.coalesce(F.sum("values").over(earlier), F.lit(0))).write.parquet(f"{folder}/shards")
     id_of = np.argsort(-counts, kind="stable").astype(np.uint32)
     rank_of = np.empty_like(id_of)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     coded = tokens.mapInArrow(_encoder(rank_of), "block binary")
-    coded.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(folder)
-    return TokenFiles(folder, id_of, shards)
+    coded.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{folder}/ids")
+    # A row for each id of the vocabulary, however much text there is.
+    ranks = pa.table({"rank": np.arange(len(id_of), dtype=np.int64), "id": id_of.astype(np.int64)})
+    spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{folder}/ranks")
+    return open_tokens(spark, folder)
+
+
+def open_tokens(spark: SparkSession, folder: str) -> TokenFiles:
+    """The files that :func:`write_tokens` left in a folder, in any session."""
+    ranks = spark.read.schema("rank bigint, id bigint").parquet(f"{folder}/ranks").toPandas()
+    id_of = np.empty(len(ranks), np.uint32)
+    id_of[ranks["rank"].to_numpy(np.int64)] = ranks["id"].to_numpy(np.uint32)
+    return TokenFiles(folder, id_of, spark.read.schema("shard bigint, values bigint, offset bigint").parquet(f"{folder}/shards"))
 
 
 def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, kept_words: int = KEPT_WORDS) -> DataFrame:
@@ -303,7 +318,7 @@ def read_tokens(spark: SparkSession, files: TokenFiles, each: Reader, schema: st
                     bounds = before + np.concatenate(([0], np.cumsum(sizes)))
                     yield pa.RecordBatch.from_arrays(each(keys, nulls, shard, bounds, ids), names)
 
-    return spark.read.format("binaryFile").load(files.folder).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(f"{files.folder}/ids").select("content").mapInArrow(run, schema)
 
 
 def token_digests(spark: SparkSession, files: TokenFiles) -> DataFrame:
