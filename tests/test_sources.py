@@ -136,6 +136,17 @@ def test_relative_time_edge_cases(spark):
     assert got == [now - datetime.timedelta(hours=1), now - 3 * day, now, now, now, now, now - day]
 
 
+def test_relative_time_of_large_counts(spark):
+    now = datetime.datetime(2024, 5, 2, 12)
+    said = ["24856 days ago", "90000 days ago", "-24856 days ago", "700000 hours ago", "2147483647 minutes ago", "2147483647 days ago"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, said string")
+    as_of = F.lit(now).cast("timestamp_ntz")
+    got = df.orderBy("i").select(tx.relative_time("said", as_of).alias("t")).select(F.unix_seconds(F.col("t").cast("timestamp")).alias("t"))
+    start = int(now.replace(tzinfo=datetime.timezone.utc).timestamp())
+    ago = [24856 * 86400, 90000 * 86400, -24856 * 86400, 700000 * 3600, 2147483647 * 60, 0]
+    assert [r["t"] for r in got.collect()] == [start - a for a in ago]
+
+
 def test_base64_of_long_data_has_no_line_breaks(spark):
     data = bytes(range(256)) * 20
     df = spark.createDataFrame([(bytearray(data),), (bytearray(b""),), (None,)], "b binary")

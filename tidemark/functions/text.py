@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # and separators, next line, and the Unicode space, line and paragraph separators).
 WHITESPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
 
+# Fixed value: seconds, some 285,000 years, that any present time can be moved by.
+_LONGEST_SECONDS = 9_000_000_000_000
+
 POSITIVE = "POSITIVE"
 NEGATIVE = "NEGATIVE"
 NEUTRAL = "NEUTRAL"
@@ -81,17 +84,20 @@ def data_uri(data: str | Column, mime: str = "image/jpeg") -> Column:
 def relative_time(text: str | Column, as_of: Column, compat: bool = False) -> Column:
     """``N minutes/hours/days ago`` as a time before ``as_of``.
 
-    Unknown or malformed text gives ``as_of``.  "Yesterday" is one day ago; with
-    ``compat`` it gives ``as_of``, because its "day" is then read as a day count
-    without a number.
+    Unknown or malformed text gives ``as_of``, and so does a count past the times that an
+    interval can reach.  "Yesterday" is one day ago; with ``compat`` it gives ``as_of``,
+    because its "day" is then read as a day count without a number.
     """
     said = as_col(text)
     count = F.get(F.filter(F.split(said, WHITESPACE), lambda w: w != ""), 0).try_cast("int")
     unit_seconds = (
         F.when(said.contains("minute"), 60).when(said.contains("hour"), 3600).when(said.contains("day"), 86400)
     )
-    ago = F.make_dt_interval(secs=(count * unit_seconds).cast("decimal(18,6)"))
-    moved = F.when(count.isNotNull() & unit_seconds.isNotNull(), as_of - ago).otherwise(as_of)
+    # The product needs 64 bits; an interval holds a little more than the bound.
+    seconds = count.cast("long") * unit_seconds
+    rest = F.pmod(seconds, F.lit(86400))
+    ago = F.make_dt_interval(days=((seconds - rest) / 86400).cast("int"), secs=rest.cast("decimal(18,6)"))
+    moved = F.when(F.abs(seconds) <= _LONGEST_SECONDS, as_of - ago).otherwise(as_of)
     if compat:
         return moved
     return F.when(said.contains("Yesterday"), as_of - F.make_dt_interval(days=F.lit(1))).otherwise(moved)
