@@ -194,3 +194,22 @@ def test_short_texts_follow_the_sequential_rule(spark):
     df = spark.createDataFrame(rows, "id long, text string, day string")
     got = sorted(r["id"] for r in dd.gestalt_duplicates(df, "id", "text", "day").kept(depth=20).collect())
     assert got == [i for i, _, _ in kept]
+
+
+def test_item_in_very_many_records(spark):
+    order = spark.createDataFrame([(1, 30_000), (2, 3_000_000_000), (3, 1)], "item long, freq long")
+    items = spark.createDataFrame([(7, i) for i in (1, 2, 3, 4)], "rid long, item long")
+    got = {r["item"]: r["freq"] for r in sm._with_frequency(items, order).collect()}
+    assert got == {1: 30_000, 2: 3_000_000_000, 3: 1, 4: 0}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark):
+    draw = random.Random(11)
+    rows = [(i, sorted({f"w{draw.randrange(500)}" for _ in range(draw.choice([0, 1, 6, 400, 9000]))})) for i in range(40)]
+    sketch = sm.parity_sketch("tokens").alias("sketch")
+    found = spark.createDataFrame(rows, "rid long, tokens array<string>").select("tokens", sketch).collect()
+    for a in found:
+        for b in found:
+            bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a["sketch"], b["sketch"]))
+            words = len(set(a["tokens"]) ^ set(b["tokens"]))
+            assert words >= bits >= words / 2

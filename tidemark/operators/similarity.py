@@ -54,7 +54,7 @@ def coded(items: DataFrame) -> DataFrame:
 
 def item_order(items: DataFrame) -> DataFrame:
     """How often each coded item occurs: (item, freq)."""
-    return items.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def rare_first_lists(items: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -102,13 +102,13 @@ def _with_frequency(items: DataFrame, order: DataFrame) -> DataFrame:
     frequencies under keys of their own, which match nothing and spread evenly.
     """
     total = order.agg(F.sum("freq")).scalar()
-    hot = order.withColumn("_total", total).filter(F.col("freq") * F.lit(_HOT_SHARE) >= F.col("_total"))
+    hot = order.withColumn("_total", total).filter(F.col("freq") * F.lit(_HOT_SHARE).cast("long") >= F.col("_total"))
     hot = hot.select("item", F.col("freq").alias("_hot"))
     known = items.join(F.broadcast(hot), "item", "left")
     key = F.when(F.col("_hot").isNull(), F.col("item")).otherwise(F.xxhash64("rid", "item", F.lit("hot")))
     rest = order.select(F.col("item").alias("_key"), F.col("freq").alias("_freq"))
     joined = known.withColumn("_key", key).join(rest, "_key", "left")
-    freq = F.coalesce("_hot", "_freq", F.lit(0)).alias("freq")
+    freq = F.coalesce("_hot", "_freq", F.lit(0).cast("long")).alias("freq")
     return joined.select(*items.columns, freq)
 
 
@@ -135,18 +135,52 @@ def jaccard_bounds(threshold: float) -> Bounds:
     return Bounds(threshold, lambda a, b: (a + b) * F.lit(share) - F.lit(1e-9))
 
 
+# Fixed value: 64-bit words of a sketch.  More of them part larger sets and cost 8 bytes a pair each.
+_SKETCH_WORDS = 32
+
+
+def parity_sketch(tokens: str) -> Column:
+    """Bits that say whether an odd number of a set's items hash to them.
+
+    A bit that differs between two sets takes an item that only one of them has, so two
+    sketches differ in no more bits than the sets do in items, however large these are.
+    """
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+
+    def word(i: int) -> Column:
+        mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(_SKETCH_WORDS)) == i)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
+
+    return F.array(*[word(i) for i in range(_SKETCH_WORDS)])
+
+
 def jaccard_verifier(records: DataFrame, threshold: float, earlier: DataFrame | None = None) -> Verifier:
     """Pairs -> edges with Jaccard >= threshold; early records come from ``earlier`` if given.
 
+    Pairs meet as sketches first, which rule out nearly all that do not match; only the
+    others are joined with the word sets, whose rows are many times as large.
+
     A record with very many partners makes a hot join key here; the skew join of
     adaptive execution splits it, the record itself being a single row.
     """
+    sketches = cut_lineage(records.select("rid", F.size("tokens").alias("n"), parity_sketch("tokens").alias("sketch")))
+    first = sketches if earlier is None else earlier.select("rid", F.size("tokens").alias("n"), parity_sketch("tokens").alias("sketch"))
+    # Two sets that match differ in at most this share of both sizes.
+    share = (1 - threshold) / (1 + threshold)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        early = first.select(F.col("rid").alias("early"), F.col("n").alias("_na"), F.col("sketch").alias("_sa"))
+        late = sketches.select(F.col("rid").alias("late"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb"))
+        differ = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(_SKETCH_WORDS)), F.lit(0))
+        met = pairs.join(early, "early").join(late, "late")
+        return met.filter(differ <= (F.col("_na") + F.col("_nb")) * F.lit(share) + F.lit(1e-6)).select(pairs.columns)
 
     def verify(pairs: DataFrame) -> DataFrame:
         source = records if earlier is None else earlier
         early = source.select(F.col("rid").alias("early"), F.col("tokens").alias("_a"))
         late = records.select(F.col("rid").alias("late"), F.col("tokens").alias("_b"))
-        scored = pairs.join(early, "early").join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
+        scored = near(pairs).join(early, "early").join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
         return scored.filter(F.col("similarity") >= threshold).select("early", "late", "rule", "similarity")
 
     return verify

@@ -203,7 +203,7 @@ class NearDuplicateIngest:
         return self._table(spark, f"lists/version={version}", self.LISTS, "list_key")
 
     def order(self, spark: SparkSession, version: int) -> DataFrame:
-        return spark.read.schema("item bigint, freq int").parquet(self._path(f"order/version={version}"))
+        return spark.read.schema("item bigint, freq bigint").parquet(self._path(f"order/version={version}"))
 
     def version(self, batch_id: int | None = None) -> tuple[int, int] | None:
         """(version, stored rows it was taken from) that holds before a batch, or now."""
