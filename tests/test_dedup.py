@@ -213,3 +213,12 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark):
             bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a["sketch"], b["sketch"]))
             words = len(set(a["tokens"]) ^ set(b["tokens"]))
             assert words >= bits >= words / 2
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "gestalt"])
+def test_similarity_joins_broadcast_no_lists_or_records(spark, kind):
+    df = spark.createDataFrame([(i, f"some headline number {i % 7}", "x") for i in range(40)], "id long, text string, day string")
+    found = dd.jaccard_duplicates(df, "id", "text") if kind == "jaccard" else dd.gestalt_duplicates(df, "id", "text", "day")
+    edges = found.verify(sm.pairs_between(found.lists, found.lists, found.bounds).unionByName(sm.pairs_within(found.lists, found.bounds)))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -43,6 +43,15 @@ class Bounds:
     need: Callable[[Column, Column], Column]
 
 
+def by_merge(side: DataFrame) -> DataFrame:
+    """A side that is never broadcast.
+
+    Lists, word sets and pieces repeat so much that their files are a small part of what they
+    take in memory, and it is the files that Spark goes by.
+    """
+    return side.hint("merge")
+
+
 def coded(items: DataFrame) -> DataFrame:
     """Items as 64-bit codes, distinct between rules and gram lengths.
 
@@ -173,14 +182,14 @@ def jaccard_verifier(records: DataFrame, threshold: float, earlier: DataFrame |
         early = first.select(F.col("rid").alias("early"), F.col("n").alias("_na"), F.col("sketch").alias("_sa"))
         late = sketches.select(F.col("rid").alias("late"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb"))
         differ = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(_SKETCH_WORDS)), F.lit(0))
-        met = pairs.join(early, "early").join(late, "late")
+        met = by_merge(by_merge(pairs).join(early, "early")).join(late, "late")
         return met.filter(differ <= (F.col("_na") + F.col("_nb")) * F.lit(share) + F.lit(1e-6)).select(pairs.columns)
 
     def verify(pairs: DataFrame) -> DataFrame:
         source = records if earlier is None else earlier
         early = source.select(F.col("rid").alias("early"), F.col("tokens").alias("_a"))
         late = records.select(F.col("rid").alias("late"), F.col("tokens").alias("_b"))
-        scored = near(pairs).join(early, "early").join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
+        scored = by_merge(by_merge(near(pairs)).join(early, "early")).join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
         return scored.filter(F.col("similarity") >= threshold).select("early", "late", "rule", "similarity")
 
     return verify
@@ -338,7 +347,7 @@ def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifi
         return records.select(F.col("rid").alias(name), *[F.col(c).alias(f"_{mark}_{to}") for c, to in columns.items()])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(side("early", "a"), "early").join(side("late", "b"), "late")
+        joined = by_merge(by_merge(pairs).join(side("early", "a"), "early")).join(side("late", "b"), "late")
         same = F.col("_a_day").eqNullSafe(F.col("_b_day"))
         # Shared 2-grams, counting those that repeat within a text as shared.
         shared = F.size(F.array_intersect("_a_pieces", "_b_pieces")) + F.least("_a_spare", "_b_spare")
@@ -375,7 +384,7 @@ def pairs_within(lists: DataFrame, bounds: Bounds, whole: bool = True) -> DataFr
     ``whole`` says that every list place of every record is present.
     """
     a, b = _sides(lists, lists)
-    return _promising(a.join(b, _MEETING), bounds, F.col("early") < F.col("late"), whole)
+    return _promising(by_merge(a).join(b, _MEETING), bounds, F.col("early") < F.col("late"), whole)
 
 
 def pairs_between(
@@ -392,7 +401,7 @@ def pairs_between(
     named by ``repeat`` and meant to be the smaller one, is repeated for each.
     ``order`` replaces the condition early < late and may use further columns of ``late``.
     """
-    a, b = _sides(early, late)
+    a, b = map(by_merge, _sides(early, late))
     met = salted_join(b, a, _MEETING, "late") if repeat == "early" else salted_join(a, b, _MEETING, "early")
     return _promising(met, bounds, F.col("early") < F.col("late") if order is None else order, whole)
 
@@ -405,7 +414,7 @@ def pairs_with_stored(stored: DataFrame, late: DataFrame, bounds: Bounds) -> Dat
     """
     a = stored.select("list_key", F.col("rid").alias("early"), F.col("size").alias("_sa"), F.col("rest").alias("_ra"))
     b = late.withColumnsRenamed({"rid": "late", "size": "_sb", "rest": "_rb"})
-    return _promising(b.join(a, "list_key"), bounds, F.col("early") < F.col("late"), whole=True)
+    return _promising(by_merge(b).join(a, "list_key"), bounds, F.col("early") < F.col("late"), whole=True)
 
 
 def _sides(early: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
