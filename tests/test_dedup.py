@@ -2,13 +2,15 @@
 
 import datetime
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup as dd
-from tidemark.operators import greedy
+from tidemark.operators import gestalt, greedy, ranking
 from tidemark.operators import similarity as sm
 
 
@@ -144,6 +146,66 @@ def test_any_match_is_strict_and_case_sensitive(spark, depth):
     assert got == want
 
 
+def _syllables(rng, n):
+    return "".join(rng.choice(["the ", "an", "er", "in", "on ", "th", "ed", "\u00e9s", "\u5b57", "\U0001f600"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("depth,blocks", [(48, 5), (1000, 1)])
+def test_any_match_of_texts_that_share_their_grams(spark, monkeypatch, depth, blocks):
+    """Nearly all texts meet nearly all by their grams: blocks meet once, and a task holds two of them."""
+    rng = random.Random(11)
+    texts = [_syllables(rng, rng.choice([1, 2, 18, 18, 18, 50])) for _ in range(180)] + ["", "", "x"]
+    texts += [t[:k] + "q" + t[k + 1 :] for t in texts[:60] for k in [rng.randrange(max(1, len(t)))]]
+    rng.shuffle(texts)
+    rows = [(i // 2 * 3, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, "x")], "id long, text string").repartition(3)
+    placed, held = greedy.cut_lineage, []
+    monkeypatch.setattr(greedy, "with_range_bucket", lambda *a: held.append(a[2]) or ranking.with_range_bucket(*a))
+    monkeypatch.setattr(greedy, "cut_lineage", lambda d: held.append(d._jdf.queryExecution().toString()) or placed(d))
+    got = {r["id"] for r in dd.gestalt_any_match(df, "id", "text", depth=depth).collect()}
+    want = {i for i, t in rows if any(s < i and SequenceMatcher(None, t, u).ratio() > 0.85 for s, u in rows)}
+    assert got == want and len(want) > 30
+    # One pass for blocks with themselves and one for the others; no pair of texts is a row of a join.
+    plans = held[1:]
+    assert held[0] == blocks and len(plans) == (1 if blocks == 1 else 2) and not any("Join Inner" in p for p in plans)
+
+
+def test_crowd_of_near_headlines_takes_few_full_matches(monkeypatch):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(58))
+    texts = [base[:k] + x + base[k + 1 :] for k in range(50) for x in "XYZ"] + [_syllables(rng, 20) for _ in range(150)]
+    place, rule, calls = np.arange(len(texts)), sm.GestaltRule("any", 0.85, strict=True), []
+    monkeypatch.setattr(gestalt, "ratio_if", lambda *row, plain=gestalt.ratio_if: calls.append(row) or plain(*row))
+    got = set(gestalt.later_hits(texts, place, place, place, rule))
+    assert got >= set(range(1, 150)) and 0 not in got
+    assert len(calls) < 2 * len(texts)
+
+
+def test_bounds_ahead_of_the_ratio_never_fall_short():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            above, row = row, [0]
+            for j, d in enumerate(b):
+                row.append(above[j] + 1 if c == d else max(above[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(8)
+    texts = [_syllables(rng, n) for n in (0, 1, 1, 2, 15, 15, 16, 17, 18, 30, 31, 40, 60)] + ["a" * 64, "a" * 65, "a" * 87]
+    lengths = np.array([len(t) for t in texts])
+    a, b = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    share = gestalt.shortest_partner(0.85)
+    bounds = gestalt.CommonLengths(texts, lengths, share).bounds(a, b)
+    counts = gestalt.pair_counts(texts, lengths, 256)
+    for i, j, bound in zip(a, b, bounds):
+        true = plain(texts[i], texts[j])
+        assert bound >= true and gestalt.common_length(texts[i], texts[j]) == true
+        if min(lengths[i], lengths[j]) >= max(lengths[i], lengths[j]) * share:
+            assert bound == true
+        grams = [Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in (texts[i], texts[j])]
+        assert counts[i] @ counts[j] >= sum((grams[0] & grams[1]).values())
+
+
 @pytest.mark.parametrize("threshold,q", [(0.85, 3), (0.85, 2), (0.95, 5), (0.95, 2)])
 def test_shared_grams_bound_never_exceeds_truth(threshold, q):
     rng = random.Random(q)

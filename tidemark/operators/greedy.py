@@ -8,12 +8,15 @@ match, drop what matches a kept one, repeat.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import gestalt
 from tidemark.operators import similarity as sm
+from tidemark.operators.ranking import with_range_bucket
 from tidemark.session import cut_lineage
 
 
@@ -105,22 +108,34 @@ def kept_matches(
     return verify(sm.pairs_between(kept, lost.join(reach, "rid"), bounds, order))
 
 
-def any_earlier_match(lists: DataFrame, verify: sm.Verifier, bounds: sm.Bounds, depth: int = 200) -> DataFrame:
+# Characters per text from which on blocks hold fewer texts, and tasks of a meeting of blocks.
+_BLOCK_CHARACTERS, _MOST_TASKS = 256, 4000
+
+
+def any_earlier_match(records: DataFrame, rule: sm.GestaltRule, depth: int = 4096) -> DataFrame:
     """Ids (rid) with at least one matching earlier record, kept or not.
 
-    Lists are worked off in slices of ``depth`` early members; a record leaves as
-    soon as it has a match, so a crowd of copies costs one comparison each.
+    Grams of texts of one language repeat so much that two texts meet in dozens of lists, so
+    none are made here: records (rid, body) are dealt by id into blocks of about ``depth`` texts, and
+    blocks meet two at a time, every pair once.  What a task holds is bounded; the pairs are not,
+    but cost a few operations each.  A block meets itself first, and what has a match then
+    meets no other block, so a crowd of copies costs about one comparison each.
     """
-    lists = cut_lineage(lists)
-    if sm.longest_list(lists) <= depth:
-        return verify(sm.pairs_within(lists, bounds)).select(F.col("late").alias("rid")).distinct()
-    found, open_lists, start = [], lists, lists
-    while not start.isEmpty():
-        front = cut_lineage(sm.list_fronts(start, depth))
-        hits = cut_lineage(
-            verify(sm.pairs_between(front, open_lists, bounds, whole=False)).select(F.col("late").alias("rid")).distinct()
-        )
-        found.append(hits)
-        open_lists = cut_lineage(_without(open_lists, "rid", hits))
-        start = cut_lineage(start.join(front.select("list_key", "rid"), ["list_key", "rid"], "left_anti"))
-    return _union(found)
+    texts = records.select("rid", "body").distinct()
+    n, characters = texts.agg(F.count(F.lit(1)), F.sum(F.length("body").cast("long"))).first()
+    blocks = max(1, math.ceil(n / depth), math.ceil((characters or 0) / (depth * _BLOCK_CHARACTERS)))
+    dealt = with_range_bucket(texts, ["rid"], blocks, "block")
+    match, schema, block = gestalt.hits_of_group(rule), dealt.select("rid").schema, F.col("block")
+
+    def hits(placed: DataFrame, cells: int) -> DataFrame:
+        # A number of tasks that is not made smaller: cells have few bytes and much to do.
+        spread = placed.repartition(min(cells, _MOST_TASKS), "late_block", "early_block")
+        return cut_lineage(spread.groupBy("late_block", "early_block").applyInArrow(match, schema).distinct())
+
+    found = hits(dealt.withColumns({"late_block": block, "early_block": block}), blocks)
+    if blocks == 1:
+        return found
+    before, after = F.sequence(F.lit(0), block - 1), F.sequence(block + 1, F.lit(blocks - 1))
+    late = _without(dealt, "rid", found).filter(block > 0).select("*", block.alias("late_block"), F.explode(before).alias("early_block"))
+    early = dealt.filter(block < blocks - 1).select("*", F.explode(after).alias("late_block"), block.alias("early_block"))
+    return _union([found, hits(late.unionByName(early), blocks * (blocks - 1) // 2)])

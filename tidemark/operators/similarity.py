@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard
+from tidemark.operators.gestalt import ratio_if, shared_grams_bound, shortest_partner
 from tidemark.operators.skew import salted_join
 from tidemark.session import cut_lineage
 
@@ -209,29 +209,13 @@ class GestaltRule:
     grams: tuple[int, ...] = (3, 2, 1)
 
 
-def shared_grams_bound(n, partner, q: int, threshold: float):
-    """Lower bound on the q-grams two texts of the given lengths share.
-
-    A ratio of t means m >= t(n + partner)/2 matched characters in common order.  Each
-    unmatched character of the first text destroys at most q of its grams, each
-    unmatched one of the second at most q - 1.
-    """
-    matched = threshold * (n + partner) / 2
-    return (n - q + 1) - q * (n - matched) - (q - 1) * (partner - matched)
-
-
-def _shortest_partner(threshold: float) -> float:
-    """Length ratio a partner must reach: 2*min/(a+b) >= t."""
-    return threshold / (2 - threshold)
-
-
 def safe_length(q: int, threshold: float) -> int:
     """Smallest length from which at least one q-gram is shared with every partner.
 
     Shared grams are a whole number, so a positive bound means one.  For 1-grams that
     holds from length 1 on.
     """
-    share = _shortest_partner(threshold)
+    share = shortest_partner(threshold)
     n = q
     while shared_grams_bound(n, n * share, q, threshold) < 1e-6:
         n += 1
@@ -267,7 +251,7 @@ def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame
     base = base.withColumn("size", F.size("chars"))
     families, empty = [], []
     for rule in rules:
-        share, upper = _shortest_partner(rule.threshold), math.inf
+        share, upper = shortest_partner(rule.threshold), math.inf
         scope = F.col("day") if rule.scope == "same" else F.lit("")
         for q in rule.grams:
             lower, n = safe_length(q, rule.threshold), F.col("size").cast("double")
@@ -319,19 +303,11 @@ def gestalt_bounds(rules: Sequence[GestaltRule]) -> Bounds:
                 out = F.when((F.col("rule") == rule.name) & (F.col("grams") == q), either - 1e-9).otherwise(out)
         return out
 
-    return Bounds(min(_shortest_partner(r.threshold) for r in rules), need)
+    return Bounds(min(shortest_partner(r.threshold) for r in rules), need)
 
 
 def _ratios(late: pd.Series, early: pd.Series, floor: pd.Series) -> pd.Series:
-    out = []
-    for new, stored, least in zip(late, early, floor):
-        matcher = SequenceMatcher(None, new, stored)
-        # The quick ratios are upper bounds; skip the full match when they rule it out.
-        if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
-            out.append(None)
-        else:
-            out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    return pd.Series([ratio_if(*row) for row in zip(late, early, floor)], dtype="float64")
 
 
 def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifier:
