@@ -218,6 +218,39 @@ def test_sliding_increase_stream_equals_plain_windows_in_any_order(spark, tmp_pa
     assert 0 < open_rows.count() < len(points) and open_rows.agg(F.min("list_element.at")).first()[0] >= passed
 
 
+def test_sliding_increase_folds_at_once_and_deals_a_series_by_time(spark, tmp_path):
+    """One batch of a long series: what no later sample can precede is folded in that batch, and many keys share the series."""
+    points = [(s, s, float((s * 7) % 23)) for s in range(0, 3000, 5)]
+    got, checkpoint = _run_windows(spark, tmp_path, [points], 60, 20, 120)
+    assert got == _plain_windows(points, 60, 20)
+    state = lambda batch: {
+        name: spark.read.format("statestore").option("stateVarName", name).option("batchId", batch).load(checkpoint) for name in ("panes", "open")
+    }
+    # After the batch itself: every span but the last ones keeps its newest 120 seconds only.
+    first = state(0)
+    spans = first["open"].select("key").distinct().count()
+    assert spans > 10 and first["open"].count() <= spans * (120 // 5 + 1) < len(points) * 0.6
+    # Once the watermark moves, the spans that ended go.
+    assert state(1)["open"].select("key").distinct().count() <= 3
+    assert state(1)["panes"].count() <= 2 * (60 // 20 + 2)
+
+
+def test_sliding_increase_goes_on_after_a_series_ended(spark, tmp_path):
+    batches = [[(0, None, 5.0), (10, 2, 8.0)], [(900, 3, 1.0)], [(1800, 4, 1.0), (1801, 5, 3.0)], [(2700, 6, 1.0)]]
+    got, _ = _run_windows(spark, tmp_path, batches, 60, 20, 30)
+    assert got[60] == (2, 3.0) and got[920] == (1, 0.0) and got[1820] == (2, 2.0) and got[2720] == (1, 0.0)
+
+
+@pytest.mark.parametrize("window,slide", [(60, 20), (9, 6), (6, 9), (7, 7)])
+def test_spans_hold_every_window_of_a_time(spark, window, slide):
+    times = [*range(-100, 400, 3), 239, 240, 241]
+    rows = spark.createDataFrame([(t,) for t in times], "at long").select("at", sx.spans_of(F.col("at"), window, slide).alias("s")).collect()
+    for at, spans in rows:
+        ends = [s + window for s in range((at - window) // slide * slide, at + 1, slide) if s <= at < s + window]
+        # A pane is in a window as a whole.
+        assert set(spans or []) == {e // (sx.SPAN * window) * sx.SPAN * window for e in ends}
+
+
 def test_sliding_increase_drops_samples_behind_the_watermark(spark, tmp_path):
     batches = [[(0, 1, 5.0), (10, 2, 8.0), (600, 3, 1.0)], [(12, 4, 9.0), (601, 5, 4.0)]]
     got, _ = _run_windows(spark, tmp_path, batches, 60, 5, 30)

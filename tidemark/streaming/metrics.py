@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -16,6 +18,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: Columns of a sample as the state operator gets them; it renames those that begin with an underscore.
 SAMPLE = ("sample_at", "sample_id", "sample_value")
+#: Fixed value: a state key holds the windows of a series that end within so many window lengths.  Samples near the
+#: ends of such a span belong to two, so it decides between more copies and larger states.
+SPAN = 4
 #: (time, order, value) of a sample; times in microseconds.
 Sample = tuple[int, int, float]
 #: First and last sample of a pane, growth between its samples, and how many they are.
@@ -32,14 +37,6 @@ def step(before: float, now: float) -> float:
     return now if now < before else now - before
 
 
-def extended(pane: Pane | None, sample: Sample) -> Pane:
-    """The pane with one more sample, later than all it has."""
-    if pane is None:
-        return sample, sample, 0.0, 1
-    first, last, grown, n = pane
-    return first, sample, grown + step(last[2], sample[2]), n + 1
-
-
 def merged(a: Pane | None, b: Pane) -> Pane:
     """Two panes as one, ``a`` before ``b``."""
     if a is None:
@@ -50,15 +47,16 @@ def merged(a: Pane | None, b: Pane) -> Pane:
 class PaneRates(StatefulProcessor):
     """Keeps a series as panes and gives the windows that a batch of samples changes.
 
-    A pane is one row of state, however many samples it had.  Only samples that the watermark
-    has not passed are kept as they are: a late one may still come between them, and its
-    growth depends on both neighbours.  Once passed, they are folded into their panes in
-    order of time, and panes that no open window reaches are dropped.
+    A key is a series and a span of time, and has the windows that end within the span.  A pane
+    is one row of state, however many samples it had.  Only samples less than ``late`` behind the
+    newest are kept as they are: a later one may still come between them, and its growth
+    depends on both neighbours.  The others are folded into their panes in order of time, in the
+    batch that brings them, and panes that no open window reaches are dropped.
     """
 
-    def __init__(self, window: int, slide: int, names: list[str]):
-        self.window, self.slide, self.names = window, slide, names
-        self.pane = math.gcd(window, slide)
+    def __init__(self, window: int, slide: int, late: float, names: list[str]):
+        self.window, self.slide, self.late, self.names = window, slide, late, names
+        self.pane, self.span = math.gcd(window, slide), SPAN * window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -68,37 +66,67 @@ class PaneRates(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = [s for part in rows for s in zip(*(part[c].tolist() for c in SAMPLE))]
-        panes = {k[0]: ((v[0], v[1], v[2]), (v[3], v[4], v[5]), v[6], v[7]) for k, v in self.panes.iterator()}
-        touched = {s[0] // self.pane for s in fresh}
-        samples = sorted([tuple(s) for s in self.open.get()] + fresh) if self.open.exists() else sorted(fresh)
-        done = [s for s in samples if s[0] < passed]
-        for s in done:
-            panes[s[0] // self.pane] = extended(panes.get(s[0] // self.pane), s)
-        for p in {s[0] // self.pane for s in done}:
-            (a, b, grown, n) = panes[p]
-            self.panes.updateValue((p,), (*a, *b, grown, n))
-        self._keep(samples[len(done) :])
-        for p in [p for p in panes if (p + 1) * self.pane + self.window <= passed]:
+        kept = pd.DataFrame([tuple(s) for s in self.open.get()] if self.open.exists() else [], columns=list(SAMPLE))
+        fresh = pd.concat([part[list(SAMPLE)] for part in rows])
+        if len(kept):
+            # What is earlier was folded; Spark itself drops late rows a batch later than the watermark moves.
+            fresh = fresh[fresh["sample_at"] >= self._line(int(kept["sample_at"].max()))]
+        touched = np.unique(fresh["sample_at"].to_numpy(np.int64) // self.pane).tolist()
+        both = pd.concat([kept, fresh]) if len(kept) else fresh
+        at, ids, v = (both[c].to_numpy(kind) for c, kind in zip(SAMPLE, (np.int64, np.int64, np.float64)))
+        order = np.lexsort((v, ids, at))
+        at, ids, v = at[order], ids[order], v[order]
+        line = max(passed, self._line(int(at[-1]))) if len(at) else passed
+        done = int(np.searchsorted(at, line))
+        panes = {k[0]: ((w[0], w[1], w[2]), (w[3], w[4], w[5]), w[6], w[7]) for k, w in self.panes.iterator()}
+        reached = lambda p: (p + 1) * self.pane + self.window > line
+        for p in [p for p in panes if not reached(p)]:
             self.panes.removeKey((p,))
-            del panes[p]
-        self._wake(samples[-1][0] if samples else None)
-        for s in samples[len(done) :]:
-            panes[s[0] // self.pane] = extended(panes.get(s[0] // self.pane), s)
+        for p, pane in self._summaries(at[:done], ids[:done], v[:done]):
+            panes[p] = merged(panes.get(p), pane)
+            if reached(p):
+                (a, b, grown, n) = panes[p]
+                self.panes.updateValue((p,), (*a, *b, grown, n))
+        self._keep(list(zip(at[done:].tolist(), ids[done:].tolist(), v[done:].tolist())))
+        *series, span = key
+        if len(at):
+            # No window is open from here on: all of the span ended, or none reaches the newest sample.
+            self._wake(min(int(at[-1]) + 2 * self.window, span + self.span))
+        for p, pane in self._summaries(at[done:], ids[done:], v[done:]):
+            panes[p] = merged(panes.get(p), pane)
         out = []
-        for end in sorted({e for p in touched for e in self._ends(p)}):
+        for end in sorted({e for p in touched for e in self._ends(p) if e // self.span * self.span == span}):
             whole = None
             for p in range((end - self.window) // self.pane, end // self.pane):
                 if p in panes:
                     whole = merged(whole, panes[p])
-            out.append((*key, end, whole[3], whole[2]))
-        yield pd.DataFrame(out, columns=[*self.names, "window_ends", "samples", "increase"])
+            out.append((*series, end, whole[3], whole[2]))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, "window_ends", "samples", "increase"])
+
+    def _line(self, newest: int) -> float:
+        """The time before which no sample counts after this batch; the watermark will be no less."""
+        return newest // 1000 * 1000 - self.late
+
+    def _summaries(self, at: np.ndarray, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, Pane]]:
+        """Panes of sorted samples, in order."""
+        if not len(at):
+            return
+        pane = at // self.pane
+        first = np.flatnonzero(np.concatenate(([True], pane[1:] != pane[:-1])))
+        grown = np.zeros(len(v))
+        with np.errstate(invalid="ignore"):
+            grown[1:] = np.where(v[1:] < v[:-1], v[1:], v[1:] - v[:-1])
+        grown[first] = 0
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        ends = [zip(at[i].tolist(), ids[i].tolist(), v[i].tolist()) for i in (first, last)]
+        yield from zip(pane[first].tolist(), zip(*ends, np.add.reduceat(grown, first).tolist(), (last - first + 1).tolist()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A series without samples for so long that no window is open: its state goes."""
+        """No window of the key is open any more: its state goes."""
         self.panes.clear()
         self.open.clear()
-        yield pd.DataFrame({n: [] for n in [*self.names, "window_ends", "samples", "increase"]})
+        return iter(())
 
     def _keep(self, samples: list[Sample]) -> None:
         if samples:
@@ -106,11 +134,10 @@ class PaneRates(StatefulProcessor):
         elif self.open.exists():
             self.open.clear()
 
-    def _wake(self, newest: int | None) -> None:
-        if newest is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer((newest + 2 * self.window) // 1000 + 1)
+    def _wake(self, when: int) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(when // 1000 + 1)
 
     def _ends(self, pane: int) -> range:
         """Ends of the windows that hold a pane; windows begin at multiples of the slide."""
@@ -119,6 +146,15 @@ class PaneRates(StatefulProcessor):
         return range(starts[-1] + self.window, first + self.window + 1, self.slide)
 
 
+def spans_of(at: Column, window: int, slide: int) -> Column:
+    """Starts of the spans in which some window with a sample at this time ends; none if no window has it."""
+    pane, span = math.gcd(window, slide), SPAN * window
+    floor = lambda x, n: x - F.pmod(x, F.lit(n))
+    earliest = floor(at, pane) + pane - window
+    first, last = earliest + F.pmod(-earliest, F.lit(slide)) + window, floor(at, slide) + window
+    return F.when(first <= last, F.sequence(floor(first, span), floor(last, span), F.lit(span)))
+
+
 def sliding_increase(
     stream: DataFrame, series: Sequence[str], ts: str, order: str, value: str, window: str, slide: str, late: str
 ) -> DataFrame:
@@ -127,8 +163,9 @@ def sliding_increase(
     The increase corrects counter resets; samples may arrive in any order up to ``late``
     behind the newest, later ones are dropped.  State is a row per pane of the length that
     divides window and slide, and the samples of the last ``late``; windows share panes
-    instead of holding their samples each.  ``order`` is an integer that tells samples of
-    one time apart.  Samples without a time or value are left out.
+    instead of holding their samples each.  A series is dealt by spans of time, so a long one
+    is worked on by many tasks.  ``order`` is an integer that tells samples of
+    one time apart, none being the smallest.  Samples without a time or value are left out.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -137,12 +174,16 @@ def sliding_increase(
     schema = StructType(
         [*(kinds[s] for s in series), StructField("window_ends", LongType()), StructField("samples", LongType()), StructField("increase", DoubleType())]
     )
+    place = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
     timed = stream.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(
-        *series, F.col(ts).cast("timestamp").alias("sample_time"), F.col(order).cast("long").alias("sample_id"), F.col(value).cast("double").alias("sample_value")
+        *series, F.col(ts).cast("timestamp").alias("sample_time"), place.alias("sample_id"), F.col(value).cast("double").alias("sample_value")
     )
     timed = timed.withColumn("sample_at", F.unix_micros("sample_time")).withWatermark("sample_time", late)
-    found = timed.groupBy(*series).transformWithStateInPandas(
-        PaneRates(length, shift, list(series)), outputStructType=schema, outputMode="Update", timeMode="EventTime"
+    dealt = timed.withColumn("sample_span", F.explode(spans_of(F.col("sample_at"), length, shift)))
+    # Months have no fixed length: with them only the watermark itself tells what is late.
+    behind = math.inf if re.search("month|year", late, re.IGNORECASE) else micros_of(spark, late)
+    found = dealt.groupBy(*series, "sample_span").transformWithStateInPandas(
+        PaneRates(length, shift, behind, list(series)), outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
     end = F.timestamp_micros("window_ends").cast("timestamp_ntz").alias("window_end")
     return found.select(*series, end, "samples", "increase")
