@@ -284,3 +284,41 @@ def test_similarity_joins_broadcast_no_lists_or_records(spark, kind):
     edges = found.verify(sm.pairs_between(found.lists, found.lists, found.bounds).unionByName(sm.pairs_within(found.lists, found.bounds)))
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_one_shared_rare_word_makes_no_candidate(spark):
+    """Records that meet in a list, but not as often as records that match."""
+    draw = random.Random(5)
+    rows = [(i, " ".join([f"rare{i // 2}", *(f"w{draw.randrange(400)}" for _ in range(40))])) for i in range(80)]
+    rows += [(100 + i, rows[i][1].replace(f"rare{i // 2}", "other")) for i in range(0, 80, 9)]
+    found = dd.jaccard_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    pairs = {(r["early"], r["late"]) for r in sm.pairs_within(found.lists, found.bounds).collect()}
+    alike = {(a, b) for a, t in rows for b, u in rows if a < b and _jaccard(t, u) >= 0.75}
+    assert alike <= pairs and len(pairs) < len(alike) + 10 < 40
+
+
+@pytest.mark.parametrize("cells", [1, 4, 22])
+def test_any_order_of_words_finds_all_pairs(spark, monkeypatch, cells):
+    """Whatever share a cell of the count: words with one place in the order share a list."""
+    monkeypatch.setattr(sm, "_CELL_BITS", cells)
+    rows = _word_rows(7, 300, vocabulary=24) + [(900, None), (901, " ")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = dd.jaccard_duplicates(df, "id", "text")
+    edges = found.verify(sm.pairs_within(found.lists, found.bounds)).collect()
+    texts = {r["rid"]: r["words"] for r in found.records.collect()}
+    want = {(a, b): _jaccard(t, u) for a, t in texts.items() for b, u in texts.items() if a < b and _jaccard(t, u) >= 0.75}
+    assert {(r["early"], r["late"]): r["similarity"] for r in edges} == pytest.approx(want) and len(want) > 5
+
+
+def test_crowds_take_few_comparisons(spark):
+    """Three crowds in long lists beside records that are not alike: a crowd meets its first, not itself."""
+    draw = random.Random(2)
+    bases = [[f"b{k}x{i}" for i in range(40)] for k in range(3)]
+    rows = [(i, " ".join([*bases[i % 3], f"own{i}"])) for i in range(180)]
+    rows += [(200 + i, " ".join(f"w{draw.randrange(60)}" for _ in range(12))) for i in range(60)]
+    found = dd.jaccard_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    plain, met = found.verify, []
+    found.verify = lambda pairs, **how: met.append(pairs.count()) or plain(pairs, **how)
+    kept = {r["id"] for r in found.kept(depth=20).collect()}
+    assert kept == {i for i, hit in _sequential_jaccard(rows).items() if hit is None}
+    assert sum(met) < 1500

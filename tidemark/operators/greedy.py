@@ -45,29 +45,59 @@ def settle_edges(edges: DataFrame) -> DataFrame:
     return _union(dropped)
 
 
+# Long lists that a round looks at, the longest first, and how many of their first records.
+_LONGEST, _FRONT = 1000, 4
+
+
+def _edges(pairs: DataFrame, verify: sm.Verifier) -> DataFrame:
+    """Verified pairs; only the records that they name move to them."""
+    return verify(cut_lineage(pairs), few=True)
+
+
+def _meeting(lists: DataFrame, some: DataFrame) -> DataFrame:
+    """The lists that some records stand in, whole."""
+    return lists.join(some.select("list_key").distinct(), "list_key", "left_semi")
+
+
 def thin_long_lists(
     lists: DataFrame, verify: sm.Verifier, bounds: sm.Bounds, depth: int
 ) -> tuple[DataFrame, list[DataFrame]]:
-    """Decide records until every list has at most ``depth`` undecided members.
+    """Decide crowds: records that stand together in lists of more than ``depth`` members.
 
-    Only the front of each list is compared pairwise.  A record whose every list
-    place is in a front has met all its earlier candidates, so if none matches it is
-    kept; it is then compared with whole lists, one row per member.  A crowd of
-    copies falls to its first member in one round.
+    The first records of long lists are compared with all before them, and those without a match are
+    kept.  Each is then compared with whole lists, one row per member, so a crowd of copies falls to
+    its first member in one round and is never compared with itself.  Rounds go on as long as a list is
+    long and they drop more than they keep: lists of records that are not alike are no crowd,
+    and to compare these is what is left to do.
     """
-    dropped = []
-    while sm.longest_list(lists) > depth:
-        fronts = sm.list_fronts(lists, depth)
-        seen = fronts.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-        places = lists.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-        complete = places.join(seen, ["rid", "n"]).select("rid")
-        matched = verify(sm.pairs_within(fronts, bounds, whole=False)).select(F.col("late").alias("rid"))
-        winners = cut_lineage(complete.join(matched, "rid", "left_anti"))
-        crowd = verify(sm.pairs_between(lists.join(winners, "rid", "left_semi"), lists, bounds))
+    dropped: list[DataFrame] = []
+    long = cut_lineage(lists.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > depth).select("list_key"))
+    if long.isEmpty():
+        return lists, dropped
+    before = None
+    while True:
+        members = lists.join(long, "list_key", "left_semi").select("list_key", "rid")
+        longest = members.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > depth).orderBy(F.desc("n"), "list_key").limit(_LONGEST)
+        heads = cut_lineage(sm.list_fronts(members.join(longest.select("list_key"), "list_key"), _FRONT).select("rid").distinct())
+        if heads.isEmpty():
+            return lists, dropped
+        asked = heads if before is None else heads.unionByName(before).distinct()
+        mine = cut_lineage(lists.join(asked, "rid", "left_semi"))
+        near = cut_lineage(_meeting(lists, mine))
+        earlier = cut_lineage(_edges(sm.pairs_between(near, mine, bounds, repeat="late"), verify).select("early", "late"))
+        winners = cut_lineage(_without(asked, "rid", earlier.select(F.col("late").alias("rid"))))
+        won = winners.count()
+        if not won:
+            # What stands before them is asked next; there is a first of all.
+            before = cut_lineage(asked.unionByName(earlier.select(F.col("early").alias("rid"))).distinct())
+            continue
+        before = None
+        crowd = _edges(sm.pairs_between(mine.join(winners, "rid", "left_semi"), near, bounds), verify)
         losers = cut_lineage(crowd.select(F.col("late").alias("rid")).distinct())
         dropped.append(losers)
-        lists = cut_lineage(_without(_without(lists, "rid", winners), "rid", losers))
-    return lists, dropped
+        lists = cut_lineage(_without(lists, "rid", winners.unionByName(losers)))
+        if losers.count() <= won:
+            return lists, dropped
 
 
 def greedy_drops(
@@ -82,12 +112,12 @@ def greedy_drops(
     if stored is not None:
         held = lists.join(stored, "rid", "left_semi")
         lists = _without(lists, "rid", stored)
-        hits = verify(sm.pairs_between(held, lists, bounds, repeat="late"))
+        hits = _edges(sm.pairs_between(held, lists, bounds, repeat="late"), verify)
         losers = cut_lineage(hits.select(F.col("late").alias("rid")).distinct())
         dropped.append(losers)
         lists = cut_lineage(_without(lists, "rid", losers))
     short, thinned = thin_long_lists(lists, verify, bounds, depth)
-    edges = verify(sm.pairs_within(short, bounds))
+    edges = _edges(sm.pairs_within(short, bounds), verify)
     return _union([*dropped, *thinned, settle_edges(edges)])
 
 
@@ -103,9 +133,9 @@ def kept_matches(
     # Only lists with a dropped member matter.
     kept = _without(lists, "rid", dropped).join(lost.select("list_key").distinct(), "list_key", "left_semi")
     if reach is None:
-        return verify(sm.pairs_between(kept, lost, bounds))
+        return _edges(sm.pairs_between(kept, lost, bounds), verify)
     order = F.col("early") < F.col("last")
-    return verify(sm.pairs_between(kept, lost.join(reach, "rid"), bounds, order))
+    return _edges(sm.pairs_between(kept, lost.join(reach, "rid"), bounds, order), verify)
 
 
 # Characters per text from which on blocks hold fewer texts, and tasks of a meeting of blocks.

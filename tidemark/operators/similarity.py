@@ -10,27 +10,33 @@ Tables used throughout:
 
 - records: ``rid`` (order id) and the columns the verifier needs
 - lists:   ``list_key, rid, size, rule, grams, rest``, one row per record and list;
-  ``rest`` counts the record's items after this one in the global order
+  ``rest`` counts the record's items after this one in the global order; lists of word sets,
+  which have one rule only, go without ``rule`` and ``grams``
 - edges:   ``early, late, rule, similarity`` with ``early < late``, verified
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import jaccard
 from tidemark.operators.gestalt import ratio_if, shared_grams_bound, shortest_partner
 from tidemark.operators.skew import salted_join
 from tidemark.session import cut_lineage
 
-Verifier = Callable[[DataFrame], DataFrame]
+Verifier = Callable[..., DataFrame]
+
+# Fixed value: a pair with this many items to share must meet this often among the first places
+# of both, whose number grows by one less.  One meeting is common between records that are not alike.
+MEETINGS = 4
 
 
 @dataclass(frozen=True)
@@ -52,6 +58,14 @@ def by_merge(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def only(side: DataFrame, pairs: DataFrame, column: str, few: bool) -> DataFrame:
+    """The rows of a side that written pairs name, if they are to be few: then no others move.
+
+    Their ids are a column of numbers, so how Spark finds them may follow the size of their files.
+    """
+    return side.join(pairs.select(column).distinct(), column, "left_semi") if few else side
+
+
 def coded(items: DataFrame) -> DataFrame:
     """Items as 64-bit codes, distinct between rules and gram lengths.
 
@@ -124,19 +138,86 @@ def _with_frequency(items: DataFrame, order: DataFrame) -> DataFrame:
 # --- word sets, Jaccard ---------------------------------------------------------------
 
 
-def word_items(records: DataFrame, threshold: float, rule: str = "jaccard") -> DataFrame:
-    """``records`` has (rid, tokens), tokens a set."""
-    size = F.size("tokens")
-    return coded(
-        records.select(
-            "rid",
-            size.alias("size"),
-            F.lit(rule).alias("rule"),
-            F.lit(0).alias("grams"),
-            (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int").alias("prefix"),
-            F.explode("tokens").alias("item"),
-        )
-    )
+# Bits of the cells that words are counted in, and of the codes that go by them.
+_CELL_BITS, _CODE_BITS = 22, 56
+ORDER = "cell int, level int"
+
+
+def word_string(tokens: Column) -> Column:
+    """A set of words as a text, with blanks between them: words have none."""
+    return F.array_join(F.sort_array(tokens), " ")
+
+
+def _codes(records: DataFrame, *others: str) -> DataFrame:
+    """``records`` has (rid, size, words); adds the words' 64-bit hashes."""
+    words = F.split("words", " ")
+    return records.filter("size > 0").select(*others, F.transform(words, lambda w: F.xxhash64(w)).alias("codes"))
+
+
+def _cells(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def word_counts(records: DataFrame) -> DataFrame:
+    """How often words of each cell occur: (cell, n).  A task sends one row for each cell at most."""
+
+    bits = _CELL_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            found += np.bincount(_cells(batch["codes"].flatten().to_numpy(), bits), minlength=len(found))
+        cells = np.flatnonzero(found)
+        for k in range(0, len(cells), 1 << 16):
+            some = cells[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], ["cell", "n"])
+
+    return _codes(records).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def word_order(counts: DataFrame) -> DataFrame:
+    """An order of words, rare ones first, as ``ORDER``: steps of the logarithm of the counts by cell.
+
+    Any order loses nothing, so words may share a cell.  Its size has a bound, whatever the
+    number of words.  Level 1 says that one word occurs once.
+    """
+    return counts.select("cell", (F.floor(F.log2("n") * 8) + 1).cast("int").alias("level"))
+
+
+def word_lists(records: DataFrame, threshold: float, order: DataFrame | None = None) -> DataFrame:
+    """Lists of records (rid, size, words): (list_key, rid, size, rest).
+
+    Lists made with a saved ``order`` stay valid when further records arrive; it puts words
+    of cells it does not know first.  The key of a list is its word's place in the order, so two
+    words that share one share a list, which loses nothing.
+    """
+    found = (word_order(word_counts(records)) if order is None else order).toArrow()
+    bits = _CELL_BITS
+    levels = np.zeros(1 << bits, np.uint8)
+    levels[found["cell"].to_numpy()] = np.minimum(found["level"].to_numpy(), 255)
+    # A word nobody else has opens no list.
+    lone = 1 if order is None else -1
+    mask = np.uint64((1 << _CODE_BITS) - 1)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, size = batch["codes"].flatten().to_numpy(), batch["size"].to_numpy().astype(np.int64)
+            places = (levels[_cells(codes, bits)].astype(np.uint64) << np.uint64(_CODE_BITS)) | (codes.view(np.uint64) & mask)
+            least = np.ceil(size * threshold - 1e-9).astype(np.int64)
+            prefix = np.minimum(size - least + MEETINGS, size)
+            ends = np.cumsum(size)
+            for start, end in zip((ends - size).tolist(), ends.tolist()):
+                places[start:end].sort()
+            row = np.repeat(np.arange(len(size)), prefix)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            keys = places[(ends - size)[row] + at]
+            listed = (keys >> np.uint64(_CODE_BITS)).astype(np.int64) > lone
+            keys, row, at = keys[listed], row[listed], at[listed]
+            columns = [keys.view(np.int64), batch["rid"].take(pa.array(row)), size[row].astype(np.int32), (size[row] - 1 - at).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["list_key", "rid", "size", "rest"])
+
+    kind = records.schema["rid"].dataType.simpleString()
+    return _codes(records, "rid", "size").mapInArrow(lists, f"list_key long, rid {kind}, size int, rest int")
 
 
 def jaccard_bounds(threshold: float) -> Bounds:
@@ -164,33 +245,33 @@ def parity_sketch(tokens: str) -> Column:
     return F.array(*[word(i) for i in range(_SKETCH_WORDS)])
 
 
+def _shared(early: pd.Series, late: pd.Series) -> pd.Series:
+    """Words that two sets share, counted; pairs of one record follow each other."""
+    out, last, mine = [], None, set()
+    for a, b in zip(early, late):
+        if b != last:
+            last, mine = b, set(b.split(" "))
+        out.append(len(mine.intersection(a.split(" "))))
+    return pd.Series(out, dtype="int32")
+
+
 def jaccard_verifier(records: DataFrame, threshold: float, earlier: DataFrame | None = None) -> Verifier:
     """Pairs -> edges with Jaccard >= threshold; early records come from ``earlier`` if given.
 
-    Pairs meet as sketches first, which rule out nearly all that do not match; only the
-    others are joined with the word sets, whose rows are many times as large.
-
-    A record with very many partners makes a hot join key here; the skew join of
-    adaptive execution splits it, the record itself being a single row.
+    Both have (rid, size, words).  A record with very many partners makes a hot join key here; the skew
+    join of adaptive execution splits it, the record itself being a single row.
     """
-    sketches = cut_lineage(records.select("rid", F.size("tokens").alias("n"), parity_sketch("tokens").alias("sketch")))
-    first = sketches if earlier is None else earlier.select("rid", F.size("tokens").alias("n"), parity_sketch("tokens").alias("sketch"))
-    # Two sets that match differ in at most this share of both sizes.
-    share = (1 - threshold) / (1 + threshold)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        early = first.select(F.col("rid").alias("early"), F.col("n").alias("_na"), F.col("sketch").alias("_sa"))
-        late = sketches.select(F.col("rid").alias("late"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb"))
-        differ = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(_SKETCH_WORDS)), F.lit(0))
-        met = by_merge(by_merge(pairs).join(early, "early")).join(late, "late")
-        return met.filter(differ <= (F.col("_na") + F.col("_nb")) * F.lit(share) + F.lit(1e-6)).select(pairs.columns)
-
-    def verify(pairs: DataFrame) -> DataFrame:
+    # Declared non-deterministic only to keep Spark from evaluating it once more per use.
+    shared = F.pandas_udf(_shared, "int").asNondeterministic()
+
+    def verify(pairs: DataFrame, few: bool = False) -> DataFrame:
         source = records if earlier is None else earlier
-        early = source.select(F.col("rid").alias("early"), F.col("tokens").alias("_a"))
-        late = records.select(F.col("rid").alias("late"), F.col("tokens").alias("_b"))
-        scored = by_merge(by_merge(near(pairs)).join(early, "early")).join(late, "late").withColumn("similarity", jaccard(F.col("_b"), F.col("_a")))
-        return scored.filter(F.col("similarity") >= threshold).select("early", "late", "rule", "similarity")
+        early = source.select(F.col("rid").alias("early"), F.col("size").alias("_na"), F.col("words").alias("_a"))
+        late = records.select(F.col("rid").alias("late"), F.col("size").alias("_nb"), F.col("words").alias("_b"))
+        early, late = only(early, pairs, "early", few), only(late, pairs, "late", few)
+        met = by_merge(by_merge(pairs).join(early, "early")).join(late, "late").withColumn("_n", shared("_a", "_b"))
+        scored = met.withColumn("similarity", F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")))
+        return scored.filter(F.col("similarity") >= threshold).select("early", "late", F.lit("jaccard").alias("rule"), "similarity")
 
     return verify
 
@@ -260,7 +341,7 @@ def gestalt_lists(records: DataFrame, rules: Sequence[GestaltRule]) -> DataFrame
             family = F.struct(
                 F.lit(rule.name).alias("rule"),
                 F.lit(q).alias("grams"),
-                (F.col("size") - q + 1 - F.ceil(shared - 1e-9) + 1).cast("int").alias("prefix"),
+                (F.col("size") - q + 1 - F.ceil(shared - 1e-9) + MEETINGS).cast("int").alias("prefix"),
                 scope.alias("scope"),
             )
             families.append(F.when(fits, family))
@@ -322,8 +403,9 @@ def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifi
     def side(name: str, mark: str) -> DataFrame:
         return records.select(F.col("rid").alias(name), *[F.col(c).alias(f"_{mark}_{to}") for c, to in columns.items()])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        joined = by_merge(by_merge(pairs).join(side("early", "a"), "early")).join(side("late", "b"), "late")
+    def verify(pairs: DataFrame, few: bool = False) -> DataFrame:
+        early, late = only(side("early", "a"), pairs, "early", few), only(side("late", "b"), pairs, "late", few)
+        joined = by_merge(by_merge(pairs).join(early, "early")).join(late, "late")
         same = F.col("_a_day").eqNullSafe(F.col("_b_day"))
         # Shared 2-grams, counting those that repeat within a text as shared.
         shared = F.size(F.array_intersect("_a_pieces", "_b_pieces")) + F.least("_a_spare", "_b_spare")
@@ -350,8 +432,9 @@ def gestalt_verifier(records: DataFrame, rules: Sequence[GestaltRule]) -> Verifi
 # --- meeting in lists -----------------------------------------------------------------
 
 
-# A pair meets in lists of one rule and gram length at a time.
-_MEETING = ["list_key", "rule", "grams"]
+def _meeting(lists: DataFrame) -> list[str]:
+    """A pair meets in lists of one rule and gram length at a time."""
+    return [c for c in ("list_key", "rule", "grams") if c in lists.columns]
 
 
 def pairs_within(lists: DataFrame, bounds: Bounds, whole: bool = True) -> DataFrame:
@@ -360,7 +443,7 @@ def pairs_within(lists: DataFrame, bounds: Bounds, whole: bool = True) -> DataFr
     ``whole`` says that every list place of every record is present.
     """
     a, b = _sides(lists, lists)
-    return _promising(by_merge(a).join(b, _MEETING), bounds, F.col("early") < F.col("late"), whole)
+    return _promising(by_merge(a).join(b, _meeting(lists)), bounds, F.col("early") < F.col("late"), whole)
 
 
 def pairs_between(
@@ -378,7 +461,8 @@ def pairs_between(
     ``order`` replaces the condition early < late and may use further columns of ``late``.
     """
     a, b = map(by_merge, _sides(early, late))
-    met = salted_join(b, a, _MEETING, "late") if repeat == "early" else salted_join(a, b, _MEETING, "early")
+    keys = _meeting(late)
+    met = salted_join(b, a, keys, "late") if repeat == "early" else salted_join(a, b, keys, "early")
     return _promising(met, bounds, F.col("early") < F.col("late") if order is None else order, whole)
 
 
@@ -394,27 +478,37 @@ def pairs_with_stored(stored: DataFrame, late: DataFrame, bounds: Bounds) -> Dat
 
 
 def _sides(early: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = early.select(*_MEETING, F.col("rid").alias("early"), F.col("size").alias("_sa"), F.col("rest").alias("_ra"))
-    return a, late.withColumnsRenamed({"rid": "late", "size": "_sb", "rest": "_rb"})
+    keys = _meeting(early)
+    a = early.select(*keys, F.col("rid").alias("early"), F.col("size").alias("_sa"), F.col("rest").alias("_ra"))
+    further = [c for c in late.columns if c not in (*keys, "rid", "size", "rest")]
+    # The same columns in the same places: a table that meets itself is dealt out once.
+    return a, late.select(*keys, F.col("rid").alias("late"), F.col("size").alias("_sb"), F.col("rest").alias("_rb"), *further)
 
 
 def _promising(met: DataFrame, bounds: Bounds, order: Column, whole: bool) -> DataFrame:
     """Drop pairs that cannot share enough items.
 
-    When the lists are whole, the lists two records meet in are exactly the items they
-    share up to the last such item; beyond it they share at most the shorter rest.
+    What two records share after a place is at most the shorter rest there, so the first of the
+    items they must share leaves all others behind it, the second all but two, and so on: a pair
+    meets ``MEETINGS`` times among places that leave all but so many.  That asks for whole lists;
+    else one meeting is enough.  The meetings among these places are all items shared
+    up to the last of them; beyond it the shorter rest bounds what is shared.
     """
     fits = F.least("_sa", "_sb") >= F.greatest("_sa", "_sb") * F.lit(bounds.min_ratio) - F.lit(1e-9)
-    near = met.filter(order & fits)
+    need = F.ceil(bounds.need(F.col("_sa"), F.col("_sb")))
+    often = F.greatest(F.lit(1), F.least(F.lit(MEETINGS), need)) if whole else F.lit(1)
+    near = met.filter(order & fits).filter(F.least("_ra", "_rb") + often >= need)
+    keys = ["early", "late", *_meeting(near)]
+    keys.remove("list_key")
     if whole:
-        shared = near.groupBy("early", "late", "rule", "grams").agg(
+        shared = near.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"),
-            F.least(F.min("_ra"), F.min("_rb")).alias("_rest"),
+            F.min(F.least("_ra", "_rb")).alias("_rest"),
             F.first("_sa").alias("_sa"),
             F.first("_sb").alias("_sb"),
         )
-        near = shared.filter(F.col("_n") + F.col("_rest") >= bounds.need(F.col("_sa"), F.col("_sb")))
-    return near.select("early", "late", "rule").distinct()
+        near = shared.filter((F.col("_n") >= often) & (F.col("_n") + F.col("_rest") >= need))
+    return near.select(*[c for c in keys if c != "grams"]).distinct()
 
 
 def list_fronts(lists: DataFrame, depth: int) -> DataFrame:

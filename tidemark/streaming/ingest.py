@@ -21,7 +21,7 @@ from tidemark.operators import dedup as dd
 from tidemark.operators import greedy
 from tidemark.operators import similarity as sm
 from tidemark.operators.tables import append_with_ids, table_or_empty
-from tidemark.session import apply_runtime_settings, cut_lineage, delete_path
+from tidemark.session import apply_runtime_settings, cut_lineage, delete_path, path_exists
 from tidemark.streaming.runtable import RUNS_A_BATCH, RunTable
 
 Handler = Callable[[DataFrame, int], None]
@@ -164,12 +164,12 @@ def with_status(handle: Handler, table: str, status: str) -> Handler:
 class NearDuplicateIngest:
     """Store arriving texts unless they repeat a stored one, exactly or nearly.
 
-    Tables below ``root``: ``stored`` (the kept rows with generated ids), ``words`` (their word
-    sets by row) and, for each version of the item order, ``lists`` (their candidate lists by
-    list) and ``order``.  A batch is shuffled to the lists and word sets it meets; these lie in
+    Tables below ``root``: ``stored`` (the kept rows with generated ids), ``word_sets`` (their word
+    sets by row) and, for each version of the word order, ``word_lists`` (their candidate lists by
+    list) and ``word_order``.  A batch is shuffled to the lists and word sets it meets; these lie in
     bucketed runs and are not moved.
 
-    An item order is lossless as long as all lists follow it, but one taken from few texts
+    A word order is lossless as long as all lists follow it, but one taken from few texts
     puts words first that have turned common since, and their lists grow.  So whenever the
     stored texts have doubled since an order was taken, a new one is taken and all lists are made
     anew under it: every stored text is listed a bounded number of times on average.
@@ -177,7 +177,7 @@ class NearDuplicateIngest:
 
     STORED = "id bigint, key bigint, text string"
     LISTS = "list_key bigint, rid bigint, size int, rest int"
-    WORDS = "rid bigint, tokens array<string>"
+    WORDS = "rid bigint, size int, words string"
     VERSIONS = "version int, rows bigint"
 
     def __init__(self, spark: SparkSession, root: str, threshold: float = dd.JACCARD_THRESHOLD, buckets: int = 16):
@@ -197,13 +197,13 @@ class NearDuplicateIngest:
         return found
 
     def words(self, spark: SparkSession) -> RunTable:
-        return self._table(spark, "words", self.WORDS, "rid")
+        return self._table(spark, "word_sets", self.WORDS, "rid")
 
     def lists(self, spark: SparkSession, version: int) -> RunTable:
-        return self._table(spark, f"lists/version={version}", self.LISTS, "list_key")
+        return self._table(spark, f"word_lists/version={version}", self.LISTS, "list_key")
 
     def order(self, spark: SparkSession, version: int) -> DataFrame:
-        return spark.read.schema("item bigint, freq bigint").parquet(self._path(f"order/version={version}"))
+        return spark.read.schema(sm.ORDER).parquet(self._path(f"word_order/version={version}"))
 
     def version(self, batch_id: int | None = None) -> tuple[int, int] | None:
         """(version, stored rows it was taken from) that holds before a batch, or now."""
@@ -214,15 +214,16 @@ class NearDuplicateIngest:
         """``batch`` has ``key`` (unique, in arrival order and larger than stored keys) and ``text``."""
         spark = batch.sparkSession
         refuse_restart(spark, self._path("stored"), self.STORED, batch_id)
+        if path_exists(spark, self._path("words")):
+            raise RuntimeError(f"{self.root} holds lists of an older form, which these do not meet; use another folder")
         bounds = sm.jaccard_bounds(self.threshold)
         words = self.words(spark)
         before = words.total(before=batch_id)
         firsts = self._firsts(batch)
-        records = firsts.select(F.col("key").alias("rid"), "tokens")
-        items = sm.word_items(records, self.threshold)
-        version = self._ordered(spark, batch_id, items, words, before)
+        records = firsts.select(F.col("key").alias("rid"), "size", "words")
+        version = self._ordered(spark, batch_id, records, words, before)
         known = self.lists(spark, version)
-        lists = cut_lineage(sm.rare_first_lists(items, self.order(spark, version)))
+        lists = cut_lineage(sm.word_lists(records, self.threshold, self.order(spark, version)))
         met = sm.pairs_with_stored(known.rows(before=2 * batch_id + 1), lists, bounds)
         verify = sm.jaccard_verifier(records, self.threshold, earlier=words.rows(before=batch_id))
         repeats = cut_lineage(verify(met).select(F.col("late").alias("rid")).distinct())
@@ -232,32 +233,33 @@ class NearDuplicateIngest:
         kept = cut_lineage(kept)
         new_rows = append_with_ids(kept.select("key", "text"), spark.range(before, before + 1), "id", "key")
         keys = kept.select(F.col("key").alias("rid"))
-        words.add(kept.select(F.col("key").alias("rid"), "tokens"), batch_id)
+        words.add(kept.select(F.col("key").alias("rid"), "size", "words"), batch_id)
         known.add(lists.join(keys, "rid", "left_semi"), 2 * batch_id + 1)
         write_batch(new_rows.select("id", "key", "text"), self._path("stored"), batch_id)
 
     @staticmethod
     def _firsts(batch: DataFrame) -> DataFrame:
         """The first row of each distinct word set: equal ones match each other, empty ones nothing."""
-        fresh = batch.select("key", "text").withColumn("tokens", F.sort_array(word_set("text")))
-        mark = F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", "\u0001"), 256)).otherwise(
-            F.concat(F.lit("id:"), F.col("key").cast("string"))
-        )
+        fresh = batch.select("key", "text", word_set("text").alias("tokens"))
+        words, size = F.coalesce(sm.word_string(F.col("tokens")), F.lit("")), F.greatest(F.size("tokens"), F.lit(0))
+        fresh = fresh.select("key", "text", size.alias("size"), words.alias("words"))
+        mark = F.when(F.col("size") > 0, F.sha2("words", 256)).otherwise(F.concat(F.lit("id:"), F.col("key").cast("string")))
         return cut_lineage(dd.first_per_key(fresh.withColumn("mark", mark), ["mark"], "key").drop("mark"))
 
-    def _ordered(self, spark: SparkSession, batch_id: int, items: DataFrame, words: RunTable, before: int) -> int:
-        """The version of the item order that a batch works under; a rerun takes the same."""
+    def _ordered(self, spark: SparkSession, batch_id: int, records: DataFrame, words: RunTable, before: int) -> int:
+        """The version of the word order that a batch works under; a rerun takes the same."""
         last = self.version(batch_id)
         if last and before < 2 * max(last[1], 1):
             return last[0]
-        stored = sm.word_items(words.rows(before=batch_id), self.threshold)
-        sm.item_order(items.unionByName(stored)).write.mode("overwrite").parquet(self._path(f"order/version={batch_id}"))
+        stored = words.rows(before=batch_id)
+        order = sm.word_order(sm.word_counts(records.unionByName(stored)))
+        order.write.mode("overwrite").parquet(self._path(f"word_order/version={batch_id}"))
         anew = self.lists(spark, batch_id)
         # Lists have two numbers a batch: one for those made anew, one for the batch's own.
-        anew.add(sm.rare_first_lists(stored, self.order(spark, batch_id)), 2 * batch_id)
+        anew.add(sm.word_lists(stored, self.threshold, self.order(spark, batch_id)), 2 * batch_id)
         write_batch(spark.createDataFrame([(batch_id, before)], self.VERSIONS).coalesce(1), self._path("versions"), batch_id)
         if last:
             # Only a batch before this one could still ask for lists older than the last version's.
             for old in {r["version"] for r in read_batches(spark, self._path("versions"), self.VERSIONS, batch_id).collect()} - {last[0]}:
-                delete_path(spark, self._path(f"lists/version={old}"))
+                delete_path(spark, self._path(f"word_lists/version={old}"))
         return batch_id
