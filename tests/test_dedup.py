@@ -322,3 +322,41 @@ def test_crowds_take_few_comparisons(spark):
     kept = {r["id"] for r in found.kept(depth=20).collect()}
     assert kept == {i for i, hit in _sequential_jaccard(rows).items() if hit is None}
     assert sum(met) < 1500
+
+
+def test_headlines_meet_in_blocks(spark, monkeypatch):
+    """Texts that share nearly all grams, copies that arrive after other kept rows, no days: blocks, no lists."""
+    draw = random.Random(13)
+    texts = [_syllables(draw, draw.choice([0, 1, 2, 18, 18, 18, 40])) for _ in range(120)]
+    texts += [t[:k] + "q" + t[k + 1 :] for t in texts[:70] for k in [draw.randrange(max(1, len(t)))]]
+    draw.shuffle(texts)
+    rows = [(i * 2, t, draw.choice([None, "x", "y"])) for i, t in enumerate([*texts, *texts[:30]])]
+    monkeypatch.setattr(sm, "gestalt_lists", lambda *a: pytest.fail("lists of grams"))
+    found = dd.gestalt_duplicates(spark.createDataFrame(rows, "id long, text string, day string"), "id", "text", "day")
+    kept, want = [], set()
+    for i, text, day in rows:
+        near = [(k, _ratio(text, t), day == d) for k, t, d in kept]
+        hits = {(k, i, "same day" if same else "different day", round(r, 6)) for k, r, same in near if r >= (0.85 if same else 0.95)}
+        # A copy of a kept row is reported with that row only, as with lists.
+        twin = [k for k, t, d in kept if (t.lower(), d) == (text.lower(), day)]
+        want |= {h for h in hits if not twin or h[0] == twin[0]}
+        if not hits:
+            kept.append((i, text, day))
+    got = [(r["kept_id"], r["id"], r["rule"], round(r["similarity"], 6)) for r in found.matches(depth=2).collect()]
+    assert sorted(got) == sorted(want) and len({h[2] for h in want}) == 2
+
+
+def test_crowd_of_headlines_is_not_compared_with_itself(monkeypatch):
+    draw = random.Random(4)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(58))
+    texts = [base[:k] + x + base[k + 1 :] for k in range(50) for x in "XYZUVW"] + [_syllables(draw, 20) for _ in range(100)]
+    rules, calls = [dd.SAME_DAY, dd.OTHER_DAY], []
+    monkeypatch.setattr(gestalt, "ratio_if", lambda *row, plain=gestalt.ratio_if: calls.append(row) or plain(*row))
+    order, days = np.arange(len(texts)), np.arange(len(texts)) % 2
+    got = gestalt.Matcher(texts, days, rules).kept(order)
+    kept = []
+    for i, t in enumerate(texts):
+        if not any(SequenceMatcher(None, t, texts[k]).ratio() >= (0.85 if days[i] == days[k] else 0.95) for k in kept):
+            kept.append(i)
+    # All with all would be 45,000 in the crowd alone; only the first few meet each other.
+    assert got == kept and len(calls) < 6000

@@ -1,4 +1,4 @@
-"""Which texts of a group of rows have an earlier text like them, by gestalt ratio.
+"""Which texts of a group of rows are like earlier ones, by gestalt ratio.
 
 The ratio counts matched characters in common order, so two tests bound it from above for
 many pairs at once: the 2-grams two texts share, as a product of count vectors, and the length
@@ -7,7 +7,7 @@ of their longest common subsequence, in bits.  Only what passes both costs a ful
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from typing import TYPE_CHECKING
 
@@ -178,3 +178,106 @@ def hits_of_group(rule: GestaltRule) -> Callable[[pa.Table], pa.Table]:
         return table.select(["rid"]).take(pa.array(list(found), pa.int64()))
 
     return hits
+
+
+class Matcher:
+    """All pairs of texts that satisfy a rule, among rows given by number; days as numbers."""
+
+    def __init__(self, texts: list[str], days: np.ndarray, rules: Sequence[GestaltRule]):
+        self.texts, self.days, self.rules = texts, days, rules
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.share = min(shortest_partner(r.threshold) for r in rules)
+        wanted = int(_PLACES_A_CHARACTER * self.lengths.mean())
+        self.counts = pair_counts(texts, self.lengths, min(_MOST_PLACES, max(_LEAST_PLACES, 1 << wanted.bit_length())))
+        self.common = CommonLengths(texts, self.lengths, self.share)
+
+    def pairs(self, late: np.ndarray, early: np.ndarray, first: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(late, early, rule, ratio) where ``first`` of the early row is less than ``before`` of the late one."""
+        lengths = self.lengths
+        late, early = (rows[np.argsort(lengths[rows], kind="stable")] for rows in (late, early))
+        for start in range(0, len(late), _STRIP):
+            rows = late[start : start + _STRIP]
+            low, high = lengths[rows[0]] * self.share - 1e-9, lengths[rows[-1]] / self.share + 1e-9
+            cols = early[np.searchsorted(lengths[early], low) : np.searchsorted(lengths[early], high, "right")]
+            cols = cols[first[cols] < before[rows].max()]
+            if not len(cols):
+                continue
+            shared = self.counts[rows] @ self.counts[cols].T
+            shared[first[cols][None] >= before[rows][:, None]] = -1e9
+            same = self.days[rows][:, None] == self.days[cols][None]
+            for k, rule in enumerate(self.rules):
+                needed = shared_grams_bound(lengths[rows][:, None], lengths[cols][None], 2, rule.threshold) - 1e-6
+                met = shared >= needed
+                if rule.scope != "any":
+                    met &= same if rule.scope == "same" else ~same
+                i, j = np.nonzero(met)
+                for at in range(0, len(i), _CHUNK):
+                    a, b = rows[i[at : at + _CHUNK]], cols[j[at : at + _CHUNK]]
+                    left = 2 * self.common.bounds(a, b) >= rule.threshold * (lengths[a] + lengths[b]) - 1e-9
+                    for x, y in zip(a[left].tolist(), b[left].tolist()):
+                        ratio = ratio_if(self.texts[x], self.texts[y], rule.threshold)
+                        if ratio is not None and (ratio > rule.threshold if rule.strict else ratio >= rule.threshold):
+                            yield x, y, k, ratio
+
+    def kept(self, order: np.ndarray) -> list[int]:
+        """The rows that the sequential rule keeps: rows meet those kept before them, and few at a time each other."""
+        turn = np.argsort(order, kind="stable")
+        kept: list[int] = []
+        for start in range(0, len(turn), _WORD):
+            some = turn[start : start + _WORD]
+            gone = {x for x, _, _, _ in self.pairs(some, np.array(kept, np.int64), order, order)} if kept else set()
+            left = np.array([x for x in some.tolist() if x not in gone], np.int64)
+            earlier: dict[int, list[int]] = {}
+            for x, y, _, _ in self.pairs(left, left, order, order):
+                earlier.setdefault(x, []).append(y)
+            for x in left.tolist():
+                if not any(y not in gone for y in earlier.get(x, ())):
+                    kept.append(x)
+                else:
+                    gone.add(x)
+        return kept
+
+
+def _matcher(table: pa.Table, rules: Sequence[GestaltRule]) -> Matcher:
+    days = table["day"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return Matcher(table["body"].to_pylist(), days, rules)
+
+
+def _rank(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    chunks = [c for column in columns for c in column.chunks]
+    places = np.asarray(pc.rank(pa.chunked_array(chunks), tiebreaker="dense")).astype(np.int64)
+    return np.split(places, len(columns))
+
+
+def edges_of_group(rules: Sequence[GestaltRule]) -> Callable[[pa.Table], pa.Table]:
+    """For rows (rid, last, body, day, side) of two sides: (early, late, rule, similarity) of late rows and the early ones before their ``last``."""
+
+    def edges(table: pa.Table) -> pa.Table:
+        late, early = (np.flatnonzero(table["side"].to_numpy() == k) for k in (1, 0))
+        found: list[tuple[int, int, int, float]] = []
+        if len(late) and len(early):
+            first, before = _rank(table["rid"], table["last"])
+            if first[early].min() < before[late].max():
+                found = [x for x in _matcher(table, rules).pairs(late, early, first, before) if first[x[0]] != first[x[1]]]
+        a, b, k, ratio = zip(*found) if found else ((), (), (), ())
+        rid = table["rid"]
+        return pa.table(
+            {
+                "early": rid.take(pa.array(b, pa.int64())),
+                "late": rid.take(pa.array(a, pa.int64())),
+                "rule": pa.array([rules[i].name for i in k], pa.string()),
+                "similarity": pa.array(ratio, pa.float64()),
+            }
+        )
+
+    return edges
+
+
+def kept_of_group(rules: Sequence[GestaltRule]) -> Callable[[pa.Table], pa.Table]:
+    """For rows (rid, body, day): ids of those that the sequential rule keeps."""
+
+    def kept(table: pa.Table) -> pa.Table:
+        (order,) = _rank(table["rid"])
+        return table.select(["rid"]).take(pa.array(_matcher(table, rules).kept(order), pa.int64()))
+
+    return kept

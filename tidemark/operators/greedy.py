@@ -9,6 +9,7 @@ match, drop what matches a kept one, repeat.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -142,6 +143,69 @@ def kept_matches(
 _BLOCK_CHARACTERS, _MOST_TASKS = 256, 4000
 
 
+def _dealt(texts: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """Records dealt by id into blocks of about ``depth`` texts, fewer if they are long."""
+    n, characters = texts.agg(F.count(F.lit(1)), F.sum(F.length("body").cast("long"))).first()
+    blocks = max(1, math.ceil(n / depth), math.ceil((characters or 0) / (depth * _BLOCK_CHARACTERS)))
+    return with_range_bucket(texts, ["rid"], blocks, "block"), blocks
+
+
+def block_matches(late: DataFrame, early: DataFrame, rules: Sequence[sm.GestaltRule], depth: int) -> DataFrame:
+    """Edges between late records (rid, last, body, day) and all early ones (rid, body, day) before their ``last``.
+
+    Grams of texts of one language repeat so much that lists of them bring nearly all texts together:
+    blocks of texts meet instead, every late one with every early one.
+    """
+    (a, after), (b, before) = (_dealt(cut_lineage(side), depth) for side in (late, early))
+    columns = [F.col("rid"), F.col("last"), F.col("body"), F.col("day")]
+    a = a.select(*columns, F.lit(1).alias("side"), F.col("block").alias("late_block"), F.explode(F.sequence(F.lit(0), F.lit(before - 1))).alias("early_block"))
+    b = b.withColumn("last", F.col("rid")).select(
+        *columns, F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(after - 1))).alias("late_block"), F.col("block").alias("early_block")
+    )
+    kind = late.schema["rid"].dataType.simpleString()
+    spread = a.unionByName(b).repartition(min(after * before, _MOST_TASKS), "late_block", "early_block")
+    edges = gestalt.edges_of_group(rules)
+    return spread.groupBy("late_block", "early_block").applyInArrow(edges, f"early {kind}, late {kind}, rule string, similarity double")
+
+
+# Fixed value: texts of a block for each of the first records that are decided one after the other.
+_TEXTS_OF_BLOCK = 20
+
+
+def block_drops(records: DataFrame, rules: Sequence[sm.GestaltRule], depth: int, stored: DataFrame | None = None) -> DataFrame:
+    """Ids (rid) that the greedy rule drops of (rid, body, day).  ``stored`` (rid) marks records kept from the start.
+
+    The first ones by id are decided one after the other in a single task, some thousands by default, and
+    what they keep is compared with all others: the larger a crowd of copies, the more likely it falls to one
+    of these before its members meet each other.
+    """
+    texts, width = cut_lineage(records.select("rid", F.col("rid").alias("last"), "body", "day").distinct()), depth * _TEXTS_OF_BLOCK
+    dropped = []
+    if stored is not None:
+        held, texts = texts.join(stored, "rid", "left_semi"), cut_lineage(_without(texts, "rid", stored))
+        losers = cut_lineage(block_matches(texts, held, rules, width).select(F.col("late").alias("rid")).distinct())
+        dropped.append(losers)
+        texts = cut_lineage(_without(texts, "rid", losers))
+    firsts = cut_lineage(texts.orderBy("rid").limit(width))
+    kept = gestalt.kept_of_group(rules)
+    heads = cut_lineage(firsts.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(kept, firsts.select("rid").schema).distinct())
+    dropped.append(cut_lineage(_without(firsts.select("rid"), "rid", heads).distinct()))
+    others = cut_lineage(_without(texts, "rid", firsts))
+    if not others.isEmpty():
+        crowd = block_matches(others, firsts.join(heads, "rid", "left_semi"), rules, width)
+        losers = cut_lineage(crowd.select(F.col("late").alias("rid")).distinct())
+        left = _without(others, "rid", losers)
+        dropped += [losers, settle_edges(block_matches(left, left, rules, width))]
+    return _union(dropped)
+
+
+def block_kept_matches(records: DataFrame, dropped: DataFrame, rules: Sequence[sm.GestaltRule], reach: DataFrame, depth: int) -> DataFrame:
+    """All edges from a kept record to a dropped one, whose last copy (``reach``) may stand behind it."""
+    texts = records.select("rid", "body", "day").distinct()
+    lost = texts.join(dropped, "rid", "left_semi").join(reach, "rid")
+    return block_matches(lost, _without(texts, "rid", dropped), rules, depth * _TEXTS_OF_BLOCK)
+
+
 def any_earlier_match(records: DataFrame, rule: sm.GestaltRule, depth: int = 4096) -> DataFrame:
     """Ids (rid) with at least one matching earlier record, kept or not.
 
@@ -152,9 +216,7 @@ def any_earlier_match(records: DataFrame, rule: sm.GestaltRule, depth: int = 409
     meets no other block, so a crowd of copies costs about one comparison each.
     """
     texts = records.select("rid", "body").distinct()
-    n, characters = texts.agg(F.count(F.lit(1)), F.sum(F.length("body").cast("long"))).first()
-    blocks = max(1, math.ceil(n / depth), math.ceil((characters or 0) / (depth * _BLOCK_CHARACTERS)))
-    dealt = with_range_bucket(texts, ["rid"], blocks, "block")
+    dealt, blocks = _dealt(texts, depth)
     match, schema, block = gestalt.hits_of_group(rule), dealt.select("rid").schema, F.col("block")
 
     def hits(placed: DataFrame, cells: int) -> DataFrame:
