@@ -360,3 +360,17 @@ def test_crowd_of_headlines_is_not_compared_with_itself(monkeypatch):
             kept.append(i)
     # All with all would be 45,000 in the crowd alone; only the first few meet each other.
     assert got == kept and len(calls) < 6000
+
+
+def test_repeated_rows(spark):
+    """A row that comes twice is matched as often as ever, and a heading that comes twice is found by one that came before."""
+    base = [f"t{i}" for i in range(20)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "x"])), (2, " ".join([*base, "x"])), (3, "else")]
+    found = dd.jaccard_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    # Two rows of record 2 in the join with words and two for their copies, each with each.
+    assert Counter((r["kept_id"], r["id"]) for r in found.matches().collect()) == {(1, 2): 8}
+    assert {r["id"] for r in found.kept().collect()} == {1, 3}
+    heads = [(40, "to oned onerntat that", "a"), (129, "to oned onerntat that", "b"), (129, "to oned onerntat that", "b")]
+    df = spark.createDataFrame(heads, "id long, text string, day string")
+    got = {(r["id"], r["matched_id"], r["rule"]) for r in dd.gestalt_duplicates(df, "id", "text", "day").decisions().collect()}
+    assert got == {(40, None, None), (129, 40, "different day")}

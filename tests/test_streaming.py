@@ -383,3 +383,14 @@ def test_newest_row_of_a_key(spark, tmp_path):
         table.add(spark.createDataFrame([(f, f"{f}{n}", n) for f in ("a", "b")[: 1 + n % 2]], table.schema), n)
     assert sorted((r["feed"], r["print"]) for r in table.rows().collect()) == [("a", "a5"), ("b", "b5")]
     assert table.total() < 9
+
+
+def test_ingest_refuses_lists_of_an_older_form(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "some words")], "key bigint, text string")
+    (tmp_path / "old" / "words").mkdir(parents=True)
+    with pytest.raises(RuntimeError, match="older form"):
+        ing.NearDuplicateIngest(spark, str(tmp_path / "old"))(batch, 0)
+    store = ing.NearDuplicateIngest(spark, str(tmp_path / "new"), buckets=2)
+    store(batch, 0)
+    # The order of words is a row for each cell of the count, whatever the words.
+    assert store.order(spark, 0).columns == ["cell", "level"] and store.order(spark, 0).count() == 2

@@ -141,6 +141,8 @@ def _with_frequency(items: DataFrame, order: DataFrame) -> DataFrame:
 # Bits of the cells that words are counted in, and of the codes that go by them.
 _CELL_BITS, _CODE_BITS = 22, 56
 ORDER = "cell int, level int"
+# Fixed value: bytes of word codes handed to Python at once; a larger set is a batch of its own.
+_BATCH_BYTES = 16 << 20
 
 
 def word_string(tokens: Column) -> Column:
@@ -150,6 +152,7 @@ def word_string(tokens: Column) -> Column:
 
 def _codes(records: DataFrame, *others: str) -> DataFrame:
     """``records`` has (rid, size, words); adds the words' 64-bit hashes."""
+    records.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     words = F.split("words", " ")
     return records.filter("size > 0").select(*others, F.transform(words, lambda w: F.xxhash64(w)).alias("codes"))
 
