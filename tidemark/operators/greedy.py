@@ -51,8 +51,9 @@ _LONGEST, _FRONT = 1000, 4
 
 
 def _edges(pairs: DataFrame, verify: sm.Verifier) -> DataFrame:
-    """Verified pairs; only the records that they name move to them."""
-    return verify(cut_lineage(pairs), few=True)
+    """Verified pairs; if they are few, only the records that they name move to them."""
+    pairs = cut_lineage(pairs)
+    return verify(pairs, few=pairs.count() <= sm._FEW_PAIRS)
 
 
 def _meeting(lists: DataFrame, some: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def thin_long_lists(
         asked = heads if before is None else heads.unionByName(before).distinct()
         mine = cut_lineage(lists.join(asked, "rid", "left_semi"))
         near = cut_lineage(_meeting(lists, mine))
-        earlier = cut_lineage(_edges(sm.pairs_between(near, mine, bounds, repeat="late"), verify).select("early", "late"))
+        earlier = cut_lineage(_edges(sm.pairs_between(near, mine, bounds), verify).select("early", "late"))
         winners = cut_lineage(_without(asked, "rid", earlier.select(F.col("late").alias("rid"))))
         won = winners.count()
         if not won:
@@ -113,7 +114,7 @@ def greedy_drops(
     if stored is not None:
         held = lists.join(stored, "rid", "left_semi")
         lists = _without(lists, "rid", stored)
-        hits = _edges(sm.pairs_between(held, lists, bounds, repeat="late"), verify)
+        hits = _edges(sm.pairs_between(held, lists, bounds), verify)
         losers = cut_lineage(hits.select(F.col("late").alias("rid")).distinct())
         dropped.append(losers)
         lists = cut_lineage(_without(lists, "rid", losers))

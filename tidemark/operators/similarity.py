@@ -29,7 +29,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.gestalt import ratio_if, shared_grams_bound, shortest_partner
-from tidemark.operators.skew import salted_join
 from tidemark.session import cut_lineage
 
 Verifier = Callable[..., DataFrame]
@@ -58,12 +57,13 @@ def by_merge(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-def only(side: DataFrame, pairs: DataFrame, column: str, few: bool) -> DataFrame:
-    """The rows of a side that written pairs name, if they are to be few: then no others move.
+# Fixed value: that many ids are looked up by broadcast.
+_FEW_PAIRS = 1_000_000
 
-    Their ids are a column of numbers, so how Spark finds them may follow the size of their files.
-    """
-    return side.join(pairs.select(column).distinct(), column, "left_semi") if few else side
+
+def only(side: DataFrame, pairs: DataFrame, column: str, few: bool) -> DataFrame:
+    """The rows of a side that pairs name, if these are few: then no others move."""
+    return side.join(F.broadcast(pairs.select(column).distinct()), column, "left_semi") if few else side
 
 
 def coded(items: DataFrame) -> DataFrame:
@@ -449,24 +449,15 @@ def pairs_within(lists: DataFrame, bounds: Bounds, whole: bool = True) -> DataFr
     return _promising(by_merge(a).join(b, _meeting(lists)), bounds, F.col("early") < F.col("late"), whole)
 
 
-def pairs_between(
-    early: DataFrame,
-    late: DataFrame,
-    bounds: Bounds,
-    order: Column | None = None,
-    whole: bool = True,
-    repeat: str = "early",
-) -> DataFrame:
+def pairs_between(early: DataFrame, late: DataFrame, bounds: Bounds, order: Column | None = None, whole: bool = True) -> DataFrame:
     """Distinct pairs of an early and a late record that meet in a list.
 
-    The members of a long list spread over several tasks on one side; the other side,
-    named by ``repeat`` and meant to be the smaller one, is repeated for each.
-    ``order`` replaces the condition early < late and may use further columns of ``late``.
+    One side is meant to have few members in each list.  Nothing is repeated to spread long ones: the
+    skew join of adaptive execution splits them.  ``order`` replaces the condition early < late and may
+    use further columns of ``late``.
     """
-    a, b = map(by_merge, _sides(early, late))
-    keys = _meeting(late)
-    met = salted_join(b, a, keys, "late") if repeat == "early" else salted_join(a, b, keys, "early")
-    return _promising(met, bounds, F.col("early") < F.col("late") if order is None else order, whole)
+    a, b = _sides(early, late)
+    return _promising(by_merge(a).join(b, _meeting(late)), bounds, F.col("early") < F.col("late") if order is None else order, whole)
 
 
 def pairs_with_stored(stored: DataFrame, late: DataFrame, bounds: Bounds) -> DataFrame:
